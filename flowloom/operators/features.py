@@ -2,6 +2,7 @@
 
 Aggregates keep integers exact (packets, bytes and microseconds in BIGINT); means are sums over
 counts, spreads come from one mergeable variance per measure. Columns nobody selects are pruned.
+Expressions are SQL text: a hundred columns then cost one analysis step each way.
 """
 
 from __future__ import annotations
@@ -9,168 +10,166 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.net import FLAG_BITS, TCP, int_to_ip
-from flowloom.functions.stats import safe_div, trunc_div
+from flowloom.functions.net import FLAG_BITS, TCP
 from flowloom.schemas import FLOW_EXTRAS, FLOW_NAMES
 
 EXPORT_IDLE_US = 120_000_000
 FLOW_LABEL = ["fs_us", "fs_frame"]
+DIRECTIONAL_FLAGS = ("PSH", "URG", "RST")
 
 
-def _measure(prefix: str, value: Column) -> list[Column]:
+def _measure(prefix: str, value: str) -> list[str]:
     return [
-        F.count(value).alias(f"{prefix}_n"),
-        F.sum(value.cast("bigint")).alias(f"{prefix}_sum"),
-        F.var_samp(value.cast("double")).alias(f"{prefix}_var"),
-        F.min(value).alias(f"{prefix}_min"),
-        F.max(value).alias(f"{prefix}_max"),
+        f"count({value}) as {prefix}_n",
+        f"sum(cast({value} as bigint)) as {prefix}_sum",
+        f"var_samp(cast({value} as double)) as {prefix}_var",
+        f"min({value}) as {prefix}_min",
+        f"max({value}) as {prefix}_max",
     ]
 
 
 def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool) -> DataFrame:
     """One row of raw sums per flow. Partial aggregation spreads a hot flow over all its chunks."""
-    size, fwd = F.col("payload_len"), F.col("is_fwd")
     aggs = [
-        F.max("ts_us").alias("flow_end_us"),
-        F.max("cut").alias("was_cut"),
-        F.count(F.when(F.col("idle_us").isNotNull(), 1)).alias("pauses"),
+        "max(ts_us) as flow_end_us",
+        "max(cut) as was_cut",
+        "count(idle_us) as pauses",
+        "count_if(is_fwd and payload_len > 0) as f_data",
+        "min(if(is_fwd and payload_len > 0, payload_len, null)) as f_data_min",
+        *_measure("len", "payload_len"), *_measure("iat", "iat_us"),
+        *_measure("active", "active_us"), *_measure("idle", "idle_us"),
     ]
-    aggs += _measure("len", size) + _measure("iat", F.col("iat_us"))
-    aggs += _measure("active", F.col("active_us")) + _measure("idle", F.col("idle_us"))
-    tcp = F.col("protocol") == TCP
-    for d in ("f", "b") if directional else ("f",):
-        way = fwd if d == "f" else ~fwd
+    for d, way in (("f", "is_fwd"), ("b", "not is_fwd"))[:2 if directional else 1]:
         if directional:
-            aggs += _measure(f"{d}_len", F.when(way, size))
-        aggs += _measure(f"{d}_iat", F.col(f"{d}_iat_us"))
-        aggs.append(F.sum(F.when(way, F.col("header_len")).cast("bigint")).alias(f"{d}_header"))
-        for flag in ("PSH", "URG", "RST"):
-            hit = way & tcp & (F.col("tcp_flags").bitwiseAND(F.lit(FLAG_BITS[flag])) != 0)
-            aggs.append(F.count(F.when(hit, 1)).alias(f"{d}_{flag.lower()}"))
-        for part in ("n", "pkts", "bytes", "us"):
-            aggs.append(F.sum(F.col(f"{d}_bulk_{part}").cast("bigint")).alias(f"{d}_bulk_{part}"))
-    for flag, bit in FLAG_BITS.items():
-        if directional or flag not in ("PSH", "URG", "RST"):
-            hit = tcp & (F.col("tcp_flags").bitwiseAND(F.lit(bit)) != 0)
-            aggs.append(F.count(F.when(hit, 1)).alias(f"all_{flag.lower()}"))
-    data = fwd & (size > 0)
-    aggs += [F.count(F.when(data, 1)).alias("f_data"), F.min(F.when(data, size)).alias("f_data_min")]
-    return deltas.groupBy(*key, *FLOW_LABEL).agg(*aggs)
-
-
-def _with_trailing(prefix: str, sample: Column) -> dict[str, Column]:
-    """Statistics of a measure after adding one more sample (NULL adds nothing)."""
-    n = F.col(f"{prefix}_n")
-    total = F.coalesce(F.col(f"{prefix}_sum"), F.lit(0))
-    more = sample.isNotNull()
-    n2 = n + more.cast("int")
-    sum2 = total + F.coalesce(sample, F.lit(0))
-    spread = F.coalesce(F.col(f"{prefix}_var"), F.lit(0.0)) * (n - 1)
-    shift = sample.cast("double") - total.cast("double") / F.when(n > 0, n)
-    grown = F.when(more & (n > 0), spread + shift * shift * n / (n + 1)).otherwise(spread)
+            aggs += _measure(f"{d}_len", f"if({way}, payload_len, null)")
+        aggs += _measure(f"{d}_iat", f"{d}_iat_us")
+        aggs.append(f"sum(cast(if({way}, header_len, null) as bigint)) as {d}_header")
+        aggs += [f"count_if({way} and protocol = {TCP} and tcp_flags & {FLAG_BITS[flag]} <> 0) as {d}_{flag.lower()}"
+                 for flag in DIRECTIONAL_FLAGS]
+        aggs += [f"sum(cast({d}_bulk_{p} as bigint)) as {d}_bulk_{p}" for p in ("n", "pkts", "bytes", "us")]
+    aggs += [f"count_if(protocol = {TCP} and tcp_flags & {bit} <> 0) as all_{flag.lower()}"
+             for flag, bit in FLAG_BITS.items() if directional or flag not in DIRECTIONAL_FLAGS]
+    return deltas.groupBy(*key, *FLOW_LABEL).agg(*[F.expr(a) for a in aggs])
+
+
+def _stats(prefix: str) -> dict[str, str]:
+    total = f"coalesce({prefix}_sum, 0)"
     return {
-        "mean": safe_div(sum2, n2),
-        "std": F.when(n2 > 1, F.sqrt(grown / (n2 - 1))).otherwise(F.lit(0.0)),
-        "max": F.coalesce(F.greatest(F.col(f"{prefix}_max"), sample), F.lit(0)).cast("double"),
-        "min": F.coalesce(F.least(F.col(f"{prefix}_min"), sample), F.lit(0)).cast("double"),
+        "tot": f"cast({total} as double)",
+        "mean": f"coalesce(cast({total} as double) / nullif({prefix}_n, 0), 0D)",
+        "var": f"coalesce({prefix}_var, 0D)",
+        "std": f"sqrt(coalesce({prefix}_var, 0D))",
+        "max": f"cast(coalesce({prefix}_max, 0) as double)",
+        "min": f"cast(coalesce({prefix}_min, 0) as double)",
     }
 
 
-def _plain(prefix: str) -> dict[str, Column]:
+def _stats_with(prefix: str, extra: str) -> dict[str, str]:
+    """Statistics of a measure after adding the sample in column ``extra`` (NULL adds nothing)."""
+    n, total = f"{prefix}_n", f"coalesce({prefix}_sum, 0)"
+    n2 = f"({n} + if({extra} is null, 0, 1))"
+    # sum of squared deviations, grown by one sample
+    spread = f"coalesce({prefix}_var, 0D) * ({n} - 1)"
+    shift = f"(cast({extra} as double) - cast({total} as double) / nullif({n}, 0))"
+    grown = f"({spread} + coalesce({shift} * {shift} * {n} / ({n} + 1), 0D))"
     return {
-        "tot": F.coalesce(F.col(f"{prefix}_sum"), F.lit(0)).cast("double"),
-        "mean": safe_div(F.coalesce(F.col(f"{prefix}_sum"), F.lit(0)), F.col(f"{prefix}_n")),
-        "var": F.coalesce(F.col(f"{prefix}_var"), F.lit(0.0)),
-        "std": F.sqrt(F.coalesce(F.col(f"{prefix}_var"), F.lit(0.0))),
-        "max": F.coalesce(F.col(f"{prefix}_max"), F.lit(0)).cast("double"),
-        "min": F.coalesce(F.col(f"{prefix}_min"), F.lit(0)).cast("double"),
+        "mean": f"coalesce(cast({total} + coalesce({extra}, 0) as double) / nullif({n2}, 0), 0D)",
+        "std": f"if({n2} > 1, sqrt({grown} / nullif({n2} - 1, 0)), 0D)",
+        "max": f"cast(coalesce(greatest({prefix}_max, {extra}), 0) as double)",
+        "min": f"cast(coalesce(least({prefix}_min, {extra}), 0) as double)",
     }
 
 
-def flow_record(flows: DataFrame, directional: bool, as_of_us: Column, idle_us: int, source_known: bool) -> DataFrame:
-    """The 88 columns plus the extras from the raw sums of ``aggregate_flows``."""
-    zero, nought = F.lit(0).cast("bigint"), F.lit(0.0)
-    none = dict.fromkeys(("tot", "mean", "var", "std", "max", "min"), nought)
-    n = F.col("len_n")
-    everything = F.coalesce(F.col("len_sum"), zero)
-    span = F.col("flow_end_us") - F.col("fs_us")
-    length, iat = _plain("len"), _plain("iat")
-    if directional:
-        n_f, n_b = F.col("f_len_n"), F.col("b_len_n")
-        bytes_f, bytes_b = (F.coalesce(F.col(f"{d}_len_sum"), zero) for d in "fb")
-        f_len, b_len, f_iat, b_iat = _plain("f_len"), _plain("b_len"), _plain("f_iat"), _plain("b_iat")
-    else:
-        n_f, n_b, bytes_f, bytes_b = n, zero, everything, zero
-        f_len, b_len, f_iat, b_iat = length, none, _plain("f_iat"), none
+def _quotient(num: str, den: str) -> str:
+    return f"if({den} > 0, cast({num} as double) / {den}, 0D)"
+
+
+def _whole_quotient(num: str, den: str) -> str:
+    return f"if({den} > 0, cast({num} as double) / {den}, 0D)".join(("cast(", " as bigint)"))
 
-    def total(name: str) -> Column:
-        return F.coalesce(F.col(name), zero) if name[0] == "f" or directional else zero
 
-    def flag_count(flag: str) -> Column:
-        return F.col(f"all_{flag}") if directional or flag not in ("psh", "urg", "rst") else F.col(f"f_{flag}")
+def _dotted(ip: str) -> str:
+    return f"concat_ws('.', {', '.join(f'cast(({ip} >> {s}) & 255 as string)' for s in (24, 16, 8, 0))})"
 
-    def absent(value: Column) -> Column:
-        return F.when(n_b == 0, F.lit(-1.0)).otherwise(value) if directional else F.lit(-1.0)
 
-    def per_second(count: Column) -> Column:
-        return safe_div(count * 1_000_000, span)
+def record_expressions(directional: bool, source_known: bool, idle_us: int) -> dict[str, str]:
+    """SQL expression of every flow column over the output of ``aggregate_flows``."""
+    none = dict.fromkeys(("tot", "mean", "var", "std", "max", "min"), "0D")
+    length, iat = _stats("len"), _stats("iat")
+    n, everything = "len_n", "coalesce(len_sum, 0)"
+    if directional:
+        count = {"fwd": "f_len_n", "bwd": "b_len_n"}
+        size = {"fwd": "coalesce(f_len_sum, 0)", "bwd": "coalesce(b_len_sum, 0)"}
+        lengths = {"fwd": _stats("f_len"), "bwd": _stats("b_len")}
+        iats = {"fwd": _stats("f_iat"), "bwd": _stats("b_iat")}
+    else:
+        count = {"fwd": n, "bwd": "0L"}
+        size = {"fwd": everything, "bwd": "0L"}
+        lengths, iats = {"fwd": length, "bwd": none}, {"fwd": _stats("f_iat"), "bwd": none}
+    # no backward packet: -1 for these four, 0 for the spread
+    iats["bwd"] = {k: v if k in ("std", "var") else f"if({count['bwd']} = 0, -1D, {v})" for k, v in iats["bwd"].items()}
 
-    def bulk(d: str) -> dict[str, Column]:
-        runs, pkts, size, us = (total(f"{d}_bulk_{p}") for p in ("n", "pkts", "bytes", "us"))
-        seconds = us.cast("double") / 1e6
-        rate = F.when(us > 0, (size.cast("double") / F.when(us > 0, seconds)).cast("bigint")).otherwise(zero)
-        return {"byts": trunc_div(size, runs), "pkts": trunc_div(pkts, runs), "rate": rate}
+    sf_count, span = "(pauses + 1)", "(flow_end_us - fs_us)"
+    src_ip = _dotted("flow_src_ip_int") if source_known else "'*'"
+    src_port = "flow_src_port" if source_known else "0"
+    dst_ip = _dotted("dst_ip_int")
+    duration = f"if({span} = 0, -1D, cast({span} as double))"
 
-    duration = F.when(span == 0, F.lit(-1.0)).otherwise(span.cast("double"))
-    active = _with_trailing("active", F.when((span > 0) & (span <= EXPORT_IDLE_US), span))
-    idle = _with_trailing("idle", F.when(span > EXPORT_IDLE_US, span))
-    sf_count = F.col("pauses") + 1
-    f_bulk, b_bulk = bulk("f"), bulk("b")
-    src_ip = int_to_ip("flow_src_ip_int") if source_known else F.lit("*")
-    src_port = F.col("flow_src_port") if source_known else F.lit(0)
-    dst_ip = int_to_ip("dst_ip_int")
+    def total(d: str, name: str) -> str:
+        return f"coalesce({d[0]}_{name}, 0L)" if directional or d == "fwd" else "0L"
 
     out = {
-        "flow_id": F.concat_ws("-", src_ip, dst_ip, src_port.cast("string"),
-                               F.col("dst_port").cast("string"), F.col("protocol").cast("string")),
-        "src_ip": src_ip, "src_port": src_port, "dst_ip": dst_ip,
-        "dst_port": F.col("dst_port"), "protocol": F.col("protocol"),
-        "timestamp": F.date_format(F.timestamp_micros(F.col("fs_us")), "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "flow_id": f"concat_ws('-', {src_ip}, {dst_ip}, {src_port}, dst_port, protocol)",
+        "src_ip": src_ip, "src_port": src_port, "dst_ip": dst_ip, "dst_port": "dst_port", "protocol": "protocol",
+        "timestamp": "date_format(timestamp_micros(fs_us), 'yyyy-MM-dd HH:mm:ss.SSSSSS')",
         "flow_duration": duration,
-        "tot_fwd_pkts": n_f, "tot_bwd_pkts": n_b, "totlen_fwd_pkts": bytes_f, "totlen_bwd_pkts": bytes_b,
-        "flow_byts_s": per_second(everything), "flow_pkts_s": per_second(n),
-        "fwd_pkts_s": per_second(n_f), "bwd_pkts_s": per_second(n_b),
-        "bwd_iat_tot": absent(b_iat["tot"]), "bwd_iat_mean": absent(b_iat["mean"]), "bwd_iat_std": b_iat["std"],
-        "bwd_iat_max": absent(b_iat["max"]), "bwd_iat_min": absent(b_iat["min"]),
-        "fwd_header_len": total("f_header"), "bwd_header_len": total("b_header"),
+        "flow_byts_s": _quotient(f"{everything} * 1000000", span),
+        "flow_pkts_s": _quotient(f"{n} * 1000000", span),
         "pkt_len_var": length["var"],
-        "down_up_ratio": safe_div(bytes_b, bytes_f),
-        "pkt_size_avg": length["mean"], "fwd_seg_size_avg": f_len["mean"], "bwd_seg_size_avg": b_len["mean"],
-        "subflow_fwd_pkts": trunc_div(n_f, sf_count), "subflow_fwd_byts": trunc_div(bytes_f, sf_count),
-        "subflow_bwd_pkts": trunc_div(n_b, sf_count), "subflow_bwd_byts": trunc_div(bytes_b, sf_count),
-        "init_fwd_win_byts": zero, "init_bwd_win_byts": zero,
-        "fwd_act_data_pkts": F.col("f_data"),
-        "fwd_seg_size_min": F.coalesce(F.col("f_data_min"), F.lit(0)).cast("bigint"),
-        "fwd_rst_flags": total("f_rst").cast("double"), "bwd_rst_flags": total("b_rst").cast("double"),
-        "icmp_code": nought, "icmp_type": nought,
-        "total_tcp_flow_time": F.when(F.col("protocol") == TCP, duration).otherwise(nought),
-        "flow_start_us": F.col("fs_us"), "flow_start_frame": F.col("fs_frame"), "flow_end_us": F.col("flow_end_us"),
-        "end_reason": F.when(F.col("was_cut"), "[SYN-FLOOD]")
-                       .when(as_of_us - F.col("flow_end_us") > idle_us, "[Timeout]").otherwise("[Shutdown]"),
+        "fwd_iat_tot": iats["fwd"]["tot"], "bwd_iat_tot": iats["bwd"]["tot"],
+        "down_up_ratio": _quotient(size["bwd"], size["fwd"]),
+        "pkt_size_avg": length["mean"],
+        "init_fwd_win_byts": "0L", "init_bwd_win_byts": "0L",
+        "fwd_act_data_pkts": "f_data", "fwd_seg_size_min": "cast(coalesce(f_data_min, 0) as bigint)",
+        "icmp_code": "0D", "icmp_type": "0D",
+        "total_tcp_flow_time": f"if(protocol = {TCP}, {duration}, 0D)",
+        "flow_start_us": "fs_us", "flow_start_frame": "fs_frame", "flow_end_us": "flow_end_us",
+        "end_reason": f"case when was_cut then '[SYN-FLOOD]' when as_of_us - flow_end_us > {idle_us} then '[Timeout]' "
+                      "else '[Shutdown]' end",
         "sf_count": sf_count,
     }
+    trailing = {"active": _stats_with("active", "trailing_active"), "idle": _stats_with("idle", "trailing_idle")}
     for stat in ("max", "min", "mean", "std"):
-        out[f"fwd_pkt_len_{stat}"], out[f"bwd_pkt_len_{stat}"] = f_len[stat], b_len[stat]
         out[f"pkt_len_{stat}"], out[f"flow_iat_{stat}"] = length[stat], iat[stat]
-        out[f"fwd_iat_{stat}"] = f_iat[stat]
-        out[f"active_{stat}"], out[f"idle_{stat}"] = active[stat], idle[stat]
-    out["fwd_iat_tot"] = f_iat["tot"]
-    for flag in ("psh", "urg"):
-        out[f"fwd_{flag}_flags"], out[f"bwd_{flag}_flags"] = total(f"f_{flag}"), total(f"b_{flag}")
+        out[f"active_{stat}"], out[f"idle_{stat}"] = trailing["active"][stat], trailing["idle"][stat]
+    for d in ("fwd", "bwd"):
+        out[f"tot_{d}_pkts"], out[f"totlen_{d}_pkts"] = count[d], size[d]
+        out[f"{d}_pkts_s"] = _quotient(f"{count[d]} * 1000000", span)
+        out[f"{d}_header_len"] = total(d, "header")
+        out[f"{d}_seg_size_avg"] = lengths[d]["mean"]
+        out[f"subflow_{d}_pkts"] = _whole_quotient(count[d], sf_count)
+        out[f"subflow_{d}_byts"] = _whole_quotient(size[d], sf_count)
+        out[f"{d}_psh_flags"], out[f"{d}_urg_flags"] = total(d, "psh"), total(d, "urg")
+        out[f"{d}_rst_flags"] = f"cast({total(d, 'rst')} as double)"
+        out[f"{d}_byts_b_avg"] = _whole_quotient(total(d, "bulk_bytes"), total(d, "bulk_n"))
+        out[f"{d}_pkts_b_avg"] = _whole_quotient(total(d, "bulk_pkts"), total(d, "bulk_n"))
+        out[f"{d}_blk_rate_avg"] = _whole_quotient(total(d, "bulk_bytes"), f"({total(d, 'bulk_us')} / 1000000D)")
+        for stat in ("max", "min", "mean", "std"):
+            out[f"{d}_pkt_len_{stat}"], out[f"{d}_iat_{stat}"] = lengths[d][stat], iats[d][stat]
     for flag in FLAG_BITS:
-        out[f"{flag.lower()}_flag_cnt"] = flag_count(flag.lower())
-    for d, name in (("f", "fwd"), ("b", "bwd")):
-        values = f_bulk if d == "f" else b_bulk
-        out[f"{name}_byts_b_avg"], out[f"{name}_pkts_b_avg"] = values["byts"], values["pkts"]
-        out[f"{name}_blk_rate_avg"] = values["rate"]
-    return flows.select(*[out[c].alias(c) for c in FLOW_NAMES + FLOW_EXTRAS])
+        prefix = "all" if directional or flag not in DIRECTIONAL_FLAGS else "f"
+        out[f"{flag.lower()}_flag_cnt"] = f"{prefix}_{flag.lower()}"
+    return out
+
+
+def flow_record(flows: DataFrame, directional: bool, as_of_us: Column, idle_us: int, source_known: bool) -> DataFrame:
+    """The 88 columns plus the extras from the raw sums of ``aggregate_flows``."""
+    out = record_expressions(directional, source_known, idle_us)
+    span = "(flow_end_us - fs_us)"
+    # the whole flow counts once more as an active or, beyond the export limit, an idle period
+    staged = flows.selectExpr(
+        "*",
+        f"if({span} > 0 and {span} <= {EXPORT_IDLE_US}, {span}, null) as trailing_active",
+        f"if({span} > {EXPORT_IDLE_US}, {span}, null) as trailing_idle",
+    ).withColumn("as_of_us", as_of_us)
+    return staged.selectExpr(*[f"{out[c]} as {c}" for c in FLOW_NAMES + FLOW_EXTRAS])

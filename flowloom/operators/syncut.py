@@ -39,10 +39,11 @@ def _sessions(packets: DataFrame, part: list[str], idle_us: int) -> DataFrame:
     return (
         packets.filter(F.col("protocol") == TCP)
         .select(*part, "ts_us", "frame_no", "is_fwd", is_syn_only().alias("is_syn"))
-        .withColumn("prev_ts", F.lag("ts_us").over(w))
-        .withColumn("seen", F.sum(fwd).over(running))
-        .withColumn("sess", F.count(F.when(fresh, 1)).over(running))
-        .withColumn("base", F.coalesce(F.max(F.when(fresh, F.col("seen") - fwd)).over(running), F.lit(0)))
+        .withColumns({"prev_ts": F.lag("ts_us").over(w), "seen": F.sum(fwd).over(running)})
+        .withColumns({
+            "sess": F.count(F.when(fresh, 1)).over(running),
+            "base": F.coalesce(F.max(F.when(fresh, F.col("seen") - fwd)).over(running), F.lit(0)),
+        })
         .select(*part, "ts_us", "frame_no", "is_syn", "sess", (F.col("seen") - F.col("base")).alias("pos"))
     )
 
