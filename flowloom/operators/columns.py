@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.schemas import FLOW_NAMES, HEADER_STYLES, SHORT_HEADERS, SHORT_TO_CIC2017
 
 
-def _quoted(name: str):
+def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
@@ -36,7 +36,7 @@ def select_features(df: DataFrame, style: str = "short") -> DataFrame:
     cols = []
     for internal, short, header in zip(FLOW_NAMES, SHORT_HEADERS, headers):
         source = internal if internal in have else short if short in have else None
-        cols.append((_quoted(source) if source else F.lit(0)).alias(header))
+        cols.append((quoted(source) if source else F.lit(0)).alias(header))
     return df.select(*cols)
 
 
@@ -70,18 +70,23 @@ def resolve_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     origin = {c: c for c in df.columns}
     for expected, actual in resolve_alias_names(df.columns, aliases):
         origin[expected] = origin[actual]
-    return df.select(*[_quoted(source).alias(name) for name, source in origin.items()])
+    return df.select(*[quoted(source).alias(name) for name, source in origin.items()])
 
 
-def prepare_features(df: DataFrame, feature_names: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
-    """The model's columns in model order, whichever header style the input has."""
+def with_features(df: DataFrame, feature_names: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """``df`` plus every model column that an alias can supply; by default the two header styles."""
     if aliases is None:
         aliases = {**SHORT_TO_CIC2017, **{cic: short for short, cic in SHORT_TO_CIC2017.items()}}
-    full = resolve_aliases(df, aliases)
+    full = resolve_aliases(df, {k: v for k, v in aliases.items() if k not in df.columns})
     missing = [n for n in feature_names if n not in full.columns]
     if missing:
         raise ValueError(f"columns missing for the model: {missing}")
-    return full.select(*[_quoted(n) for n in feature_names])
+    return full
+
+
+def prepare_features(df: DataFrame, feature_names: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """The model's columns in model order, whichever header style the input has."""
+    return with_features(df, feature_names, aliases).select(*[quoted(n) for n in feature_names])
 
 
 def schema_diff(names: Iterable[str], expected: Iterable[str]) -> dict[str, object]:

@@ -25,50 +25,59 @@ def _u(start: str, width: int) -> str:
     return f"cast(conv(substring(head, 2 * ({start}) + 1, {2 * width}), 16, 10) as bigint)"
 
 
+def _stage(df: DataFrame, exprs: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Append columns computed once per row.
+
+    The fields of a header depend on each other several levels deep. Written as nested projections the
+    optimiser would inline every level into the next and into each filter. A one-element ``inline``
+    keeps the levels apart while all of them stay in generated code.
+    """
+    kept = [F.col(c) for c in df.columns if c not in drop]
+    return df.select(*kept, F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in exprs.items()]))))
+
+
 def strip_l2(frames: DataFrame) -> DataFrame:
     """Add ``ip_at`` (offset of the IPv4 header) or ``l2_error``.
 
     A NULL link type means loopback; an unknown one is read as bare IP.
     """
-    df = frames.withColumns({
-        "head": F.expr(f"hex(substring(raw, 1, {HEAD_BYTES}))"),
-        "captured": F.length("raw"),
-        "link": F.coalesce("linktype", F.lit(LOOPBACK)),
+    df = _stage(frames, {
+        "head": f"hex(substring(raw, 1, {HEAD_BYTES}))",
+        "captured": "length(raw)",
+        "link": f"coalesce(linktype, {LOOPBACK})",
     })
-    vlan = f"link = {ETHERNET} and captured >= 14 and {_u('12', 2)} = {VLAN_ETHERTYPE}"
-    df = df.withColumn("tagged", F.expr(vlan))
-    return df.withColumns({
-        "ip_at": F.expr(f"""case link when {ETHERNET} then if(tagged, 18, 14) when {LINUX_SLL} then 16
-                                      when {LOOPBACK} then 4 else 0 end"""),
-        "l2_error": F.expr(f"""case
+    df = _stage(df, {"tagged": f"link = {ETHERNET} and captured >= 14 and {_u('12', 2)} = {VLAN_ETHERTYPE}"})
+    return _stage(df, {
+        "ip_at": f"""case link when {ETHERNET} then if(tagged, 18, 14) when {LINUX_SLL} then 16
+                               when {LOOPBACK} then 4 else 0 end""",
+        "l2_error": f"""case
             when link = {ETHERNET} and captured < 14 then 'ethernet_short'
             when link = {ETHERNET} and tagged and captured < 18 then 'vlan_short'
             when link = {ETHERNET} and {_u('if(tagged, 16, 12)', 2)} <> {IPV4_ETHERTYPE} then 'ethertype_not_ipv4'
             when link = {LINUX_SLL} and captured < 16 then 'sll_short'
             when link = {LINUX_SLL} and {_u('14', 2)} <> {IPV4_ETHERTYPE} then 'sll_not_ipv4'
-            when link = {LOOPBACK} and captured < 4 then 'loopback_short' end"""),
-    }).drop("tagged", "link")
+            when link = {LOOPBACK} and captured < 4 then 'loopback_short' end""",
+    }, drop=("tagged", "link"))
 
 
 def parse_frames(frames: DataFrame) -> DataFrame:
     """All input columns but ``raw``, the packet columns, and ``parse_error`` (NULL if decoded)."""
     kept = [c for c in frames.columns if c != "raw"]
-    df = strip_l2(frames.filter("length(raw) > 0"))
-    df = df.withColumn("ip_len", F.expr("if(l2_error is null, captured - ip_at, 0)"))
-    df = df.withColumns({
-        "ihl": F.expr(f"if(ip_len >= 20, ({_u('ip_at', 1)} & 15) * 4, null)"),
-        "proto": F.expr(f"if(ip_len >= 20, {_u('ip_at + 9', 1)}, null)"),
-        "total_len": F.expr(f"if(ip_len >= 20, {_u('ip_at + 2', 2)}, null)"),
+    df = strip_l2(frames.filter("length(raw) > 0")).drop("raw")
+    df = _stage(df, {"ip_len": "if(l2_error is null, captured - ip_at, 0)"})
+    df = _stage(df, {
+        "ihl": f"if(ip_len >= 20, ({_u('ip_at', 1)} & 15) * 4, null)",
+        "proto": f"if(ip_len >= 20, {_u('ip_at + 9', 1)}, null)",
+        "total_len": f"if(ip_len >= 20, {_u('ip_at + 2', 2)}, null)",
     })
-    df = df.withColumn("l4_at", F.expr("ip_at + ihl"))
-    df = df.withColumn("l4_len", F.expr(f"""case
-        when proto = {TCP} and ip_len >= ihl + 20 then ({_u('l4_at + 12', 1)} >> 4) * 4
-        when proto = {UDP} and ip_len >= ihl + 8 then 8 end"""))
-    df = df.withColumns({
-        "hdr": F.expr("ihl + l4_len"),
-        "wire_len": F.expr("if(total_len > 0, total_len, ip_len)"),
+    df = _stage(df, {
+        "l4_at": "ip_at + ihl",
+        "l4_len": f"""case
+            when proto = {TCP} and ip_len >= ihl + 20 then ({_u('ip_at + ihl + 12', 1)} >> 4) * 4
+            when proto = {UDP} and ip_len >= ihl + 8 then 8 end""",
+        "wire_len": "if(total_len > 0, total_len, ip_len)",
     })
-    df = df.withColumn("parse_error", F.expr(f"""case
+    df = _stage(df, {"parse_error": f"""case
         when l2_error is not null then l2_error
         when ip_len < 20 then 'ip_short'
         when ihl < 20 then 'ihl_invalid'
@@ -77,12 +86,12 @@ def parse_frames(frames: DataFrame) -> DataFrame:
         when proto = {TCP} and l4_len < 20 then 'tcp_offset_invalid'
         when proto = {UDP} and ip_len < ihl + 8 then 'udp_short'
         when proto not in ({TCP}, {UDP}) then 'protocol_unsupported'
-        when wire_len < hdr then 'total_len_too_small' end"""))
+        when wire_len < ihl + l4_len then 'total_len_too_small' end"""})
     values = {
         "src_ip_int": _u("ip_at + 12", 4), "dst_ip_int": _u("ip_at + 16", 4),
         "src_port": f"cast({_u('l4_at', 2)} as int)", "dst_port": f"cast({_u('l4_at + 2', 2)} as int)",
-        "protocol": "cast(proto as int)", "header_len": "cast(hdr as int)",
-        "payload_len": "cast(wire_len - hdr as int)",
+        "protocol": "cast(proto as int)", "header_len": "cast(ihl + l4_len as int)",
+        "payload_len": "cast(wire_len - ihl - l4_len as int)",
         "tcp_flags": f"cast(if(proto = {TCP}, {_u('l4_at + 13', 1)}, 0) as int)",
     }
     return df.selectExpr(

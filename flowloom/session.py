@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,11 @@ def durable(df: DataFrame) -> DataFrame:
     which is slower but equally correct since every step is deterministic.
     """
     return df.checkpoint() if _checkpoint_dir(df.sparkSession) else df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name on storage that every executor can reach."""
+    root = _checkpoint_dir(spark)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
