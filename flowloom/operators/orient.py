@@ -19,13 +19,10 @@ FLOW_KEY = ["flow_src_ip_int", "flow_src_port", "dst_ip_int", "dst_port", "proto
 
 def bidirectional_flow_key(packets: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
     """Packets with the 5-tuple of their flow's first packet and ``is_fwd`` relative to it."""
-    src, dst = F.struct("src_ip_int", "src_port"), F.struct("dst_ip_int", "dst_port")
-    forward_order = src <= dst
-    low, high = F.when(forward_order, src).otherwise(dst), F.when(forward_order, dst).otherwise(src)
-    rows = packets.withColumns({
-        "from_a": forward_order, "bucket": F.expr(f"ts_us div {idle_us}"),
-        "ip_a": low.getField("src_ip_int"), "port_a": low.getField("src_port"),
-        "ip_b": high.getField("dst_ip_int"), "port_b": high.getField("dst_port"),
+    from_a = F.expr("src_ip_int < dst_ip_int or (src_ip_int = dst_ip_int and src_port <= dst_port)")
+    rows = packets.withColumns({"from_a": from_a, "bucket": F.expr(f"ts_us div {idle_us}")}).withColumns({
+        "ip_a": F.expr("if(from_a, src_ip_int, dst_ip_int)"), "port_a": F.expr("if(from_a, src_port, dst_port)"),
+        "ip_b": F.expr("if(from_a, dst_ip_int, src_ip_int)"), "port_b": F.expr("if(from_a, dst_port, src_port)"),
     })
     buckets = rows.groupBy(*PAIR, "bucket").agg(
         F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"),

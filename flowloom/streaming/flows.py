@@ -161,31 +161,26 @@ def stream_flows(packets: DataFrame, threshold: int = SYN_THRESHOLD, idle_us: in
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         saved = json.loads(state.get[0]) if state.exists else {"flow": None, "wait": {c: [] for c in names}}
         waiting = {c: np.asarray(saved["wait"][c], dtype=bool if c == "is_syn" else np.int64) for c in names}
-        if state.hasTimedOut:
-            final = True
-        else:
-            final = False
-            fresh = [b for b in batches]
+        fresh = [] if state.hasTimedOut else list(batches)
+        if fresh:
             waiting = {c: np.concatenate([waiting[c], *(b[c].to_numpy() for b in fresh)]) for c in names}
         order = np.lexsort((waiting["frame_no"], waiting["ts_us"]))
         waiting = {c: v[order] for c, v in waiting.items()}
-        passed = len(order) if final else int(
-            np.searchsorted(waiting["ts_us"], state.getCurrentWatermarkMs() * 1000, side="right"))
+        now_ms = state.getCurrentWatermarkMs()
+        passed = int(np.searchsorted(waiting["ts_us"], now_ms * 1000, side="right"))
         flow, closed = _fold(key, saved["flow"], {c: v[:passed] for c, v in waiting.items()}, threshold, idle_us)
-        if final:
-            if flow:
-                closed.append(_raw_row(key, flow, False))
+        # any packet still to come is later than the watermark
+        if flow and now_ms * 1000 - flow["flow_end_us"] >= idle_us:
+            closed.append(_raw_row(key, flow, False))
+            flow = None
+        wait = {c: v[passed:].tolist() for c, v in waiting.items()}
+        if flow or wait["ts_us"]:
+            state.update((json.dumps({"flow": flow, "wait": wait}),))
+            due = [wait["ts_us"][0]] if wait["ts_us"] else []
+            due += [flow["flow_end_us"] + idle_us] if flow else []
+            state.setTimeoutTimestamp(max(-(-min(due) // 1000), now_ms + 1))
+        elif state.exists:
             state.remove()
-        else:
-            wait = {c: v[passed:].tolist() for c, v in waiting.items()}
-            newest = wait["ts_us"][-1] if wait["ts_us"] else flow["flow_end_us"] if flow else None
-            if newest is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((json.dumps({"flow": flow, "wait": wait}),))
-                due = (newest + idle_us) // 1000 + 1
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if closed:
             out = pd.DataFrame(closed, columns=schema.names)
             yield out.astype({c: "Int64" for c in int_columns})
