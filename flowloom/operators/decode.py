@@ -66,17 +66,20 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     df = strip_l2(frames.filter("length(raw) > 0")).drop("raw")
     df = _stage(df, {"ip_len": "if(l2_error is null, captured - ip_at, 0)"})
     df = _stage(df, {
-        "ihl": f"if(ip_len >= 20, ({_u('ip_at', 1)} & 15) * 4, null)",
+        "word0": f"if(ip_len >= 20, {_u('ip_at', 4)}, null)",
         "proto": f"if(ip_len >= 20, {_u('ip_at + 9', 1)}, null)",
-        "total_len": f"if(ip_len >= 20, {_u('ip_at + 2', 2)}, null)",
     })
+    df = _stage(df, {"ihl": "((word0 >> 24) & 15) * 4", "total_len": "word0 & 65535"}, drop=("word0",))
+    # TCP data offset and flags are the two bytes of one word
     df = _stage(df, {
         "l4_at": "ip_at + ihl",
-        "l4_len": f"""case
-            when proto = {TCP} and ip_len >= ihl + 20 then ({_u('ip_at + ihl + 12', 1)} >> 4) * 4
-            when proto = {UDP} and ip_len >= ihl + 8 then 8 end""",
+        "tcp_word": f"if(proto = {TCP} and ip_len >= ihl + 20, {_u('ip_at + ihl + 12', 2)}, null)",
         "wire_len": "if(total_len > 0, total_len, ip_len)",
     })
+    df = _stage(df, {
+        "l4_len": f"if(proto = {UDP}, 8, (tcp_word >> 12) * 4)",
+        "ports": f"if(ip_len >= ihl + 8, {_u('l4_at', 4)}, null)",
+    })
     df = _stage(df, {"parse_error": f"""case
         when l2_error is not null then l2_error
         when ip_len < 20 then 'ip_short'
@@ -89,10 +92,10 @@ def parse_frames(frames: DataFrame) -> DataFrame:
         when wire_len < ihl + l4_len then 'total_len_too_small' end"""})
     values = {
         "src_ip_int": _u("ip_at + 12", 4), "dst_ip_int": _u("ip_at + 16", 4),
-        "src_port": f"cast({_u('l4_at', 2)} as int)", "dst_port": f"cast({_u('l4_at + 2', 2)} as int)",
+        "src_port": "cast(ports >> 16 as int)", "dst_port": "cast(ports & 65535 as int)",
         "protocol": "cast(proto as int)", "header_len": "cast(ihl + l4_len as int)",
         "payload_len": "cast(wire_len - ihl - l4_len as int)",
-        "tcp_flags": f"cast(if(proto = {TCP}, {_u('l4_at + 13', 1)}, 0) as int)",
+        "tcp_flags": "cast(coalesce(tcp_word & 255, 0) as int)",
     }
     return df.selectExpr(
         *kept, *[f"if(parse_error is null, {values[c]}, null) as {c}" for c in PACKET_COLUMNS], "parse_error")

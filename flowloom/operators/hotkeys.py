@@ -64,14 +64,13 @@ def split_hot_keys(packets: DataFrame, key: list[str], chunk_rows: int | None =
     sampled = packets if fraction >= 1.0 else packets.sample(fraction, seed=17)
     counts = sampled.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
-    # a key above the limit holds more than `limit` rows, so at most total/limit keys qualify
-    total = (counts.agg(F.sum("n")).first()[0] or 0) / fraction
-    limit = max(limit, math.ceil(total / MAX_CHUNKS))
+    # one row per key with more than `limit` packets: fewer than total / limit rows
     hot = counts.filter(F.col("n") / fraction > limit).toPandas()
     if hot.empty:
         return HotKeys(packets, None)
-
     hot["n"] = hot["n"] / fraction
+    limit = max(limit, math.ceil(hot["n"].sum() / MAX_CHUNKS))
+
     slices_wanted = (hot["n"] / limit * SLICES_PER_CHUNK).clip(lower=1)
     width = ((hot["hi"] - hot["lo"] + 1) / slices_wanted).clip(lower=1)
     hot["shift"] = width.map(lambda w: int(math.log2(w)))

@@ -38,14 +38,19 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
-    Used where several later steps read one expensive result. The folder is the
-    cluster's ``spark.checkpoint.dir``; only a local master gets a folder of our own.
-    On a cluster without the setting the result is simply recomputed by each reader,
-    which is slower but equally correct since every step is deterministic.
+    Used where several later steps read one expensive result; as a columnar table each reader
+    loads only what it needs. The folder is the cluster's ``spark.checkpoint.dir``; only a local
+    master gets a folder of our own. On a cluster without the setting the result is simply
+    recomputed by each reader, slower but equal since every step is deterministic.
     """
-    return df.checkpoint() if _checkpoint_dir(df.sparkSession) else df
+    spark = df.sparkSession
+    if not _checkpoint_dir(spark):
+        return df
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
