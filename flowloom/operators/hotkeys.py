@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 2_000_000
-MAX_CHUNKS = 10_000
-SLICES_PER_CHUNK = 16
+MAX_CHUNKS = 40_000
+SLICES_PER_CHUNK = 8
 REFINE_BITS = 6
 SMALL_INPUT_BYTES = 64 << 20
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -255,25 +255,45 @@ register("flow_features_cic2017", partial(exported, style="cic2017"),
          FLOWS_SQL + f" select {O.pick(FLOW_NAMES, O.CIC2017)} from flows")
 
 
-def flow_labels(spark: SparkSession, sf: str) -> DataFrame:
-    parts = packet_deltas(events(spark, sf))
-    cols = ["frame_no", "fs_us", "fs_frame", "iat_us", "active_us", "idle_us"]
-    return parts[0].filter("frame_no is not null").select(*cols)
+def delta_query(columns: list[str], **options) -> Query:
+    """Per-packet columns of usual and hot keys together, cut markers left out."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        parts = packet_deltas(events(spark, sf), **options)
+        rows = reduce(DataFrame.unionByName, [p.select("frame_no", *columns) for p in parts])
+        return rows.filter("frame_no is not null")
+
+    return run
 
 
-register("packet_deltas", flow_labels, O.segmented(O.EVENT_PACKETS) + f""",
+register("packet_deltas", delta_query(["fs_us", "fs_frame", "iat_us", "active_us", "idle_us"]), O.segmented(O.EVENT_PACKETS) + f""",
     ends as (select {O.LABEL}, sub + 1 as sub, max(ts_us) - min(ts_us) as v from h group by {O.LABEL}, sub)
     select frame_no, fs_us, fs_frame, coalesce(gap, 0) as iat_us,
       case when gap > 1000000 and v > 0 then v end as active_us, case when gap > 1000000 then gap end as idle_us
     from h left join ends using ({O.LABEL}, sub)""")
 
 
+BULK_DELTAS = ["f_bulk_n", "f_bulk_pkts", "f_bulk_bytes", "f_bulk_us"]
+
+
 def dir_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    parts = packet_deltas(events(spark, sf), directional=True, syn_cut=False)
-    return parts[0].select("frame_no", F.coalesce("f_iat_us", "b_iat_us").alias("dir_iat_us"))
+    rows = delta_query(["f_iat_us", "b_iat_us"], directional=True, syn_cut=False)(spark, sf)
+    return rows.select("frame_no", F.coalesce("f_iat_us", "b_iat_us").alias("dir_iat_us"))
 
 
+register("w_session", delta_query(["fs_us", "fs_frame"], syn_cut=False),
+         O.segmented(O.EVENT_PACKETS, False) + " select frame_no, fs_us, fs_frame from h")
+register("w_lag_iat", delta_query(["iat_us"]), O.segmented(O.EVENT_PACKETS) + " select frame_no, coalesce(gap, 0) as iat_us from h")
 register("w_dir_iat", dir_gaps, O.segmented(O.EVENT_PACKETS, False, True) + " select frame_no, dgap as dir_iat_us from h")
+register("w_bulk_run", delta_query(BULK_DELTAS), O.segmented(O.EVENT_PACKETS) + f""",
+    b0 as (select *, ts_us - lag(ts_us) over wb as since, case when ts_us - lag(ts_us) over wb <= 1000000 then 0 else 1 end as brk
+      from h where payload_len > 0 window wb as (partition by {O.LABEL} order by ts_us, frame_no)),
+    b1 as (select *, sum(brk) over (partition by {O.LABEL} order by ts_us, frame_no rows unbounded preceding) as run_no from b0),
+    b2 as (select *, row_number() over wr as nth, sum(payload_len) over wr as so_far, min(ts_us) over wr as begun
+      from b1 window wr as (partition by {O.LABEL}, run_no order by ts_us, frame_no))
+    select frame_no, case when nth = 4 then 1 end as f_bulk_n, case when nth = 4 then 4 when nth > 4 then 1 end as f_bulk_pkts,
+      case when nth = 4 then so_far::bigint when nth > 4 then payload_len end as f_bulk_bytes,
+      case when nth = 4 then ts_us - begun when nth > 4 then since end as f_bulk_us
+    from h left join (select frame_no, nth, so_far, begun, since from b2) using (frame_no)""")
 
 
 def top_destinations(spark: SparkSession, sf: str) -> DataFrame:
