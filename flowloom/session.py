@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,22 @@ def build_session(app_name: str = "flowloom", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session's executors, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_flowloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="flowloom-code-"), "flowloom-code.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._flowloom_shipped = True
+
+
 def _checkpoint_dir(spark: SparkSession) -> str | None:
     current = spark.sparkContext.getCheckpointDir()
     if current:
