@@ -30,7 +30,7 @@ from flowloom.llm.textbytes import blocks, carry_rows
 
 #: The pattern by which byte-level BPE of this kind cuts text before merging. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 _NONE = np.int32(1 << 30)
 _SHORT = 64
 _SLOTS = 1 << 20
@@ -322,7 +322,7 @@ def bpe_encode(df: DataFrame, vocabulary: Shared, text: str = "text", ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         for batch in batches:
-            for block in blocks(batch.column("text"), 4 << 20):
+            for block in blocks(batch.column("text"), 2 << 20):
                 coded = encoder.encode([t.decode() for t in block.texts()])
                 at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
