@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.bpe import Shared, bpe_decode, bpe_encode
+from flowloom.llm.exact_dedup import exact_groups
+from flowloom.llm.simhash import near_groups
+from flowloom.llm.substring_dedup import repeated_spans, without_spans
 from flowloom.llm.token_counts import context_totals, length_histogram
 from flowloom.llm.url_filter import filter_urls
 
@@ -72,5 +75,44 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(lengths))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op5_bpe": op5_bpe, "op7_token_counts": op7_token_counts}
-ORACLES = {"op1_url_filter": OP1_SQL}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    kept = without_spans(docs, repeated_spans(docs))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM g WHERE i + 49 <= len(w)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM s),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM m WHERE least < doc_id),
+k AS (
+  SELECT g.doc_id, count(r.i) AS n_removed,
+         string_agg(g.w[g.i], ' ' ORDER BY g.i) FILTER (WHERE r.i IS NULL) AS kept
+  FROM g LEFT JOIN r ON g.doc_id = r.doc_id AND g.i = r.i GROUP BY g.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op5_bpe": op5_bpe,
+           "op7_token_counts": op7_token_counts, "op8_exact_dedup": op8_exact_dedup, "op10_simhash": op10_simhash}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
