@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.bpe import Shared, bpe_decode, bpe_encode
 from flowloom.llm.exact_dedup import exact_groups
+from flowloom.llm.labelled import fold
+from flowloom.llm.quality import CUT, score_quality, train_quality
 from flowloom.llm.simhash import near_groups
 from flowloom.llm.substring_dedup import repeated_spans, without_spans
 from flowloom.llm.token_counts import context_totals, length_histogram
+from flowloom.llm.toxicity import score_toxicity, train_toxicity
 from flowloom.llm.url_filter import filter_urls
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +73,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def _judged(scored: DataFrame, cut: float) -> DataFrame:
+    held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
+    return scored.select("row.doc_id", "score").select(
+        "doc_id", held_out, "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = encoded(_table(spark, sf_dir, "documents")).select(F.size("ids").alias("n_tokens"))
     return context_totals(length_histogram(lengths))
@@ -109,10 +123,16 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels"))), CUT)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op5_bpe": op5_bpe,
-           "op7_token_counts": op7_token_counts, "op8_exact_dedup": op8_exact_dedup, "op10_simhash": op10_simhash}
+           "op6_toxicity": op6_toxicity,
+           "op7_token_counts": op7_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}

@@ -93,23 +93,24 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word, equal for equal bytes wherever the word stands."""
+    def hashes(self, first_bytes: int | None = None) -> np.ndarray:
+        """A 64-bit hash for each word (or its ``first_bytes``), equal for equal bytes wherever the word stands."""
         power, inverse = _both_powers(_BASE)
+        ends = self.ends if first_bytes is None else np.minimum(self.ends, self.starts + first_bytes)
         out = np.empty(len(self.starts), dtype=np.uint64)
         i, n = 0, len(self.starts)
         while i < n:
             base = self.starts[i]
-            j = int(np.searchsorted(self.ends, base + _TABLE, side="left"))
+            j = int(np.searchsorted(ends, base + _TABLE, side="left"))
             if j <= i:  # one word longer than the table
-                out[i] = self._long(self.starts[i], self.ends[i], power)
+                out[i] = self._long(self.starts[i], ends[i], power)
                 i += 1
                 continue
-            part = self.buf[base:self.ends[j - 1]].astype(np.uint64) + np.uint64(1)
+            part = self.buf[base:ends[j - 1]].astype(np.uint64) + np.uint64(1)
             part *= power[:len(part)]
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
             np.cumsum(part, out=sums[1:])
-            a, b = self.starts[i:j] - base, self.ends[i:j] - base
+            a, b = self.starts[i:j] - base, ends[i:j] - base
             out[i:j] = (sums[b] - sums[a]) * inverse[a]
             i = j
         return mix(out)
