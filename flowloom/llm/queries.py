@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.bpe import Shared, bpe_decode, bpe_encode
+from flowloom.llm.decontaminate import find_leaks
 from flowloom.llm.exact_dedup import exact_groups
 from flowloom.llm.labelled import fold
+from flowloom.llm.license_scan import license_report, scan_licenses
 from flowloom.llm.quality import CUT, score_quality, train_quality
 from flowloom.llm.simhash import near_groups
 from flowloom.llm.substring_dedup import repeated_spans, without_spans
@@ -111,6 +113,15 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(scan_licenses(_table(spark, sf_dir, "documents"))).drop("spans")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -132,7 +143,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op5_bpe": op5_bpe,
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op3_license_scan": op3_license_scan,
+           "op4_decontaminate": op4_decontaminate, "op5_bpe": op5_bpe,
            "op6_toxicity": op6_toxicity,
            "op7_token_counts": op7_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
