@@ -7,7 +7,7 @@ each document it stands in. So only suffixes that start at minimisers are kept,
 whose prefix occurs in two documents at least: no shared window is lost, and most text is never moved.
 
 Groups. Suffixes are partitioned by their first ``PREFIX`` words; a group holds suffixes of at most
-``CROWD`` documents, each with the ``window - PREFIX`` words before and the ``window`` words from its start.
+``CROWD`` documents, each with the ``WINDOW - PREFIX`` words before and the ``window`` words from its start.
 Where more documents share a prefix, it is lengthened to the whole window: such suffixes are grouped by
 full windows, which Spark aggregates before it exchanges them. So no group outgrows memory.
 
@@ -20,7 +20,8 @@ decides. Whole Arrow batches of groups are handled together, the prefix being th
 Words are compared by 64-bit hashes of their bytes, windows under lengthened prefixes by 128 bits.
 
 Null and empty texts have no words. Documents with a null id have no smaller and no larger id: they
-keep all words and take none from others. Rows that repeat an id don't act on each other.
+keep all words and take none from others. Rows that repeat an id don't act on each other, whether their
+texts are equal or not.
 """
 
 from __future__ import annotations
@@ -73,19 +74,23 @@ class Anchors:
 
 
 def _prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Distinct ``key``, ``doc_id``: the minimiser prefixes in each document."""
+    """Distinct ``key``, ``doc_id``, ``row_id``: the minimiser prefixes in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            ids = batch.column("doc_id").to_numpy()
+            ids, rows = batch.column("doc_id").to_numpy(), batch.column("row_id").to_numpy()
             for block in blocks(batch.column("text")):
                 found = Anchors(block.words(PLAIN), window, prefix)
-                pairs = np.unique(np.stack([found.text.astype(np.uint64), found.key], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64).copy() if len(pairs) else np.empty(0, dtype=np.int64)),
-                                                  pa.array(ids[pairs[:, 0].astype(np.int64) + block.first])], ["key", "doc_id"])
+                order = np.lexsort((found.key, found.text))
+                text, key = found.text[order], found.key[order]
+                new = np.ones(len(text), dtype=bool)
+                new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+                of = text[new] + block.first
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[of]), pa.array(rows[of])],
+                                                 ["key", "doc_id", "row_id"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.select("doc_id", "row_id", "text").mapInArrow(run, "key long, doc_id long, row_id long")
 
 
 def _mark(text: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -94,22 +99,23 @@ def _mark(text: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], column: str, window: int, prefix: int):
-    """Blocks with their document ids and minimisers, those marked whose prefix is in the document's list ``column``."""
+    """Blocks with their document and row ids and minimisers, those marked whose prefix is in the document's list ``column``."""
     for batch in batches:
         batch = batch.filter(batch.column(column).is_valid())
-        ids = batch.column("doc_id").to_numpy()
+        ids, rows = batch.column("doc_id").to_numpy(), batch.column("row_id").to_numpy()
         for block in blocks(batch.column("text")):
             lists = batch.column(column).slice(block.first, len(block))
             wanted = _mark(np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy()),
                            lists.flatten().to_numpy().view(np.uint64))
             found = Anchors(block.words(PLAIN), window, prefix)
-            yield block, ids[block.first:block.first + len(block)], found, np.isin(_mark(found.text, found.key), wanted)
+            own = slice(block.first, block.first + len(block))
+            yield block, ids[own], rows[own], found, np.isin(_mark(found.text, found.key), wanted)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Marked suffixes with the words around their start; equal ones of a document together."""
     reach = window - prefix
-    for block, ids, found, marked in _repeated(batches, "few", window, prefix):
+    for block, ids, rows, found, marked in _repeated(batches, "few", window, prefix):
         at, text, words = found.at[marked], found.text[marked], found.words
         first, last = words.first[text], words.first[text + 1]
         a, b = np.maximum(first, at - reach), np.minimum(last, at + window)
@@ -119,18 +125,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
                         words.starts[a].tolist(), words.ends[b - 1].tolist(), (at - first).tolist(), strict=True):
             places.setdefault((*item[:3], data[item[3]:item[4]]), []).append(item[5])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[1] for k in places], type=pa.int64()), pa.array(ids[[k[0] for k in places]] if places else [], type=pa.int64()),
+            [pa.array([k[1] for k in places], type=pa.int64()), *[pa.array(v[[k[0] for k in places]] if places else [], type=pa.int64()) for v in (ids, rows)],
              pa.array([k[2] for k in places], type=pa.int32()), pa.array([k[3] for k in places], type=pa.binary()),
-             pa.array(list(places.values()), type=pa.list_(pa.int32()))], ["key", "doc_id", "before", "words", "places"])
+             pa.array(list(places.values()), type=pa.list_(pa.int32()))], ["key", "doc_id", "row_id", "before", "words", "places"])
 
 
 def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Windows whose minimiser is marked, by 128-bit hashes; once for each document and window."""
-    for _, ids, found, marked in _repeated(batches, "many", window, prefix):
+    for _, ids, own, found, marked in _repeated(batches, "many", window, prefix):
         words, n = found.words, len(found.hashes)
         hit = np.zeros(n + window, dtype=bool)
         hit[found.at[marked]] = True
-        rows = np.empty((0, 4), dtype=np.int64)
+        rows = np.empty((0, 5), dtype=np.int64)
         if marked.any():
             span = window - prefix + 1
             start = np.flatnonzero(_slide(hit[:n + span - 1 - prefix + 1], span, np.logical_or)[:n - window + 1])
@@ -144,8 +150,8 @@ def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -
             h1 = gram_hashes(found.hashes, window)[start].view(np.int64)
             h2 = gram_hashes(mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D)), window)[start].view(np.int64)
             text = np.searchsorted(words.first, start, side="right") - 1
-            rows = np.stack([h1, h2, ids[text].astype(np.int64), start - words.first[text]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(4)], ["h1", "h2", "doc_id", "start"])
+            rows = np.stack([h1, h2, ids[text], own[text], start - words.first[text]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(5)], ["h1", "h2", "doc_id", "row_id", "start"])
 
 
 def _tree(sequence: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,12 +174,9 @@ def _nodes(tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
 def _covered(table: pa.Table, window: int, prefix: int) -> pa.RecordBatch:
     """Word ranges of documents that windows shared with a smaller id cover, for whole groups of suffixes."""
     reach = window - prefix
-    doc, before = table.column("doc_id").to_numpy(), table.column("before").to_numpy().astype(np.int64)
-    buf, offsets = [], [0]
-    texts = table.column("words").combine_chunks()
-    parts = [(b.buf, b.offsets) for b in blocks(texts, 1 << 40)]
-    buf, offsets = parts[0]
-    words = Words(buf, offsets, PLAIN)
+    doc, owner = table.column("doc_id").to_numpy(), table.column("row_id").to_numpy()
+    before = table.column("before").to_numpy().astype(np.int64)
+    words = next(blocks(table.column("words"), 1 << 40)).words(PLAIN)
     hashes, n = np.append(words.hashes(), np.uint64(0)), len(doc)
     after, start = words.counts() - before, words.first[:-1] + before
     place = np.arange(window)
@@ -202,8 +205,8 @@ def _covered(table: pa.Table, window: int, prefix: int) -> pa.RecordBatch:
     run = np.repeat(np.arange(len(row)), times)
     at = flat[base[row][run] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[row][run]), pa.array((at - end[run] + 1).astype(np.int32)), pa.array((at - first[run] + window).astype(np.int32))],
-        ["doc_id", "start", "stop"])
+        [pa.array(owner[row][run]), pa.array((at - end[run] + 1).astype(np.int32)), pa.array((at - first[run] + window).astype(np.int32))],
+        ["row_id", "start", "stop"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
@@ -223,35 +226,42 @@ def _trees(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Itera
         yield _covered(held, window, prefix)
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``row_id`` names a document by id and text; null for a null id."""
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("row_id"), "text")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD,
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``spans``: word ranges (``start``, ``stop``) of each document that windows of documents with smaller ids repeat.
+    """``row_id`` (a hash of id and text), ``spans``: word ranges (``start``, ``stop``) of each document that windows of
+    documents with smaller ids repeat.
 
     Ranges may overlap. Documents without such a range, and null ids, have no row.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = _rows(docs, doc_id, text)
     keys = durable(_prefixes(docs, window, prefix))
     shared = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
               .filter("d0 < d1").select("key", (F.col("n") > crowd).alias("crowded")))
-    lists = keys.join(shared, "key").groupBy("doc_id").agg(
+    lists = keys.select("key", "row_id").join(shared, "key").groupBy("row_id").agg(
         F.collect_set(F.when(~F.col("crowded"), F.col("key"))).alias("few"),
         F.collect_set(F.when(F.col("crowded"), F.col("key"))).alias("many"))
-    listed = docs.join(lists, "doc_id", "left")
-    suffixes = listed.select("doc_id", "text", "few").mapInArrow(
-        lambda b: _suffixes(b, window, prefix), "key long, doc_id long, before int, words binary, places array<int>")
+    listed = docs.join(lists, "row_id", "left")
+    suffixes = listed.select("doc_id", "row_id", "text", "few").mapInArrow(
+        lambda b: _suffixes(b, window, prefix), "key long, doc_id long, row_id long, before int, words binary, places array<int>")
     groups = suffixes.repartition("key").sortWithinPartitions("key")
-    few = groups.mapInArrow(lambda b: _trees(b, window, prefix), "doc_id long, start int, stop int")
-    windows = listed.select("doc_id", "text", "many").mapInArrow(
-        lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, start long")
+    few = groups.mapInArrow(lambda b: _trees(b, window, prefix), "row_id long, start int, stop int")
+    windows = listed.select("doc_id", "row_id", "text", "many").mapInArrow(
+        lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, row_id long, start long")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     many = windows.join(least, ["h1", "h2"]).filter("least < doc_id").selectExpr(
-        "doc_id", "cast(start as int) start", f"cast(start + {window} as int) stop")
-    return few.union(many).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        "row_id", "cast(start as int) start", f"cast(start + {window} as int) stop")
+    return few.union(many).groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words outside the spans, joined by one space) for every row."""
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = _rows(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,4 +282,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
                 [batch.column("doc_id"), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()),
                  pa.array(kept, type=pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(spans, "row_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
