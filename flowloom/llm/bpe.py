@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.textbytes import blocks, carry_rows
+from flowloom.llm.textbytes import Block, blocks
 
 #: The pattern by which byte-level BPE of this kind cuts text before merging. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -306,31 +306,46 @@ class Shared:
         self.value_key = path
 
 
-def _field_type(df: DataFrame, extra: T.StructField) -> T.StructType:
-    return T.StructType([T.StructField("row", df.schema["row"].dataType), extra])
+def _beside(df: DataFrame, drop: tuple[str, ...], **columns: str) -> tuple[DataFrame, list[str]]:
+    """``row`` (the columns of ``df`` but ``drop``) beside the columns an operator reads."""
+    keep = [c for c in df.columns if c not in drop]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)
+    return df.select(row.alias("row"), *[F.col(f"`{c}`").alias(name) for name, c in columns.items()]), keep
 
 
-def bpe_encode(df: DataFrame, vocabulary: Shared, text: str = "text", ids: str = "ids") -> DataFrame:
+def _encoded(block: Block, encoder: Encoder) -> pa.ListArray:
+    coded = encoder.encode([t.decode() for t in block.texts()])
+    at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
+
+
+def _decoded(lists: pa.ListArray, vocabulary: Vocabulary) -> pa.Array:
+    ids = (np.empty(0, dtype=np.int32) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in lists)
+    return pa.array([vocabulary.decode(i).decode("utf-8", errors="replace") for i in ids], type=pa.string())
+
+
+def bpe_encode(df: DataFrame, vocabulary: Shared, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All rows and columns of ``df`` but ``text``, and ``ids``: the token ids of the whole text (array of int).
 
-    A column of the name ``ids`` is replaced. Nulls in other columns pass unchanged.
+    With ``decoded`` also a column of that name, decoded from the ids in the same pass. Columns of these names
+    are replaced. Nulls in other columns pass unchanged.
     """
-    keep = [c for c in df.columns if c not in (text, ids)]
-    held = carry_rows(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("\0text")), "`\0text`")
-    held = held.withColumn("row", F.col("row").dropFields("`\0text`") if keep else F.lit(None).cast("int"))
+    held, keep = _beside(df, (text, ids, decoded or ids), text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         for batch in batches:
-            for block in blocks(batch.column("text"), 2 << 20):
-                coded = encoder.encode([t.decode() for t in block.texts()])
-                at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(at), values)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(block.first, len(block)), lists], ["row", "ids"])
+            for block in blocks(batch.column("text")):
+                lists = _encoded(block, encoder)
+                columns = {"row": batch.column("row").slice(block.first, len(block)), "ids": lists}
+                if decoded:
+                    columns["text"] = _decoded(lists, encoder.vocabulary)
+                yield pa.RecordBatch.from_pydict(columns)
 
-    out = held.mapInArrow(run, _field_type(held, T.StructField("ids", T.ArrayType(T.IntegerType()))))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("ids").alias(ids))
+    fields = [T.StructField("row", held.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    out = held.mapInArrow(run, T.StructType(fields + [T.StructField("text", T.StringType())] * bool(decoded)))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("ids").alias(ids),
+                      *([F.col("text").alias(decoded)] if decoded else []))
 
 
 def bpe_decode(df: DataFrame, vocabulary: Shared, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -338,17 +353,12 @@ def bpe_decode(df: DataFrame, vocabulary: Shared, ids: str = "ids", text: str =
 
     A column of the name ``text`` is replaced. A null list decodes to the empty text.
     """
-    keep = [c for c in df.columns if c != text]
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{ids}`").alias("ids"))
+    held, keep = _beside(df, (text,), ids=ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.broadcast.value
         for batch in batches:
-            out = []
-            for tokens in batch.column("ids"):
-                got = np.empty(0, dtype=np.int32) if tokens.values is None else tokens.values.to_numpy(zero_copy_only=False)
-                out.append(known.decode(got).decode("utf-8", errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, type=pa.string())], ["row", "text"])
-
-    out = held.mapInArrow(run, _field_type(held, T.StructField("text", T.StringType())))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("text").alias(text))
+            texts = _decoded(batch.column("ids"), vocabulary.broadcast.value)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
+
+    fields = [T.StructField("row", held.schema["row"].dataType), T.StructField("text", T.StringType())]
+    return held.mapInArrow(run, T.StructType(fields)).select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("text").alias(text))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.bpe import Shared, bpe_decode, bpe_encode
+from flowloom.llm.bpe import Shared, bpe_encode
 from flowloom.llm.decontaminate import find_leaks
 from flowloom.llm.exact_dedup import exact_groups
 from flowloom.llm.labelled import fold
@@ -58,17 +58,12 @@ def _vocabulary(spark: SparkSession) -> Shared:
     return Shared(spark, public_tokenizers.path(VOCABULARY))
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the token ids of each whole text of ``docs``."""
-    return bpe_encode(docs.select("doc_id", "text"), _vocabulary(docs.sparkSession))
-
-
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    coded = encoded(docs)
-    decoded = bpe_decode(coded, _vocabulary(docs.sparkSession), text="decoded")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id``, number of tokens, and digests of the ids and of the text decoded from them."""
+    both = bpe_encode(docs.select("doc_id", "text"), _vocabulary(docs.sparkSession), decoded="decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +82,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = encoded(_table(spark, sf_dir, "documents")).select(F.size("ids").alias("n_tokens"))
+    coded = bpe_encode(_table(spark, sf_dir, "documents").select("text"), _vocabulary(spark))
+    lengths = coded.select(F.size("ids").alias("n_tokens"))
     return context_totals(length_histogram(lengths))
 
 

@@ -10,8 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -157,9 +155,3 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
         yield Block(buf[at[i]:at[j]], at[i:j + 1] - at[i], i)
         i = j
-
-
-def carry_rows(df: DataFrame, text: str | Column) -> DataFrame:
-    """``row`` (all columns of ``df``) beside ``text``: added columns can then not clash with those of ``df``."""
-    column = F.col(text) if isinstance(text, str) else text
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), column.cast("string").alias("text"))
