@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.schemas import FLOW_NAMES, HEADER_STYLES, SHORT_HEADERS, SHORT_TO_CIC2017
+from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, FLOW_TYPES, HEADER_STYLES, SHORT_HEADERS, SHORT_TO_CIC2017
 
 
 def quoted(name: str):
@@ -31,12 +31,15 @@ def header_names(style: str) -> list[str]:
 
 
 def select_features(df: DataFrame, style: str = "short") -> DataFrame:
-    """The 88 columns in export order under public names; an absent column becomes 0."""
+    """The 88 columns in export order under public names; an absent column becomes 0 of its type.
+
+    A column is found under its internal, short or cic2017 name, in this order.
+    """
     headers, have = header_names(style), set(df.columns)
     cols = []
-    for internal, short, header in zip(FLOW_NAMES, SHORT_HEADERS, headers):
-        source = internal if internal in have else short if short in have else None
-        cols.append((quoted(source) if source else F.lit(0)).alias(header))
+    for names, header in zip(zip(FLOW_NAMES, SHORT_HEADERS, CIC2017_HEADERS), headers):
+        source = next((n for n in names if n in have), None)
+        cols.append((quoted(source) if source else F.lit(0).cast(FLOW_TYPES[names[0]])).alias(header))
     return df.select(*cols)
 
 
@@ -51,26 +54,26 @@ def rename_features(df: DataFrame, style: str = "cic2017") -> DataFrame:
     return df.toDF(*rename_header(df.columns, style))
 
 
+def alias_source(name: str, names: set[str], aliases: dict[str, str]) -> str | None:
+    """The existing column that ``name`` leads to along its chain of aliases, if any."""
+    walked: list[str] = []
+    while name not in names and name in aliases and name not in walked:
+        walked.append(name)
+        name = aliases[name]
+    return name if name in names else None
+
+
 def resolve_alias_names(names: Iterable[str], aliases: dict[str, str]) -> list[tuple[str, str]]:
-    """``(new column, source column)`` in creation order, to a fixed point over chained aliases."""
-    have, added = set(names), []
-    for _ in range(max(len(aliases), 1)):
-        before = len(added)
-        for expected, actual in aliases.items():
-            if expected not in have and actual in have:
-                have.add(expected)
-                added.append((expected, actual))
-        if len(added) == before:
-            break
-    return added
+    """``(new column, existing source column)`` for every alias whose chain ends at one of ``names``."""
+    have = set(names)
+    sources = {new: alias_source(new, have, aliases) for new in aliases if new not in have}
+    return [(new, source) for new, source in sources.items() if source is not None]
 
 
 def resolve_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Add every aliased column whose source exists, following chains of aliases."""
-    origin = {c: c for c in df.columns}
-    for expected, actual in resolve_alias_names(df.columns, aliases):
-        origin[expected] = origin[actual]
-    return df.select(*[quoted(source).alias(name) for name, source in origin.items()])
+    added = resolve_alias_names(df.columns, aliases)
+    return df.select(*[quoted(c) for c in df.columns], *[quoted(source).alias(name) for name, source in added])
 
 
 def with_features(df: DataFrame, feature_names: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
@@ -92,8 +95,9 @@ def prepare_features(df: DataFrame, feature_names: list[str], aliases: dict[str,
 def schema_diff(names: Iterable[str], expected: Iterable[str]) -> dict[str, object]:
     """Column names a table lacks or has in excess, in list order, with the usual short listings."""
     names, expected = list(names), list(expected)
-    missing = [n for n in expected if n not in set(names)]
-    extra = [n for n in names if n not in set(expected)]
+    have, wanted = set(names), set(expected)
+    missing = [n for n in expected if n not in have]
+    extra = [n for n in names if n not in wanted]
     return {"missing": missing, "extra": extra, "missing_count": len(missing), "extra_count": len(extra),
             "first10": expected[:10], "last10": expected[-10:],
             "missing_first30": missing[:30], "extra_first30": extra[:30]}

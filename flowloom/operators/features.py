@@ -85,7 +85,7 @@ def _quotient(num: str, den: str) -> str:
 
 
 def _whole_quotient(num: str, den: str) -> str:
-    return f"if({den} > 0, cast({num} as double) / {den}, 0D)".join(("cast(", " as bigint)"))
+    return f"cast(if({den} > 0, cast({num} as double) / {den}, 0D) as bigint)"
 
 
 def _dotted(ip: str) -> str:

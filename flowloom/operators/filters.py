@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.net import TCP, UDP
 
-BROADCAST_ROWS = 100_000
-
 
 def host_filter(packets: DataFrame, ip: str) -> DataFrame:
     """Packets sent from or to one address (integer compare, pushed into the scan)."""
@@ -32,13 +30,10 @@ def is_ipv4(text: Column) -> Column:
 def validate_ip(df: DataFrame, col: str, allowed: DataFrame, allowed_col: str = "ip") -> DataFrame:
     """Add ``status``: empty, malformed, wildcard, not_allowed or ok.
 
-    The allowed set is matched by a left join on distinct addresses. It is broadcast only when a
-    bounded count shows that it is small.
+    The allowed set is matched by a left join on distinct addresses; adaptive execution broadcasts
+    it if its measured size is small.
     """
     wanted = allowed.select(F.trim(F.col(allowed_col)).alias("_allowed")).distinct()
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small:
-        wanted = F.broadcast(wanted)
     text = F.trim(F.coalesce(F.col(col), F.lit("")))
     joined = df.withColumn("_ip", text).join(wanted, F.col("_ip") == F.col("_allowed"), "left")
     status = (F.when(F.col("_ip") == "", "empty")

@@ -121,11 +121,16 @@ def _exit_counts(part: list[str], threshold: int):
         tail = pdf[pdf["sess"] == last_sess]
         total = int(tail["pos"].max())
         pos = np.sort(tail.loc[tail["is_syn"], "pos"].to_numpy())
-        # count left after a cut at each SYN, filled from the end of the chunk
-        nxt = np.searchsorted(pos, pos + threshold)
-        left = np.empty(len(pos), dtype=np.int64)
-        for i in range(len(pos) - 1, -1, -1):
-            left[i] = left[nxt[i]] if nxt[i] < len(pos) else min(total - int(pos[i]), top)
+        # each SYN's next cut, doubled until it stays: the last cut after it
+        n = len(pos)
+        last = np.append(np.searchsorted(pos, pos + threshold), n)
+        last[:n] = np.where(last[:n] < n, last[:n], np.arange(n))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        left = np.minimum(total - pos[last[:n]], top) if n else pos  # packets after the last cut
         exits = []
         for entry in range(threshold):
             start = entry if last_sess == 0 else 0

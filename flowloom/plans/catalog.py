@@ -381,10 +381,9 @@ register("bidirectional_flow_key", bidirectional, O.segmented(BI_SQL, False, Tru
 
 # ---- model frames and files ----------------------------------------------------------------
 
-MODEL_FEATURES = ["Total Fwd Packets", "Flow Bytes/s", "Fwd Header Length", "SYN Flag Count", "Flow IAT Mean",
-                  "Packet Length Mean", "Idle Max"]
-MODEL_SOURCES = dict(zip(MODEL_FEATURES, ["tot_fwd_pkts", "flow_byts_s", "fwd_header_len", "syn_flag_cnt",
-                                          "flow_iat_mean", "pkt_len_mean", "idle_max"]))
+MODEL_COLUMNS = ["tot_fwd_pkts", "flow_byts_s", "fwd_header_len", "syn_flag_cnt", "flow_iat_mean", "pkt_len_mean", "idle_max"]
+MODEL_SOURCES = {dict(zip(FLOW_NAMES, CIC2017_HEADERS))[c]: c for c in MODEL_COLUMNS}
+MODEL_FEATURES = list(MODEL_SOURCES)
 
 
 def prepare_features(spark: SparkSession, sf: str) -> DataFrame:

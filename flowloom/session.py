@@ -43,37 +43,29 @@ def ship_package(spark: SparkSession) -> None:
     context._flowloom_shipped = True
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and spark.sparkContext.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="flowloom-checkpoint-")
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where the driver is the only machine."""
+    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="flowloom-checkpoint-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where several later steps read one expensive result; as a columnar table each reader
-    loads only what it needs. The folder is the cluster's ``spark.checkpoint.dir``; only a local
-    master gets a folder of our own. On a cluster without the setting the result is simply
-    recomputed by each reader, slower but equal since every step is deterministic.
+    loads only what it needs. Without a shared folder on a cluster this is an error.
     """
-    spark = df.sparkSession
-    if not _checkpoint_dir(spark):
-        return df
-    path = scratch_path(spark, "table")
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name on storage that every executor can reach."""
-    root = _checkpoint_dir(spark)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from flowloom.operators.columns import assert_unique_header, rename_features, select_features
+from flowloom.operators.columns import assert_unique_header, quoted, rename_features, select_features
 from flowloom.schemas import FRAMES, flow_schema
 
 
@@ -19,22 +19,41 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> Data
 
 def _header_of(spark: SparkSession, path: str) -> list[str]:
     # a header read touches the first line of one file only
-    return spark.read.option("header", True).csv(path).columns
+    return assert_unique_header(spark.read.option("header", True).csv(path).columns)
+
+
+def _in_file_order(header: list[str], style: str) -> T.StructType:
+    """The typed columns of ``style`` in the order of a file's header; a lacking column is an error."""
+    types = {f.name: f for f in flow_schema(style)}
+    lacking = [n for n in types if n not in header]
+    if lacking:
+        raise ValueError(f"columns missing in the file: {lacking}")
+    return T.StructType([types.get(n, T.StructField(n, T.StringType())) for n in header])
 
 
 def read_flow_csv(spark: SparkSession, path: str, style: str | None = None) -> DataFrame:
-    """A flow CSV with every cell as text, or typed when its header style is named."""
-    if style is not None:
-        schema = flow_schema(style)
-    else:
-        names = assert_unique_header(_header_of(spark, path))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.option("header", True).option("encoding", "UTF-8").schema(schema).csv(path)
+    """A flow CSV with every cell as text, or the typed columns of a named header style.
+
+    Columns are found by name, in whatever order the files have them; files of one path whose headers
+    differ from each other are an error. Bytes that are no UTF-8 are left out.
+    """
+    header = _header_of(spark, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in header]) if style is None else _in_file_order(header, style)
+    rows = (spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").schema(schema).csv(path))
+    wanted = header if style is None else flow_schema(style).fieldNames()
+    texts = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
+    return rows.select(*[(F.replace(quoted(n), F.lit("\ufffd"), F.lit("")) if n in texts else quoted(n)).alias(n) for n in wanted])
 
 
-def stream_flow_csv(spark: SparkSession, directory: str, style: str = "short") -> DataFrame:
-    """Rows of flow CSV files as they appear in a directory; a recreated file is a new file."""
-    return spark.readStream.option("header", True).schema(flow_schema(style)).csv(directory)
+def stream_flow_csv(spark: SparkSession, directory: str, style: str = "short", header: list[str] | None = None) -> DataFrame:
+    """Rows of flow CSV files as they appear in a directory.
+
+    A file's columns must stand in the order of ``header`` (by default the style's own); another order is an
+    error, not a mix-up. The source knows files by path: a recreated file needs a new name.
+    """
+    schema = _in_file_order(header or flow_schema(style).fieldNames(), style)
+    rows = spark.readStream.option("header", True).option("enforceSchema", False).schema(schema).csv(directory)
+    return rows.select(*[quoted(n) for n in flow_schema(style).fieldNames()])
 
 
 def write_flow_csv(flows: DataFrame, path: str, header_style: str = "short") -> None:
@@ -49,7 +68,11 @@ def rename_flow_csv(spark: SparkSession, source: str, target: str, style: str =
     table.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(target)
 
 
-def stream_flows_csv(flows: DataFrame, path: str, checkpoint: str, header_style: str = "short") -> DataStreamWriter:
-    """Continuous CSV append of a flow stream; start the returned writer."""
-    return (select_features(flows, header_style).writeStream.outputMode("append").format("csv")
+def stream_flows_csv(flows: DataFrame, path: str, checkpoint: str, header_style: str = "short",
+                     every: str = "5 seconds") -> DataStreamWriter:
+    """Continuous CSV append of a flow stream, by default each 5 seconds; start the returned writer.
+
+    ``.trigger(...)`` on the writer chooses another rhythm, such as ``availableNow=True``.
+    """
+    return (select_features(flows, header_style).writeStream.outputMode("append").format("csv").trigger(processingTime=every)
             .option("header", True).option("path", path).option("checkpointLocation", checkpoint))

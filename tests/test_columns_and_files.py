@@ -5,7 +5,7 @@ import pytest
 from flowloom.operators import columns as C
 from flowloom.operators.filters import host_filter, validate_ip
 from flowloom.plans.flow_plan import flow_features
-from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, SHORT_HEADERS, SHORT_TO_CIC2017
+from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, FLOW_TYPES, SHORT_HEADERS, SHORT_TO_CIC2017
 from flowloom.sources.files import read_flow_csv, rename_flow_csv, write_flow_csv
 from flowloom.sources.tables import packets_from_events
 
@@ -30,8 +30,8 @@ def test_alias_chain_and_prepare(spark):
     df = spark.createDataFrame([(1,)], "a int")
     chained = C.resolve_aliases(df, {"c": "b", "b": "a", "x": "y"})
     assert sorted(chained.columns) == ["a", "b", "c"] and chained.first().c == 1
-    names = ["Total Fwd Packets", "Flow Bytes/s", "Fwd Header Length"]
-    short = spark.createDataFrame([(1, 100.0, 40)], "`Tot Fwd Pkts` bigint, `Flow Byts/s` double, `Fwd Header Len` bigint")
+    names = ["Idle Max", "FWD Init Win Bytes", "Total Backward Packets", "CWR Flag Count"]
+    short = spark.createDataFrame([(2.5, 0, 17, 3)], "`Idle Max` double, `Init Fwd Win Byts` bigint, `Tot Bwd Pkts` bigint, `CWE Flag Count` bigint")
     long = short.toDF(*names)
     assert C.prepare_features(short, names).collect() == C.prepare_features(long, names).collect()
     with pytest.raises(ValueError):
@@ -51,6 +51,39 @@ def test_select_features_fills_absent_columns(spark):
     assert len(row) == 88 and row["Tot Fwd Pkts"] == 7 and row["Idle Min"] == 0
 
 
+def test_select_features_takes_every_header_style(spark):
+    df = spark.createDataFrame([(7, 2.5)], "`Total Fwd Packets` bigint, `Average Packet Size` double")
+    for style, packets, size in (("short", "Tot Fwd Pkts", "Pkt Size Avg"), ("cic2017", "Total Fwd Packets", "Average Packet Size")):
+        out = C.select_features(df, style)
+        row = out.first()
+        assert row[packets] == 7 and row[size] == 2.5 and row["Idle Min"] == 0.0
+        assert [t for _, t in out.dtypes] == [FLOW_TYPES[n] for n in FLOW_NAMES]
+
+
+def test_alias_cycles_and_long_chains():
+    assert C.resolve_alias_names(["z"], {"a": "b", "b": "a", "c": "c"}) == []
+    chain = {f"n{i}": f"n{i + 1}" for i in range(50)}
+    assert dict(C.resolve_alias_names(["n50", "n3"], chain)) == {f"n{i}": "n3" if i < 3 else "n50" for i in range(50) if i != 3}
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    order = [*SHORT_HEADERS[1:], SHORT_HEADERS[0]]
+    cells = {h: str(i + 1) for i, h in enumerate(SHORT_HEADERS)} | {"Flow ID": "x\xffy"}
+    path = tmp_path / "swapped.csv"
+    path.write_bytes((",".join(order) + "\n" + ",".join(cells[h] for h in order) + "\n").encode("latin-1"))
+    row = read_flow_csv(spark, str(path), "short").first()
+    assert row["Flow ID"] == "xy" and row["Src Port"] == 3 and row["Tot Fwd Pkts"] == 9
+    assert read_flow_csv(spark, str(path)).columns == order
+    with pytest.raises(ValueError):
+        read_flow_csv(spark, str(path), "cic2017")
+    other = tmp_path / "both"
+    other.mkdir()
+    (other / "a.csv").write_text(",".join(SHORT_HEADERS) + "\n" + ",".join(["1"] * 88) + "\n")
+    (other / "b.csv").write_text(",".join(order) + "\n" + ",".join(["1"] * 88) + "\n")
+    with pytest.raises(Exception, match="header"):
+        read_flow_csv(spark, str(other), "short").collect()
+
+
 def test_validate_ip(spark):
     cases = {"": "empty", "  ": "empty", "1.2.3": "malformed", "256.1.1.1": "malformed", "01.2.3.4": "malformed",
              "a.b.c.d": "malformed", "0.0.0.0": "wildcard", " 10.0.0.1 ": "ok", "10.0.0.2": "not_allowed",
