@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.labelled import logistic_fit, sigmoid, training_sample
 from flowloom.llm.textbytes import ALNUM, Block, blocks, mix
+from flowloom.session import durable
 
 BITS = 22
 STEMS = (4, 5, 6)
@@ -52,8 +53,8 @@ def _buckets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(kinds) >> np.uint64(64 - BITS)).astype(np.int64), words.first
 
 
-def _counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with each bucket, in the corpus, among clean and among toxic labels; and the three numbers of documents."""
+def _counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``bucket``, ``all``, ``clean``, ``toxic``: documents with each bucket, in the corpus and among labels; bucket -1 has their numbers."""
     joined = docs.select("doc_id", "text").join(F.broadcast(sample.filter("fold < 4").select("doc_id", "label")), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,31 +77,38 @@ def _counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]
             part = used[a:a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(h[part].astype(np.int64)) for h in held]], names)
 
-    got = (joined.mapInArrow(run, "bucket int, all long, clean long, toxic long").groupBy("bucket")
-           .agg(F.sum("all").alias("all"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow())
-    out = np.zeros((3, (1 << BITS) + 1), dtype=np.int64)  # the last place is that of bucket -1
-    for i, name in enumerate(("all", "clean", "toxic")):
-        out[i, got.column("bucket").to_numpy()] = got.column(name).to_numpy()
-    return out[:, :-1], out[:, -1]
+    return (joined.mapInArrow(run, "bucket int, all long, clean long, toxic long").groupBy("bucket")
+            .agg(F.sum("all").alias("all"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
 
 
-def _lexicon(counts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score of each bucket and its share of clean words. ``docs``: documents in all, clean and toxic."""
-    corpus, clean, toxic = counts.astype(np.float64)
-    there = PRIOR + PRIOR_DOCS * corpus / max(1, docs[0])
-    without = PRIOR + PRIOR_DOCS * (1 - corpus / max(1, docs[0]))
-    a, b = toxic + there, clean + there
-    not_a, not_b = docs[2] - toxic + without, docs[1] - clean + without
-    odds = np.log(a / not_a) - np.log(b / not_b)
-    sure = np.maximum(0, np.abs(odds) - CONFIDENCE * np.sqrt(1 / a + 1 / b + 1 / not_a + 1 / not_b))
-    score = np.where(corpus > 0, np.sign(odds) * sure, 0.0)
-    share = np.where(corpus > 0, b, 0.0)
-    return score.astype(np.float32), share / max(share.sum(), 1e-9)
+def _lexicon(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each bucket; and for the rate the scores that aren't 0 with their shares of clean words, then 0 and the rest.
+
+    Scores are computed by Spark. What comes to the driver is at most one row a bucket, in fact the few with evidence.
+    """
+    counts = durable(counts)
+    docs = counts.filter("bucket = -1").agg(*[F.sum(c).alias(c) for c in ("all", "clean", "toxic")]).first()
+    n, n_clean, n_toxic = (docs[c] or 0 for c in ("all", "clean", "toxic"))
+    rate = F.col("all") / max(1, n) * PRIOR_DOCS
+    there, without = rate + PRIOR, PRIOR + PRIOR_DOCS - rate
+    terms = counts.filter("bucket >= 0").select(
+        "bucket", (F.col("toxic") + there).alias("a"), (F.col("clean") + there).alias("b"),
+        (F.lit(n_toxic) - F.col("toxic") + without).alias("na"), (F.lit(n_clean) - F.col("clean") + without).alias("nb"))
+    odds = F.log(F.col("a") / F.col("na")) - F.log(F.col("b") / F.col("nb"))
+    sure = F.abs(odds) - CONFIDENCE * F.sqrt(sum(1 / F.col(c) for c in ("a", "b", "na", "nb")))
+    scored = terms.select("bucket", "b", F.when(sure > 0, F.signum(odds) * sure).otherwise(0.0).alias("score"))
+    told = scored.filter("score <> 0").toArrow()
+    bucket, score, share = (told.column(c).to_numpy() for c in ("bucket", "score", "b"))
+    rest = scored.filter("score = 0").agg(F.sum("b")).first()[0] or 0.0
+    table = np.zeros(1 << BITS, dtype=np.float32)
+    table[bucket] = score
+    total = max(share.sum() + rest, 1e-9)
+    return table, np.append(score, 0.0), np.append(share, rest) / total
 
 
 def _rate(score: np.ndarray, share: np.ndarray) -> float:
     """The positive root of sum share exp(rate (score - drift)) = 1."""
-    step = score.astype(np.float64)[share > 0] - DRIFT
+    step = score[share > 0] - DRIFT
     share = share[share > 0]
     low, high = 1e-3, 1e-3
     while high < 64 and (share * np.exp(np.minimum(high * step, 500))).sum() < 1:
@@ -177,8 +185,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     """Learns from ``labels`` (``doc_id``, ``toxic``) outside fold 0 and the texts of ``docs``."""
     sample = training_sample(docs, labels, "toxic", rows).persist()
     try:
-        score, share = _lexicon(*_counts(docs, sample))
-        model = Model(score, _rate(score, share))
+        table, score, share = _lexicon(_counts(docs, sample))
+        model = Model(table, _rate(score, share))
         fresh = docs.join(F.broadcast(sample.filter("fold = 4").select("doc_id", "label")), "doc_id").select("doc_id", "text", "label")
 
         def seen() -> tuple[np.ndarray, ...]:
