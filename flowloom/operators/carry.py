@@ -1,8 +1,8 @@
 """Flow state handed from one chunk of a hot key to the next.
 
 Each chunk is summarised to one row by plain aggregates of its window columns. The rows of a key
-are then walked in chunk order; their number is bounded (see ``hotkeys.MAX_CHUNKS``), whatever the
-number of packets. The result, one row per chunk, says in which state the chunk begins.
+are then walked in chunk order: one row for some million packets. The result, one row per chunk, says
+in which state the chunk begins.
 """
 
 from __future__ import annotations
@@ -26,11 +26,15 @@ def summarise(marked: DataFrame, part: list[str], directional: bool) -> DataFram
     aggs = [
         F.min("ts_us").alias("first_ts"),
         latest(rn == 1, F.col("frame_no")).alias("first_frame"),
+        latest(rn == 1, F.col("capture_no")).alias("first_capture"),
+        F.max("paused").alias("paused"),
+        F.max("fs_paused").alias("fs_paused"),
         F.max("ts_us").alias("last_ts"),
         (F.max_by("kind", "rn") == 1).alias("closed"),
         F.max("fs_rn").alias("fs_rn"),
         F.max("fs_us").alias("fs_us"),
         F.max_by("fs_frame", F.when(F.col("fs_rn").isNotNull(), rn)).alias("fs_frame"),
+        F.max_by("fs_capture", F.when(F.col("fs_rn").isNotNull(), rn)).alias("fs_capture"),
         latest(F.col("edge"), ts).alias("edge_ts"),
     ]
     for d in DIRS if directional else DIRS[:1]:
@@ -50,7 +54,7 @@ def summarise(marked: DataFrame, part: list[str], directional: bool) -> DataFram
 
 
 def carry_schema(part_fields: list[T.StructField], directional: bool) -> T.StructType:
-    names = ["c_prev_ts", "c_fs_us", "c_fs_frame", "c_run_prev", "c_run_in"]
+    names = ["c_prev_ts", "c_fs_us", "c_fs_frame", "c_fs_capture", "c_run_prev", "c_run_in", "c_sub"]
     for d in DIRS if directional else DIRS[:1]:
         names += [f"c_{name}_{d}" for name in ("p", "h", "s", "n", "b", "q")]
     return T.StructType(part_fields + [T.StructField("c_open", T.BooleanType())]
@@ -80,15 +84,19 @@ def _step(state: dict | None, row: dict, dirs: tuple[str, ...], idle_us: int) ->
     if follows:
         paused = row["first_ts"] - state["prev_ts"] > ACTIVITY_US
         now = {"fs_us": state["fs_us"], "fs_frame": state["fs_frame"],
+               "fs_capture": state["fs_capture"], "sub": state["sub"] + int(paused),
                "run": row["first_ts"] if paused else state["run"], "p": dict(state["p"]), "bulk": dict(state["bulk"])}
     else:
-        now = {"fs_us": row["first_ts"], "fs_frame": row["first_frame"], "run": row["first_ts"],
+        now = {"fs_us": row["first_ts"], "fs_frame": row["first_frame"], "fs_capture": row["first_capture"], "sub": 1,
+               "run": row["first_ts"],
                "p": dict.fromkeys(dirs), "bulk": dict.fromkeys(dirs)}
     begin = {
         "c_open": follows,
         "c_prev_ts": state["prev_ts"] if follows else None,
         "c_fs_us": now["fs_us"],
         "c_fs_frame": now["fs_frame"],
+        "c_fs_capture": now["fs_capture"],
+        "c_sub": now["sub"],
         "c_run_prev": state["run"] if follows else None,
         "c_run_in": now["run"],
     }
@@ -102,7 +110,10 @@ def _step(state: dict | None, row: dict, dirs: tuple[str, ...], idle_us: int) ->
             now["p"][d] = None
         begin.update(_bulk_step(now, bulk_before, row, d, "b" if d == "f" else "f"))
     if restart is not None:
-        now["fs_us"], now["fs_frame"] = row["fs_us"], row["fs_frame"]
+        now["fs_us"], now["fs_frame"], now["fs_capture"] = row["fs_us"], row["fs_frame"], row["fs_capture"]
+        now["sub"] = 1 + row["paused"] - row["fs_paused"]
+    else:
+        now["sub"] += row["paused"]
     if row["edge_ts"] is not None:
         now["run"] = row["edge_ts"]
     now["open"] = not row["closed"]

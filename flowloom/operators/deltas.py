@@ -1,6 +1,6 @@
 """Per-packet deltas: what each packet adds to its flow, as window expressions.
 
-``mark`` runs every window over one layout, ``(part) order by (ts_us, frame_no, kind)``, so one
+``mark`` runs every window over one layout, ``(part) order by (ts_us, frame_no, capture_no, kind)``, so one
 exchange and one sort serve them all. ``resolve`` turns the window results into additive columns.
 A flow feature is then a plain aggregate of those columns.
 
@@ -35,7 +35,7 @@ def _or(*conds: Column) -> Column:
 
 def mark(rows: DataFrame, part: list[str], directional: bool, chunked: bool, idle_us: int) -> DataFrame:
     """Add the window columns to packets (kind 0) and cut markers (kind 1)."""
-    w = Window.partitionBy(*part).orderBy("ts_us", "frame_no", "kind")
+    w = Window.partitionBy(*part).orderBy("ts_us", "frame_no", "capture_no", "kind")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     dirs = DIRS if directional else DIRS[:1]
@@ -65,7 +65,9 @@ def mark(rows: DataFrame, part: list[str], directional: bool, chunked: bool, idl
         "fs_rn": F.max(F.when(start, rn)).over(run),
         "fs_us": F.max(F.when(start, ts)).over(run),
         "fs_frame": F.last(F.when(start, F.col("frame_no")), ignorenulls=True).over(run),
+        "fs_capture": F.last(F.when(start, F.col("capture_no")), ignorenulls=True).over(run),
         "run_start": F.max(F.when(F.col("edge"), ts)).over(past),
+        "paused": F.count(F.when(packet & ~start & F.col("edge"), 1)).over(run),
     }
     for d in dirs:
         cols[f"q_{d}"] = F.max(F.when(data[d], ts)).over(past)
@@ -77,7 +79,7 @@ def mark(rows: DataFrame, part: list[str], directional: bool, chunked: bool, idl
 
     # keep a previous packet only if it belongs to the same flow
     since = F.coalesce(F.col("fs_rn"), F.lit(1))
-    cols = {}
+    cols = {"fs_paused": F.max(F.when(start, F.col("paused"))).over(run)}
     for d in dirs:
         cols[f"q_{d}"] = F.when(F.col(f"q_rn_{d}") >= since, F.col(f"q_{d}"))
         if directional:
@@ -124,9 +126,9 @@ def _bulk_windows(df: DataFrame, d: str, mine: Column, run, past, directional: b
 
 
 def resolve(marked: DataFrame, key: list[str], directional: bool, carry: DataFrame | None = None) -> DataFrame:
-    """Additive per-packet columns with the flow label ``(key, fs_us, fs_frame)``."""
+    """Additive per-packet columns with the flow label ``(key, fs_us, fs_frame, fs_capture)``."""
     part = key + ["chunk"] if carry is not None else key
-    df = marked.join(F.broadcast(carry), part) if carry is not None else marked
+    df = marked.join(carry, part) if carry is not None else marked
     ts, rn, size = F.col("ts_us"), F.col("rn"), F.col("payload_len").cast("bigint")
     packet = F.col("kind") == 0
     fwd = F.col("is_fwd") if directional else F.lit(True)
@@ -148,9 +150,12 @@ def resolve(marked: DataFrame, key: list[str], directional: bool, carry: DataFra
     out = {
         "fs_us": known(F.col("fs_us"), "c_fs_us"),
         "fs_frame": known(F.col("fs_frame"), "c_fs_frame"),
+        "fs_capture": known(F.col("fs_capture"), "c_fs_capture"),
         "iat_us": iat,
         "active_us": F.when(pause & (prev_ts > run_start), prev_ts - run_start),
         "idle_us": F.when(pause, iat),
+        "subflow_no": F.when(packet, F.when(before_start, known(F.lit(None).cast("bigint"), "c_sub") + F.col("paused"))
+                             .otherwise(F.col("paused") - F.col("fs_paused") + 1)),
         "cut": F.col("kind") == 1,
         # cut markers are not packets
         "frame_no": F.when(packet, F.col("frame_no")),

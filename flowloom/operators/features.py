@@ -14,7 +14,7 @@ from flowloom.functions.net import FLAG_BITS, TCP
 from flowloom.schemas import FLOW_EXTRAS, FLOW_NAMES
 
 EXPORT_IDLE_US = 120_000_000
-FLOW_LABEL = ["fs_us", "fs_frame"]
+FLOW_LABEL = ["fs_us", "fs_frame", "fs_capture"]
 DIRECTIONAL_FLAGS = ("PSH", "URG", "RST")
 
 
@@ -133,7 +133,7 @@ def record_expressions(directional: bool, source_known: bool, idle_us: int) -> d
         "fwd_act_data_pkts": "f_data", "fwd_seg_size_min": "cast(coalesce(f_data_min, 0) as bigint)",
         "icmp_code": "0D", "icmp_type": "0D",
         "total_tcp_flow_time": f"if(protocol = {TCP}, {duration}, 0D)",
-        "flow_start_us": "fs_us", "flow_start_frame": "fs_frame", "flow_end_us": "flow_end_us",
+        "flow_start_us": "fs_us", "flow_start_frame": "fs_frame", "flow_start_capture": "fs_capture", "flow_end_us": "flow_end_us",
         "end_reason": f"case when was_cut then '[SYN-FLOOD]' when as_of_us - flow_end_us > {idle_us} then '[Timeout]' "
                       "else '[Shutdown]' end",
         "sf_count": sf_count,

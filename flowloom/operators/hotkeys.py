@@ -7,26 +7,25 @@ along ``(ts_us, frame_no)``; every chunk is one window partition.
 
 The cut points come from counts per binary time slice: ``ts_us >> shift``. A slice that is
 still too full is refined with a smaller shift, down to one microsecond, and then along
-``frame_no``. Only these counts reach the driver. They are bounded: at most ``MAX_CHUNKS``
-chunks exist because the chunk size grows with the data, each with about
-``SLICES_PER_CHUNK`` slices. Chunk numbers are a function of the row alone, so a lost task
-recomputes the same ones.
+``frame_no``. Keys, slices and chunk numbers are tables, never lists on the driver; a key's
+slices are numbered by one running sum. Chunk numbers are a function of the row alone, so a
+lost task recomputes the same ones.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.net import is_syn_only
+from flowloom.session import durable
+
 CHUNK_ROWS = 2_000_000
-MAX_CHUNKS = 40_000
 SLICES_PER_CHUNK = 8
 REFINE_BITS = 6
-SMALL_INPUT_BYTES = 64 << 20
+_SLOT = ["_by_frame", "shift", "_slice", "_round"]
 
 
 @dataclass
@@ -38,95 +37,65 @@ class HotKeys:
     n_chunks: int = 0
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # no JVM handle on this kind of session
-        return None
+def key_stats(packets: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key: packets, SYN-only packets, first and last time."""
+    return packets.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_syn_only()).alias("n_syn"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
 
 
-def split_hot_keys(packets: DataFrame, key: list[str], chunk_rows: int | None = None,
-                   probe_fraction: float | None = None) -> HotKeys:
+def split_hot_keys(packets: DataFrame, key: list[str], chunk_rows: int | None = None, stats: DataFrame | None = None) -> HotKeys:
     """Separate keys with more than ``chunk_rows`` packets and number their chunks.
 
-    The probe decides only how work is spread: a key missed by the sample is processed whole,
-    with the same result. Inputs too small to hurt one task are not probed unless
-    ``chunk_rows`` is given.
+    ``stats`` are the ``key_stats`` of the packets, where the caller has them stored.
     """
-    if chunk_rows is None:
-        size = _estimated_bytes(packets)
-        if size is not None and size < SMALL_INPUT_BYTES:
-            return HotKeys(packets, None)
-        fraction = 0.02 if probe_fraction is None else probe_fraction
-    else:
-        fraction = 1.0 if probe_fraction is None else probe_fraction
     limit = chunk_rows or CHUNK_ROWS
-    sampled = packets if fraction >= 1.0 else packets.sample(fraction, seed=17)
-    counts = sampled.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
-    # one row per key with more than `limit` packets: fewer than total / limit rows
-    hot = counts.filter(F.col("n") / fraction > limit).toPandas()
-    if hot.empty:
+    stats = key_stats(packets, key) if stats is None else stats
+    width = (F.col("hi") - F.col("lo") + 1) / F.greatest(F.lit(1.0), F.col("n") / limit * SLICES_PER_CHUNK)
+    hot = stats.filter(F.col("n") > limit).select(*key, F.floor(F.log2(F.greatest(F.lit(1.0), width))).cast("long").alias("shift"))
+    hot = durable(hot)
+    if hot.isEmpty():
         return HotKeys(packets, None)
-    hot["n"] = hot["n"] / fraction
-    limit = max(limit, math.ceil(hot["n"].sum() / MAX_CHUNKS))
-
-    slices_wanted = (hot["n"] / limit * SLICES_PER_CHUNK).clip(lower=1)
-    width = ((hot["hi"] - hot["lo"] + 1) / slices_wanted).clip(lower=1)
-    hot["shift"] = width.map(lambda w: int(math.log2(w)))
-
-    key_table = F.broadcast(packets.sparkSession.createDataFrame(hot[key + ["shift"]]))
-    cold = packets.join(key_table.select(*key), key, "left_anti")
-    hot_rows = packets.join(key_table, key).withColumn("_slice", F.expr("ts_us >> cast(shift as int)"))
-    return HotKeys(cold, *_number_chunks(hot_rows, key, limit))
+    cold = packets.join(hot.select(*key), key, "left_anti")
+    rows = durable(packets.join(hot, key))
+    return HotKeys(cold, *_number_chunks(rows, key, limit))
 
 
 def _number_chunks(rows: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, int]:
-    """Add ``chunk`` to rows that carry ``shift`` and ``_slice``."""
-    spark = rows.sparkSession
-    carried = [c for c in rows.columns if c not in ("shift", "_slice")]
-    rows = rows.withColumn("_by_frame", F.lit(False))
-    slot = key + ["_by_frame", "shift", "_slice", "_round"]
-    rows = rows.withColumn("_round", F.lit(0))
-    counted, open_rows, n_round = [], rows, 0
-    refinements = []
+    """Add ``chunk`` to rows that carry ``shift``."""
+    carried = [c for c in rows.columns if c != "shift"]
+    rows = rows.withColumns({"_by_frame": F.lit(False), "_slice": F.expr("ts_us >> cast(shift as int)"), "_round": F.lit(0)})
+    slot, open_rows, n_round, leaves = key + _SLOT, rows, 0, None
+    whole = F.col("_by_frame") & (F.col("shift") == 0)
     while True:
-        counts = open_rows.groupBy(*slot).agg(
-            F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"),
-            F.min("frame_no").alias("flo"), F.max("frame_no").alias("fhi")).toPandas()
-        full = (counts["n"] > limit) & ~(counts["_by_frame"] & (counts["shift"] == 0))
-        counted.append(counts[~full])
-        if not full.any():
+        counts = durable(open_rows.groupBy(*slot).agg(
+            F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.min("frame_no").alias("flo"), F.max("frame_no").alias("fhi")))
+        full = (F.col("n") > limit) & ~whole
+        done = counts.filter(~full)
+        leaves = done if leaves is None else leaves.union(done)
+        heavy = counts.filter(full)
+        if heavy.isEmpty():
             break
-        heavy = counts[full].copy()
         # below one microsecond the order continues along frame_no
-        to_frame = heavy["shift"] == 0
-        frame_shift = [max(0, int(b - a).bit_length() - REFINE_BITS) for a, b in zip(heavy["flo"], heavy["fhi"])]
-        heavy["next_by_frame"] = heavy["_by_frame"] | to_frame
-        finer = (heavy["shift"] - REFINE_BITS).clip(lower=0)
-        heavy["next_shift"] = finer.where(~to_frame, pd.Series(frame_shift, index=heavy.index)).astype("int64")
-        n_round += 1
-        table = F.broadcast(spark.createDataFrame(heavy[slot + ["next_by_frame", "next_shift"]]))
-        refinements.append(table)
+        to_frame, n_round = F.col("shift") == 0, n_round + 1
+        frame_bits = F.length(F.bin(F.col("fhi") - F.col("flo"))) - REFINE_BITS
+        finer = F.when(to_frame, frame_bits).otherwise(F.col("shift") - REFINE_BITS)
+        table = heavy.select(*slot, (F.col("_by_frame") | to_frame).alias("next_by_frame"),
+                             F.greatest(F.lit(0), finer).cast("long").alias("next_shift"))
         rows = _refine(rows, table, slot, n_round)
         open_rows = _refine(open_rows, table, slot, n_round).filter(F.col("_round") == n_round)
 
-    leaves = pd.concat(counted).sort_values(key + ["lo", "flo"], kind="stable")
-    before = leaves.groupby(key, sort=False)["n"].cumsum() - leaves["n"]
-    leaves["chunk"] = (before // limit).astype("int64")
-    n_chunks = len(leaves[key + ["chunk"]].drop_duplicates())
-    leaf_table = F.broadcast(spark.createDataFrame(leaves[slot + ["chunk"]]))
-    return rows.join(leaf_table, slot).select(*carried, "chunk"), n_chunks
+    so_far = Window.partitionBy(*key).orderBy("lo", "flo").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("n").over(so_far), F.lit(0)) / limit).cast("long")
+    leaves = durable(leaves.select(*slot, chunk.alias("chunk")))
+    n_chunks = leaves.select(*key, "chunk").distinct().count()
+    return rows.join(leaves, slot).select(*carried, "chunk"), n_chunks
 
 
 def _refine(rows: DataFrame, table: DataFrame, slot: list[str], n_round: int) -> DataFrame:
-    others = [c for c in rows.columns if c not in slot]
-    keys = [c for c in slot if c not in ("_by_frame", "shift", "_slice", "_round")]
+    others = [c for c in rows.columns if c not in _SLOT]
     hit = F.col("next_shift").isNotNull()
-    by_frame = F.coalesce("next_by_frame", "_by_frame")
-    shift = F.coalesce("next_shift", "shift")
     finer = F.expr("(case when next_by_frame then frame_no else ts_us end) >> cast(next_shift as int)")
     return rows.join(table, slot, "left").select(
-        *others, *keys, by_frame.alias("_by_frame"), shift.alias("shift"),
+        *others, F.coalesce("next_by_frame", "_by_frame").alias("_by_frame"), F.coalesce("next_shift", "shift").alias("shift"),
         F.when(hit, finer).otherwise(F.col("_slice")).alias("_slice"),
         F.when(hit, F.lit(n_round)).otherwise(F.col("_round")).alias("_round"))

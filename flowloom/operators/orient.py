@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.syncut import IDLE_US
 from flowloom.plans.flow_plan import flow_features
+from flowloom.session import durable
 
 PAIR = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 FLOW_KEY = ["flow_src_ip_int", "flow_src_port", "dst_ip_int", "dst_port", "protocol"]
@@ -20,13 +21,22 @@ FLOW_KEY = ["flow_src_ip_int", "flow_src_port", "dst_ip_int", "dst_port", "proto
 def bidirectional_flow_key(packets: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
     """Packets with the 5-tuple of their flow's first packet and ``is_fwd`` relative to it."""
     from_a = F.expr("src_ip_int < dst_ip_int or (src_ip_int = dst_ip_int and src_port <= dst_port)")
+    if "capture_no" not in packets.columns:
+        packets = packets.withColumn("capture_no", F.lit(0).cast("bigint"))
     rows = packets.withColumns({"from_a": from_a, "bucket": F.expr(f"ts_us div {idle_us}")}).withColumns({
         "ip_a": F.expr("if(from_a, src_ip_int, dst_ip_int)"), "port_a": F.expr("if(from_a, src_port, dst_port)"),
         "ip_b": F.expr("if(from_a, dst_ip_int, src_ip_int)"), "port_b": F.expr("if(from_a, dst_port, src_port)"),
     })
-    buckets = rows.groupBy(*PAIR, "bucket").agg(
-        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"),
-        F.min_by("from_a", F.struct("ts_us", "frame_no")).alias("first_from_a"))
+    rows = durable(rows)
+    # first times of both ways are fixed-width minima, so this is a hash aggregate; frames decide only equal times
+    first = {w: F.min(F.when(way, F.col("ts_us"))) for w, way in (("a", F.col("from_a")), ("b", ~F.col("from_a")))}
+    buckets = durable(rows.groupBy(*PAIR, "bucket").agg(
+        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), first["a"].alias("at_a"), first["b"].alias("at_b")))
+    tied = rows.join(buckets.filter("at_a = at_b").select(*PAIR, "bucket", F.col("lo").alias("ts_us")), [*PAIR, "bucket", "ts_us"])
+    frames = tied.groupBy(*PAIR, "bucket").agg(F.min_by("from_a", F.struct("frame_no", "capture_no")).alias("tie_from_a"))
+    buckets = buckets.join(frames, [*PAIR, "bucket"], "left").withColumn(
+        "first_from_a", F.coalesce("tie_from_a", (F.col("at_b").isNull() | (F.col("at_a") < F.col("at_b")))))
+    buckets = buckets.withColumn("first_from_a", F.coalesce("first_from_a", F.lit(False)))
     w = Window.partitionBy(*PAIR).orderBy("bucket")
     gap = F.col("lo") - F.lag("hi").over(w)
     sessions = buckets.withColumn("opens", F.coalesce(gap > idle_us, F.lit(True)))
@@ -34,7 +44,7 @@ def bidirectional_flow_key(packets: DataFrame, idle_us: int = IDLE_US) -> DataFr
     sessions = sessions.select(*PAIR, "bucket", opener.over(w).alias("a_first"))
     ahead = F.col("a_first")
     return rows.join(sessions, [*PAIR, "bucket"]).select(
-        "frame_no", "ts_us",
+        "frame_no", "ts_us", "capture_no",
         F.when(ahead, F.col("ip_a")).otherwise(F.col("ip_b")).alias("flow_src_ip_int"),
         F.when(ahead, F.col("port_a")).otherwise(F.col("port_b")).alias("flow_src_port"),
         F.when(ahead, F.col("ip_b")).otherwise(F.col("ip_a")).alias("dst_ip_int"),

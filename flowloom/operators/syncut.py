@@ -7,7 +7,7 @@ cut, each with its running forward count, leave the JVM; a vectorised step walks
 order and keeps the cutting ones (at most one in ``threshold`` packets).
 
 For keys split into chunks the rule is a small automaton: what a chunk does depends only on
-how many forward packets, up to threshold - 1, the open flow had on entry. Each chunk yields
+how many forward packets, up to the threshold, the open flow had on entry. Each chunk yields
 its exit count for every entry count, those maps are composed along the chunks of a key, and
 each chunk is then cut knowing its entry count.
 """
@@ -27,24 +27,25 @@ from flowloom.functions.net import TCP, is_syn_only
 from flowloom.session import durable
 
 SYN_THRESHOLD = 50
+ORDER = ["ts_us", "frame_no", "capture_no"]
 IDLE_US = 60_000_000
 
 
 def _sessions(packets: DataFrame, part: list[str], idle_us: int) -> DataFrame:
     """TCP packets with their session number inside the partition and forward count in it."""
-    w = Window.partitionBy(*part).orderBy("ts_us", "frame_no")
+    w = Window.partitionBy(*part).orderBy(*ORDER)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fwd = F.col("is_fwd").cast("int")
     fresh = F.col("ts_us") - F.col("prev_ts") > idle_us
     return (
         packets.filter(F.col("protocol") == TCP)
-        .select(*part, "ts_us", "frame_no", "is_fwd", is_syn_only().alias("is_syn"))
+        .select(*part, *ORDER, "is_fwd", is_syn_only().alias("is_syn"))
         .withColumns({"prev_ts": F.lag("ts_us").over(w), "seen": F.sum(fwd).over(running)})
         .withColumns({
             "sess": F.count(F.when(fresh, 1)).over(running),
             "base": F.coalesce(F.max(F.when(fresh, F.col("seen") - fwd)).over(running), F.lit(0)),
         })
-        .select(*part, "ts_us", "frame_no", "is_syn", "sess", (F.col("seen") - F.col("base")).alias("pos"))
+        .select(*part, *ORDER, "is_syn", "sess", (F.col("seen") - F.col("base")).alias("pos"))
     )
 
 
@@ -79,21 +80,21 @@ def _cutting_rows(candidates: DataFrame, group: list[str], threshold: int) -> Da
                 yield batch.select(out_cols).take(pa.array(kept, type=pa.int64()))
 
     # sessions of a key follow each other in time, so this order keeps every group together
-    ordered = candidates.sortWithinPartitions(*[c for c in group if c != "sess"], "ts_us", "frame_no")
+    ordered = candidates.sortWithinPartitions(*[c for c in group if c != "sess"], *ORDER)
     return ordered.mapInArrow(cut, out_schema)
 
 
 def syn_cuts(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US) -> DataFrame:
-    """``(key, ts_us, frame_no)`` of every packet that cuts its flow, keys processed whole."""
+    """``(key, ts_us, frame_no, capture_no)`` of every packet that cuts its flow, keys processed whole."""
     candidates = _sessions(packets, key, idle_us).filter(F.col("is_syn") & (F.col("pos") >= threshold)).drop("is_syn")
     return _cutting_rows(candidates, key + ["sess"], threshold)
 
 
 def syn_cuts_chunked(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD,
                      idle_us: int = IDLE_US) -> DataFrame:
-    """The same for packets that carry ``chunk``; returns ``(key, chunk, ts_us, frame_no)``."""
+    """The same for packets that carry ``chunk``; returns ``(key, chunk, ts_us, frame_no, capture_no)``."""
     part = key + ["chunk"]
-    end = Window.partitionBy(*part).orderBy("ts_us", "frame_no")
+    end = Window.partitionBy(*part).orderBy(*ORDER)
     rows = _sessions(packets, part, idle_us).withColumn("is_last", F.lead("ts_us").over(end).isNull())
     rows = rows.filter(F.col("is_last") | (F.col("is_syn") & ((F.col("sess") == 0) | (F.col("pos") >= threshold))))
     rows = durable(rows)
@@ -106,17 +107,16 @@ def syn_cuts_chunked(packets: DataFrame, key: list[str], threshold: int = SYN_TH
         _compose(part, threshold, idle_us),
         T.StructType([rows.schema[c] for c in part] + [T.StructField("entry", T.LongType())]))
 
-    # one row per chunk: bounded by MAX_CHUNKS
-    known = rows.filter("is_syn").join(F.broadcast(durable(entries)), part)
+    known = rows.filter("is_syn").join(durable(entries), part)  # one row per chunk
     offset = F.when(F.col("sess") == 0, F.col("entry")).otherwise(F.lit(0))
     candidates = known.withColumn("pos", F.col("pos") + offset).filter(F.col("pos") >= threshold)
-    candidates = candidates.select(*part, "ts_us", "frame_no", "sess", "pos").repartition(*part)
+    candidates = candidates.select(*part, *ORDER, "sess", "pos").repartition(*part)
     return _cutting_rows(candidates, part + ["sess"], threshold)
 
 
 def _exit_counts(part: list[str], threshold: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = threshold - 1
+        top = threshold  # a backward SYN adds nothing to the count, so the threshold itself is a state
         last_sess = pdf["sess"].max()
         tail = pdf[pdf["sess"] == last_sess]
         total = int(tail["pos"].max())
@@ -132,7 +132,7 @@ def _exit_counts(part: list[str], threshold: int):
             last = further
         left = np.minimum(total - pos[last[:n]], top) if n else pos  # packets after the last cut
         exits = []
-        for entry in range(threshold):
+        for entry in range(threshold + 1):
             start = entry if last_sess == 0 else 0
             i = int(np.searchsorted(pos, threshold - start))
             exits.append(int(left[i]) if i < len(pos) else min(start + total, top))

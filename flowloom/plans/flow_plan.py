@@ -1,24 +1,27 @@
 """Packets to flow records: the batch plan.
 
 Usual keys: one exchange by flow key, windows, aggregate on the same partitioning.
+The packets are first written once, as the narrow columns the rules need: a decode or a join before
+them then runs once, however often the steps read them. One row of statistics a key tells hot keys, the
+newest packet, and which keys can be cut at all.
 Hot keys (see ``hotkeys``): one exchange by (key, chunk), windows, a durable write, then chunk
 carries and a partial aggregate; only per-flow partial rows are exchanged again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators import carry as carry_ops
 from flowloom.operators.deltas import mark, resolve
 from flowloom.operators.features import aggregate_flows, flow_record
-from flowloom.operators.hotkeys import split_hot_keys
-from flowloom.operators.syncut import IDLE_US, SYN_THRESHOLD, syn_cuts, syn_cuts_chunked
+from flowloom.operators.hotkeys import key_stats, split_hot_keys
+from flowloom.operators.syncut import IDLE_US, ORDER, SYN_THRESHOLD, syn_cuts, syn_cuts_chunked
 from flowloom.session import durable
 
 DST_KEY = ["dst_ip_int", "dst_port", "protocol"]
-_BODY = ["ts_us", "frame_no", "header_len", "payload_len", "tcp_flags", "is_fwd"]
+_BODY = [*ORDER, "header_len", "payload_len", "tcp_flags", "is_fwd"]
 
 
 def _with_cuts(packets: DataFrame, cuts: DataFrame | None, part: list[str]) -> DataFrame:
@@ -26,21 +29,29 @@ def _with_cuts(packets: DataFrame, cuts: DataFrame | None, part: list[str]) -> D
     if cuts is None:
         return rows
     markers = cuts.select(
-        *part, "ts_us", "frame_no", F.lit(0).alias("header_len"), F.lit(0).alias("payload_len"),
+        *part, *ORDER, F.lit(0).alias("header_len"), F.lit(0).alias("payload_len"),
         F.lit(0).alias("tcp_flags"), F.lit(True).alias("is_fwd"), F.lit(1).alias("kind"))
     return rows.unionByName(markers)
 
 
-def packet_deltas(packets: DataFrame, key: list[str] | None = None, directional: bool = False, syn_cut: bool = True,
-                  threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US, chunk_rows: int | None = None,
-                  probe_fraction: float | None = None) -> list[DataFrame]:
-    """Labelled per-packet deltas, one DataFrame for usual keys and one for hot keys if any."""
-    key = key or DST_KEY
+def _narrow(packets: DataFrame, key: list[str], directional: bool) -> DataFrame:
+    """The columns the rules read, stored. ``capture_no`` tells captures apart that number frames alike."""
+    more = {}
     if not directional:
-        packets = packets.withColumn("is_fwd", F.lit(True))
-    split = split_hot_keys(packets, key, chunk_rows, probe_fraction)
+        more["is_fwd"] = F.lit(True)
+    if "capture_no" not in packets.columns:
+        more["capture_no"] = F.lit(0).cast("bigint")
+    return durable(packets.withColumns(more).select(*key, *_BODY))
 
-    cuts = syn_cuts(split.cold, key, threshold, idle_us) if syn_cut else None
+
+def _deltas(packets: DataFrame, key: list[str], directional: bool, syn_cut: bool, threshold: int, idle_us: int,
+            chunk_rows: int | None) -> tuple[list[DataFrame], DataFrame]:
+    """The parts of ``packet_deltas`` and the statistics of the keys."""
+    packets = _narrow(packets, key, directional)
+    stats = durable(key_stats(packets, key))
+    split = split_hot_keys(packets, key, chunk_rows, stats)
+    may_cut = stats.filter((F.col("n") >= threshold) & (F.col("n_syn") > 0)).select(*key)
+    cuts = syn_cuts(split.cold.join(may_cut, key, "left_semi"), key, threshold, idle_us) if syn_cut else None
     marked = mark(_with_cuts(split.cold, cuts, key), key, directional, False, idle_us)
     parts = [resolve(marked, key, directional)]
     if split.hot is not None:
@@ -51,27 +62,29 @@ def packet_deltas(packets: DataFrame, key: list[str] | None = None, directional:
         summary = carry_ops.summarise(marked, part, directional)
         carry = durable(carry_ops.chunk_carry(summary, key, directional, idle_us))
         parts.append(resolve(marked, key, directional, carry))
-    return parts
+    return parts, stats
+
+
+def packet_deltas(packets: DataFrame, key: list[str] | None = None, directional: bool = False, syn_cut: bool = True,
+                  threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US, chunk_rows: int | None = None) -> list[DataFrame]:
+    """Labelled per-packet deltas, one DataFrame for usual keys and one for hot keys if any."""
+    return _deltas(packets, key or DST_KEY, directional, syn_cut, threshold, idle_us, chunk_rows)[0]
 
 
 def flow_features(packets: DataFrame, key: list[str] | None = None, directional: bool = False, syn_cut: bool = True,
                   threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US, as_of_us: int | None = None,
-                  chunk_rows: int | None = None, probe_fraction: float | None = None) -> DataFrame:
+                  chunk_rows: int | None = None) -> DataFrame:
     """Flow records (88 columns plus extras) of a packet table.
 
     ``directional=False`` is destination-keyed monitoring: every packet counts as forward.
-    ``chunk_rows`` fixes the volume above which a key is processed in chunks; by default it is
-    chosen from the size of the input.
+    ``chunk_rows`` is the number of packets above which a key is processed in chunks. Packets are in order of
+    time, frame number and, where the table has it, ``capture_no``.
     """
     key = key or DST_KEY
-    parts = packet_deltas(packets, key, directional, syn_cut, threshold, idle_us, chunk_rows, probe_fraction)
-    as_of = _as_of(packets, as_of_us)
+    parts, stats = _deltas(packets, key, directional, syn_cut, threshold, idle_us, chunk_rows)
+    newest = stats.select(F.max("hi")).scalar()
+    as_of = newest if as_of_us is None else F.greatest(newest, F.lit(as_of_us))
     source_known = "flow_src_ip_int" in key
     records = [flow_record(aggregate_flows(p, key, directional), directional, as_of, idle_us, source_known)
                for p in parts]
     return records[0] if len(records) == 1 else records[0].unionByName(records[1])
-
-
-def _as_of(packets: DataFrame, as_of_us: int | None) -> Column:
-    newest = packets.select(F.max("ts_us")).scalar()
-    return newest if as_of_us is None else F.greatest(newest, F.lit(as_of_us))

@@ -167,7 +167,7 @@ def _record() -> str:
             out[f"{d}_{n}_flags"] = f"{d}_{n}_flags0" + ("::double" if n == "rst" else "")
     reason = ("case when was_cut then '[SYN-FLOOD]' when as_of - flow_end_us > 60000000 then '[Timeout]' "
               "else '[Shutdown]' end")
-    extras = {"flow_start_us": "fs_us", "flow_start_frame": "fs_frame", "flow_end_us": "flow_end_us",
+    extras = {"flow_start_us": "fs_us", "flow_start_frame": "fs_frame", "flow_start_capture": "0::bigint", "flow_end_us": "flow_end_us",
               "end_reason": reason, "sf_count": "sf_count::bigint"}
     return ", ".join(f"{v} as {k}" for k, v in {**out, **extras}.items())
 

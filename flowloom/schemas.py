@@ -128,7 +128,7 @@ SHORT_TO_CIC2017 = {short: cic for _, _, short, cic in FLOW_COLUMNS if short !=
 FLOW_TYPES = {name: typ for name, typ, _, _ in FLOW_COLUMNS}
 
 # Carried beside the 88 columns, dropped at the CSV sink.
-FLOW_EXTRAS = ["flow_start_us", "flow_start_frame", "flow_end_us", "end_reason", "sf_count"]
+FLOW_EXTRAS = ["flow_start_us", "flow_start_frame", "flow_start_capture", "flow_end_us", "end_reason", "sf_count"]
 
 HEADER_STYLES = {"short": SHORT_HEADERS, "cic2017": CIC2017_HEADERS}
 

@@ -35,7 +35,7 @@ def with_event_time(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 def _raw_schema() -> T.StructType:
     fields = [("dst_ip_int", "bigint"), ("dst_port", "int"), ("protocol", "int"), ("fs_us", "bigint"),
-              ("fs_frame", "bigint"), ("flow_end_us", "bigint"), ("was_cut", "boolean"), ("pauses", "bigint"),
+              ("fs_frame", "bigint"), ("fs_capture", "bigint"), ("flow_end_us", "bigint"), ("was_cut", "boolean"), ("pauses", "bigint"),
               ("f_data", "bigint"), ("f_data_min", "bigint"), ("f_header", "bigint")]
     for m in _MEASURES:
         fields += [(f"{m}_n", "bigint"), (f"{m}_sum", "bigint"), (f"{m}_var", "double"),

@@ -5,9 +5,9 @@ import random
 import pytest
 
 from flowloom.functions.net import int_to_ip
-from flowloom.plans.flow_plan import DST_KEY, flow_features
+from flowloom.plans.flow_plan import DST_KEY, flow_features, packet_deltas
 from flowloom.schemas import PACKETS
-from sequential import all_features
+from sequential import all_features, cut_into_flows
 
 
 def random_packets(seed, n, mode):
@@ -50,7 +50,7 @@ def compare(spark, packets, directional, **options):
 @pytest.mark.parametrize("mode", ["ties", "dense", "sparse", "flood"])
 @pytest.mark.parametrize("directional", [False, True])
 def test_random_packets(spark, mode, directional):
-    packets = random_packets(hash(mode) % 1000, 900, mode)
+    packets = random_packets({"ties": 101, "dense": 202, "sparse": 303, "flood": 404}[mode], 900, mode)
     compare(spark, packets, directional)
     compare(spark, packets, directional, chunk_rows=40)
 
@@ -65,3 +65,28 @@ def test_one_instant_holds_a_hot_key(spark):
 def test_tiny_chunks(spark):
     compare(spark, random_packets(11, 400, "ties"), True, chunk_rows=3)
     compare(spark, random_packets(12, 400, "dense"), True, chunk_rows=5)
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 30])
+def test_two_captures_with_the_same_frame_numbers(spark, chunk_rows):
+    """Pairs of packets that share time and frame number are told apart by their capture: the cut is at 50."""
+    start = 1_704_067_200_000_000
+    rows = [(i // 2, start + i // 2, i % 2, 1, 2, 1024, 80, 6, 40, 0, 2, True) for i in range(121)]
+    names = "frame_no long, ts_us long, capture_no long, src_ip_int long, dst_ip_int long, src_port int, dst_port int, protocol int, header_len int, payload_len int, tcp_flags int, is_fwd boolean"
+    got = flow_features(spark.createDataFrame(rows, names), chunk_rows=chunk_rows)
+    flows = [(r.flow_start_frame, r.flow_start_capture, r.tot_fwd_pkts, r.end_reason) for r in got.orderBy("flow_start_frame").collect()]
+    assert flows == [(0, 0, 50, "[SYN-FLOOD]"), (25, 0, 50, "[SYN-FLOOD]"), (50, 0, 21, "[Shutdown]")]
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 7])
+def test_subflow_numbers(spark, chunk_rows):
+    packets = random_packets(77, 500, "sparse")
+    df = spark.createDataFrame([tuple(p[c] for c in PACKETS.names) for p in packets], PACKETS)
+    parts = packet_deltas(df, syn_cut=False, chunk_rows=chunk_rows)
+    got = {r.frame_no: r.subflow_no for part in parts for r in part.collect()}
+    for flow, _ in cut_into_flows(packets, DST_KEY, False, syn_cut=False):
+        number, before = 1, flow[0]["ts_us"]
+        for p in flow:
+            number += p["ts_us"] - before > 1_000_000
+            before = p["ts_us"]
+            assert got[p["frame_no"]] == number

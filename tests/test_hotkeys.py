@@ -25,5 +25,5 @@ def test_chunks(spark, sf_small, squash):
     assert overlaps.count() == 0
 
 
-def test_small_input_is_not_probed(spark, sf_small):
+def test_usual_keys_are_not_split(spark, sf_small):
     assert split_hot_keys(packets_from_lineitem(spark, sf_small), DST_KEY).hot is None
