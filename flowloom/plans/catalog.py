@@ -16,7 +16,7 @@ from flowloom.operators.orient import bidirectional_features
 from flowloom.plans import oracle as O
 from flowloom.plans.flow_plan import DST_KEY, flow_features, packet_deltas
 from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, FLOW_TYPES, SHORT_HEADERS
-from flowloom.session import scratch_path
+from flowloom.session import durable, scratch_path
 from flowloom.sources import files, tables
 from flowloom.streaming import flows as live
 from flowloom.streaming.run import drain, stream_table
@@ -63,7 +63,10 @@ register("packets_from_lineitem", lineitem, PACKET_SQL["lineitem"] + f"select {P
 packet_query("host_filter", lambda p: filters.host_filter(p, "192.168.1.2"),
              f"select {PACKET_LIST} from p where {O.DOTTED.format('src_ip_int')} = '192.168.1.2' "
              f"or {O.DOTTED.format('dst_ip_int')} = '192.168.1.2'")
-packet_query("ipv4_tcp_udp_only", filters.ipv4_tcp_udp_only, f"select {PACKET_LIST} from p where protocol in (6, 17)")
+packet_query("ipv4_tcp_udp_only",
+             lambda p: filters.ipv4_tcp_udp_only(p.withColumn("protocol", F.expr("cast(if(frame_no % 3 = 0, frame_no % 20, protocol) as int)"))),
+             f"select * from (select {PACKET_LIST.replace(' protocol,', ' cast(case when frame_no % 3 = 0 then frame_no % 20 else protocol end as int) as protocol,')}"
+             " from p) where protocol in (6, 17)")
 packet_query("is_syn_only", lambda p: p.select("frame_no", net.is_syn_only().alias("is_syn_only")),
              f"select frame_no, {O.SYN_ONLY} as is_syn_only from p")
 packet_query("int_to_ip", lambda p: p.select("frame_no", net.int_to_ip("src_ip_int").alias("src_ip"),
@@ -284,6 +287,8 @@ register("w_session", delta_query(["fs_us", "fs_frame"], syn_cut=False),
          O.segmented(O.EVENT_PACKETS, False) + " select frame_no, fs_us, fs_frame from h")
 register("w_lag_iat", delta_query(["iat_us"]), O.segmented(O.EVENT_PACKETS) + " select frame_no, coalesce(gap, 0) as iat_us from h")
 register("w_dir_iat", dir_gaps, O.segmented(O.EVENT_PACKETS, False, True) + " select frame_no, dgap as dir_iat_us from h")
+register("w_subflow_no", delta_query(["subflow_no"]),
+         O.segmented(O.EVENT_PACKETS) + " select frame_no, (sub + 1)::bigint as subflow_no from h")
 register("w_bulk_run", delta_query(BULK_DELTAS), O.segmented(O.EVENT_PACKETS) + f""",
     b0 as (select *, ts_us - lag(ts_us) over wb as since, case when ts_us - lag(ts_us) over wb <= 1000000 then 0 else 1 end as brk
       from h where payload_len > 0 window wb as (partition by {O.LABEL} order by ts_us, frame_no)),
@@ -394,6 +399,10 @@ def prepare_features(spark: SparkSession, sf: str) -> DataFrame:
 
 register("prepare_features", prepare_features, FLOWS_SQL + " select " + O.pick(
     list(MODEL_SOURCES.values()), {c: n for n, c in MODEL_SOURCES.items()}) + " from flows")
+register("prepare_features_long_names",
+         lambda s, sf: col_ops.prepare_features(col_ops.select_features(flow_features(events(s, sf)), "cic2017"), MODEL_FEATURES)
+         .select(*[(r2(col_ops.quoted(n)) if FLOW_TYPES[c] == "double" else col_ops.quoted(n)).alias(n) for n, c in MODEL_SOURCES.items()]),
+         FLOWS_SQL + " select " + O.pick(list(MODEL_SOURCES.values()), {c: n for n, c in MODEL_SOURCES.items()}) + " from flows")
 register("resolve_aliases",
          lambda s, sf: col_ops.resolve_aliases(
              flow_features(events(s, sf)).select(*ID, "tot_fwd_pkts"), {"pkts": "Total", "Total": "tot_fwd_pkts"}),
@@ -416,28 +425,37 @@ register("rename_flow_csv", partial(csv_round_trip, style="cic2017"), ALL_SQL)
 
 # ---- detection -----------------------------------------------------------------------------
 
+TRAIN_FEATURES = ["protocol", "tot_fwd_pkts", "totlen_fwd_pkts", "flow_pkts_s", "syn_flag_cnt", "pkt_len_mean", "flow_iat_mean"]
+HELD_OUT = "flow_start_us % 5 = 0"
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    flows = flow_features(events(spark, sf))
-    return flows.withColumn("label", (F.col("end_reason") == "[SYN-FLOOD]").cast("int"))
+    """Flows, stored, with a label that the features can tell: UDP or not."""
+    return durable(flow_features(events(spark, sf)).withColumn("label", (F.col("protocol") == 17).cast("int")))
 
 
-TRAIN_FEATURES = ["tot_fwd_pkts", "totlen_fwd_pkts", "flow_pkts_s", "syn_flag_cnt", "pkt_len_mean", "flow_iat_mean"]
+def fitted(rows: DataFrame) -> detect.FlowModel:
+    return detect.train_flow_model(rows.filter(f"not ({HELD_OUT})"), TRAIN_FEATURES, "label")
 
 
 def score_flows(spark: SparkSession, sf: str) -> DataFrame:
     rows = labelled(spark, sf)
-    model = detect.train_flow_model(rows, TRAIN_FEATURES, "label")
-    scored = detect.add_verdict(detect.score_flows(rows, model))
-    return scored.select(*ID, F.round("proba", 6).alias("proba"), "label", "verdict")
+    scored = detect.add_verdict(detect.score_flows(rows, fitted(rows)))
+    return scored.select(*ID, "label", "verdict")
 
 
 def train_flow_model(spark: SparkSession, sf: str) -> DataFrame:
-    scored = score_flows(spark, sf)
-    return scored.groupBy("label", "verdict").agg(F.count(F.lit(1)).alias("flows"), F.round(F.avg("proba"), 6).alias("proba"))
+    """Labels against verdicts on flows that the model hasn't seen."""
+    rows = labelled(spark, sf)
+    scored = detect.add_verdict(detect.score_flows(rows.filter(HELD_OUT), fitted(rows)))
+    return scored.groupBy("label", "verdict").agg(F.count(F.lit(1)).alias("flows"))
 
 
-register("train_flow_model", train_flow_model)
-register("score_flows", score_flows)
+VERDICT_SQL = "case when protocol = 17 then 'DDoS' else 'Normal' end as verdict"
+LABEL_SQL = "(protocol = 17)::int as label"
+register("train_flow_model", train_flow_model, FLOWS_SQL
+         + f" select {LABEL_SQL}, {VERDICT_SQL}, count(*) as flows from flows where {HELD_OUT} group by 1, 2")
+register("score_flows", score_flows, FLOWS_SQL + f" select {', '.join(ID)}, {LABEL_SQL}, {VERDICT_SQL} from flows")
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -463,15 +481,26 @@ def packet_stream(spark: SparkSession, sf: str) -> DataFrame:
     return live.with_event_time(tables.packets_from_table(table, tables.EVENT_PACKETS_SQL, "events"))
 
 
-CLOSED_BY_NOW = "flow_end_us + 60000000 <= (select (max(ts_us) - 10000000) // 1000 * 1000 from p)"
+WATERMARK = "(select (max(ts_us) - 10000000) // 1000 * 1000 from p)"
+CLOSED_BY_NOW = f"flow_end_us + 60000000 <= {WATERMARK}"
+# a live flow is out once the watermark has passed its cut or its idle timeout
+EMITTED = f"({CLOSED_BY_NOW} or (end_reason = '[SYN-FLOOD]' and flow_end_us <= {WATERMARK}))"
 
 
-def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    out = drain(live.stream_sessions(packet_stream(spark, sf)))
+def tidy_sessions(out: DataFrame) -> DataFrame:
     return out.withColumns({"pkt_len_std": r2("pkt_len_std"), "flow_pkts_s": r2("flow_pkts_s")})
 
 
-register("stream_sessions", stream_sessions, O.segmented(O.EVENT_PACKETS, False) + f""",
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy_sessions(drain(live.stream_sessions(packet_stream(spark, sf))))
+
+
+def sessions_close_out(spark: SparkSession, sf: str) -> DataFrame:
+    closed = drain(live.stream_sessions(packet_stream(spark, sf)))
+    return tidy_sessions(live.close_out_sessions(events(spark, sf), closed))
+
+
+SESSIONS_SQL = O.segmented(O.EVENT_PACKETS, False) + f""",
     r as (select {O.KEY}, min(ts_us) as flow_start_us, max(ts_us) as flow_end_us, count(*) as tot_fwd_pkts,
       sum(payload_len)::bigint as totlen_fwd_pkts, sum(header_len)::bigint as fwd_header_len,
       min(payload_len) as pkt_len_min, max(payload_len) as pkt_len_max,
@@ -479,47 +508,75 @@ register("stream_sessions", stream_sessions, O.segmented(O.EVENT_PACKETS, False)
       from h group by {O.FLOW})
     select * exclude (sd), {O.r2('sd')} as pkt_len_std,
       {O.r2('case when flow_end_us > flow_start_us then tot_fwd_pkts * 1000000 / (flow_end_us - flow_start_us) else 0 end')}
-      as flow_pkts_s from r where {CLOSED_BY_NOW}""")
+      as flow_pkts_s from r where """
+register("stream_sessions", stream_sessions, SESSIONS_SQL + CLOSED_BY_NOW)
+register("sessions_close_out", sessions_close_out, SESSIONS_SQL + f"not ({CLOSED_BY_NOW})")
 
 
 def stream_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream itself has put out at the end of its input."""
+    return rounded(drain(live.stream_flows(packet_stream(spark, sf))), FULL)
+
+
+def close_out(spark: SparkSession, sf: str) -> DataFrame:
     closed = drain(live.stream_flows(packet_stream(spark, sf)))
-    rest = live.close_out(events(spark, sf), closed)
-    return rounded(closed.unionByName(rest), [c for c in FULL if c != "end_reason"])
+    return rounded(live.close_out(events(spark, sf), closed), FULL)
 
 
-register("stream_flows", stream_flows, FLOWS_SQL + f" select {O.pick([c for c in FULL if c != 'end_reason'])} from flows")
+def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Captured frames as they arrive, decoded and assembled to flows."""
+    folder = scratch_path(spark, "live-frames")
+    frames(spark, sf).repartition(4).write.parquet(folder)
+    packets = decode.decode_packets(files.read_frames(spark, folder, streaming=True))
+    return rounded(drain(live.stream_flows(live.with_event_time(packets))), FULL)
+
+
+register("stream_flows", stream_flows, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
+register("stream_frames_flows", stream_frames, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
+register("close_out", close_out, FLOWS_SQL + f" select {O.pick(FULL)} from flows where not {EMITTED}")
 
 
 def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
     return drain(live.rate_windows(packet_stream(spark, sf)))
 
 
-register("stream_rate_windows", stream_rates, f"select * from ({RATE_SQL[len(PACKET_SQL['events']):]}) "
-         "where window_start_us + 5000000 <= (select (max(ts_us) - 10000000) // 1000 * 1000 from p)")
-ORACLES["stream_rate_windows"] = PACKET_SQL["events"] + ORACLES["stream_rate_windows"]
+def rates_close_out(spark: SparkSession, sf: str) -> DataFrame:
+    return live.close_out_rates(events(spark, sf), stream_rates(spark, sf))
+
+
+OPEN_RATES = f"window_start_us + 5000000 > {WATERMARK}"
+ALL_RATES = PACKET_SQL["events"] + f"select * from ({RATE_SQL[len(PACKET_SQL['events']):]}) where "
+register("stream_rate_windows", stream_rates, ALL_RATES + f"not ({OPEN_RATES})")
+register("rates_close_out", rates_close_out, ALL_RATES + OPEN_RATES)
 
 
 def stream_flow_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The live CSV folder, flows left open at the end added, read as a stream."""
     folder, state, out = (scratch_path(spark, n) for n in ("live-csv", "live-state", "live-flows"))
-    query = live.stream_flows(packet_stream(spark, sf))
-    files.stream_flows_csv(query, folder, state).trigger(availableNow=True).start().awaitTermination()
-    back = drain(files.stream_flow_csv(spark, folder).toDF(*FLOW_NAMES), out)
-    return rounded(back, FLOW_NAMES)
+    closed = live.stream_flows(packet_stream(spark, sf))
+    files.stream_flows_csv(closed, folder, state).trigger(availableNow=True).start().awaitTermination()
+    names = dict(zip(SHORT_HEADERS, FLOW_NAMES))
+    done = files.read_flow_csv(spark, folder, "short")
+    done = done.select(*[col_ops.quoted(h).alias(n) for h, n in names.items()]).withColumns({
+        "flow_start_us": F.unix_micros(F.col("timestamp").cast("timestamp"))})
+    rest = flow_features(events(spark, sf)).join(done.select("flow_id", "flow_start_us"), ["flow_id", "flow_start_us"], "left_anti")
+    added = scratch_path(spark, "shutdown-csv")
+    files.write_flow_csv(rest, added)
+    parts = [drain(files.stream_flow_csv(spark, f).toDF(*FLOW_NAMES)) for f in (folder, added)]
+    return rounded(parts[0].union(parts[1]), FLOW_NAMES)
 
 
-register("stream_flow_csv", stream_flow_csv)
+register("stream_flow_csv", stream_flow_csv, ALL_SQL)
 
 
 def stream_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     rows = labelled(spark, sf)
-    model = detect.train_flow_model(rows, TRAIN_FEATURES, "label")
     folder = scratch_path(spark, "scored-csv")
     files.write_flow_csv(rows, folder)
     stream = files.stream_flow_csv(spark, folder).toDF(*FLOW_NAMES)
-    scored = detect.add_verdict(detect.score_flows(stream, model)).select(
-        "flow_id", "timestamp", "tot_fwd_pkts", F.round("proba", 6).alias("proba"), "verdict")
+    scored = detect.add_verdict(detect.score_flows(stream, fitted(rows))).select("flow_id", "timestamp", "tot_fwd_pkts", "verdict")
     return drain(scored)
 
 
-register("stream_verdicts", stream_verdicts)
+register("stream_verdicts", stream_verdicts,
+         FLOWS_SQL + f" select flow_id, timestamp, tot_fwd_pkts, {VERDICT_SQL} from flows")

@@ -29,7 +29,7 @@ _INPUT = ["ts_us", "frame_no", "header_len", "payload_len", "tcp_flags"]
 
 
 def with_event_time(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Add ``ts`` for the watermark; packets later than ``delay`` behind the newest are dropped."""
+    """Add ``ts`` for the watermark; packets later than ``delay`` behind the newest are dropped, and counted by the run."""
     return packets.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
 
 
@@ -117,6 +117,7 @@ def _extend(flow: dict, rows: dict[str, np.ndarray], protocol: int) -> None:
 
 def _raw_row(key: tuple, flow: dict, cut: bool) -> dict:
     row = dict(zip(DST_KEY, key), was_cut=cut)
+    row["fs_capture"] = 0
     for c in ("fs_us", "fs_frame", "flow_end_us", "pauses", "f_data", "f_data_min", "f_header", *_FLAG_COLUMNS):
         row[c] = flow[c]
     for m in _MEASURES:
@@ -221,7 +222,35 @@ def rate_windows(packets: DataFrame, width: str = "5 seconds") -> DataFrame:
 
 
 def close_out(packets: DataFrame, emitted: DataFrame, **options) -> DataFrame:
-    """Flows still open when the stream stopped: the batch result minus what was emitted."""
+    """Flows the stream has not emitted when it stops, from the tail of the input.
+
+    A key's flows are fixed from any flow start on, so only packets from the start of its last emitted flow
+    are read again. Reasons are those of the batch rule: open flows are shut down.
+    """
+    last = emitted.select(*[F.col(c) for c in ("dst_port", "protocol")], _ip_of("dst_ip").alias("dst_ip_int"),
+                          F.struct("flow_start_us", "flow_start_frame").alias("at"))
+    last = last.groupBy(*DST_KEY).agg(F.max("at").alias("at"))
+    newest = packets.select(F.max("ts_us")).first()[0]
+    tail = packets.join(last, DST_KEY, "left").filter(F.col("at").isNull() | (F.struct("ts_us", "frame_no") >= F.col("at"))).drop("at")
     label = ["dst_ip", "dst_port", "protocol", "flow_start_us", "flow_start_frame"]
-    rest = flow_features(packets, **options).join(emitted.select(*label), label, "left_anti")
-    return rest.withColumn("end_reason", F.lit("[Shutdown]"))
+    return flow_features(tail, as_of_us=newest, **options).join(emitted.select(*label), label, "left_anti")
+
+
+def _ip_of(dotted: str) -> F.Column:
+    octets = F.split(dotted, r"\.")
+    return sum(octets[i].cast("bigint") * (1 << s) for i, s in enumerate((24, 16, 8, 0)))
+
+
+def close_out_sessions(packets: DataFrame, emitted: DataFrame, idle: str = "60 seconds") -> DataFrame:
+    """Sessions still open when the stream stopped: those of packets after each key's last emitted session."""
+    last = emitted.groupBy(*DST_KEY).agg(F.max("flow_end_us").alias("done_us"))
+    tail = packets.join(last, DST_KEY, "left").filter(F.col("done_us").isNull() | (F.col("ts_us") > F.col("done_us"))).drop("done_us")
+    return stream_sessions(tail.withColumn("ts", F.timestamp_micros("ts_us")), idle)
+
+
+def close_out_rates(packets: DataFrame, emitted: DataFrame, width_us: int = 5_000_000) -> DataFrame:
+    """Rate windows still open when the stream stopped: those after the last one that the watermark closed."""
+    last = emitted.agg(F.max("window_start_us").alias("done_us"))  # one row
+    after = F.col("done_us").isNull() | (F.col("ts_us") >= F.col("done_us") + width_us)
+    tail = packets.join(F.broadcast(last)).filter(after).drop("done_us")
+    return rate_windows(tail.withColumn("ts", F.timestamp_micros("ts_us")), f"{width_us} microseconds")
