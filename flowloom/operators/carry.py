@@ -7,6 +7,8 @@ in which state the chunk begins.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,22 +59,30 @@ def carry_schema(part_fields: list[T.StructField], directional: bool) -> T.Struc
     names = ["c_prev_ts", "c_fs_us", "c_fs_frame", "c_fs_capture", "c_run_prev", "c_run_in", "c_sub"]
     for d in DIRS if directional else DIRS[:1]:
         names += [f"c_{name}_{d}" for name in ("p", "h", "s", "n", "b", "q")]
-    return T.StructType(part_fields + [T.StructField("c_open", T.BooleanType())]
+    return T.StructType(part_fields + [T.StructField("c_state", T.StringType()), T.StructField("c_open", T.BooleanType())]
                         + [T.StructField(n, T.LongType()) for n in names])
 
 
-def chunk_carry(summary: DataFrame, key: list[str], directional: bool, idle_us: int) -> DataFrame:
-    """State at the start of every chunk, from the chunk summaries of one key at a time."""
+def chunk_carry(summary: DataFrame, key: list[str], directional: bool, idle_us: int, start: DataFrame | None = None) -> DataFrame:
+    """State at the start of every chunk, from the chunk summaries of one key at a time.
+
+    ``c_state`` is the state after the chunk as text; ``start`` may give that of an earlier stretch (``key, state``).
+    """
+    if start is None:
+        summary = summary.withColumn("state", F.lit(None).cast("string"))
+    else:
+        summary = summary.join(start, key, "left")
     part = key + ["chunk"]
     schema = carry_schema([summary.schema[c] for c in part], directional)
     dirs = DIRS if directional else DIRS[:1]
     arrow_schema = to_arrow_schema(schema)
 
     def walk(table: pa.Table) -> pa.Table:
-        state, out = None, []
-        for row in table.sort_by("chunk").to_pylist():
+        rows, out = table.sort_by("chunk").to_pylist(), []
+        state = json.loads(rows[0]["state"]) if rows[0]["state"] else None
+        for row in rows:
             begin, state = _step(state, row, dirs, idle_us)
-            out.append({**{c: row[c] for c in part}, **begin})
+            out.append({**{c: row[c] for c in part}, **begin, "c_state": json.dumps(state)})
         return pa.Table.from_pylist(out, schema=arrow_schema)
 
     return summary.groupBy(*key).applyInArrow(walk, schema)

@@ -91,8 +91,9 @@ def syn_cuts(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD,
 
 
 def syn_cuts_chunked(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD,
-                     idle_us: int = IDLE_US) -> DataFrame:
-    """The same for packets that carry ``chunk``; returns ``(key, chunk, ts_us, frame_no, capture_no)``."""
+                     idle_us: int = IDLE_US, entry: DataFrame | None = None) -> DataFrame:
+    """The same for packets that carry ``chunk``; ``entry`` may give the open flow before a key's first chunk
+    (``key, entry_count, entry_last``: forward packets, up to the threshold, and time of the last packet); returns ``(key, chunk, ts_us, frame_no, capture_no)``."""
     part = key + ["chunk"]
     end = Window.partitionBy(*part).orderBy(*ORDER)
     rows = _sessions(packets, part, idle_us).withColumn("is_last", F.lead("ts_us").over(end).isNull())
@@ -103,7 +104,12 @@ def syn_cuts_chunked(packets: DataFrame, key: list[str], threshold: int = SYN_TH
         F.min("ts_us").alias("first_ts"), F.max("ts_us").alias("last_ts"))
     exits = rows.groupBy(*part).applyInPandas(_exit_counts(part, threshold), T.StructType(
         [rows.schema[c] for c in part] + [T.StructField("exits", T.ArrayType(T.IntegerType()))]))
-    entries = exits.join(edges, part).groupBy(*key).applyInPandas(
+    walked = exits.join(edges, part)
+    if entry is None:
+        walked = walked.withColumns({"entry_count": F.lit(None).cast("bigint"), "entry_last": F.lit(None).cast("bigint")})
+    else:
+        walked = walked.join(entry, key, "left")
+    entries = walked.groupBy(*key).applyInPandas(
         _compose(part, threshold, idle_us),
         T.StructType([rows.schema[c] for c in part] + [T.StructField("entry", T.LongType())]))
 
@@ -147,6 +153,8 @@ def _compose(part: list[str], threshold: int, idle_us: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         entry, state, prev_last = [], 0, None
+        if pd.notna(pdf["entry_last"].iloc[0]):
+            state, prev_last = int(pdf["entry_count"].iloc[0]), int(pdf["entry_last"].iloc[0])
         for exits, first_ts, last_ts in zip(pdf["exits"], pdf["first_ts"], pdf["last_ts"]):
             if prev_last is None or first_ts - prev_last > idle_us:
                 state = 0

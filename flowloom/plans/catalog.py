@@ -19,6 +19,7 @@ from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, FLOW_TYPES, SHORT_HEAD
 from flowloom.session import durable, scratch_path
 from flowloom.sources import files, tables
 from flowloom.streaming import flows as live
+from flowloom.streaming.assemble import FlowAssembler, run_flow_stream
 from flowloom.streaming.run import drain, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,24 +514,67 @@ register("stream_sessions", stream_sessions, SESSIONS_SQL + CLOSED_BY_NOW)
 register("sessions_close_out", sessions_close_out, SESSIONS_SQL + f"not ({CLOSED_BY_NOW})")
 
 
+def assembled(spark: SparkSession, packets: DataFrame, chunk_rows: int | None = None) -> FlowAssembler:
+    """A flow stream run to the end of its input."""
+    run = FlowAssembler(spark, scratch_path(spark, "live-state"), scratch_path(spark, "live-flows"), chunk_rows=chunk_rows)
+    run_flow_stream(packets, run, scratch_path(spark, "live-checkpoint"), {"availableNow": True}).awaitTermination()
+    return run
+
+
 def stream_flows(spark: SparkSession, sf: str) -> DataFrame:
     """What the stream itself has put out at the end of its input."""
-    return rounded(drain(live.stream_flows(packet_stream(spark, sf))), FULL)
+    return rounded(assembled(spark, packet_stream(spark, sf)).emitted(), FULL)
 
 
 def close_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows still open then, finished from the state the stream has kept."""
+    run = assembled(spark, packet_stream(spark, sf))
+    return rounded(run.close_out(run.last_batch()), FULL)
+
+
+def stream_flows_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(drain(live.stream_flows(packet_stream(spark, sf))), FULL)
+
+
+def keyed_close_out(spark: SparkSession, sf: str) -> DataFrame:
     closed = drain(live.stream_flows(packet_stream(spark, sf)))
     return rounded(live.close_out(events(spark, sf), closed), FULL)
 
 
+def flooded(packets: DataFrame) -> DataFrame:
+    """Three of five packets go to one destination."""
+    hot = F.expr("frame_no % 5 < 3")
+    return packets.withColumns({c: F.when(hot, F.lit(v)).otherwise(F.col(c)).cast(packets.schema[c].dataType).alias(c)
+                                for c, v in (("dst_ip_int", 3232235777), ("dst_port", 80), ("protocol", 6))})
+
+
+def stream_flows_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a flooded destination, in three batches, hot keys of each batch in chunks."""
+    folder = scratch_path(spark, "live-packets")
+    flooded(events(spark, sf)).repartitionByRange(3, "ts_us").sortWithinPartitions("ts_us").write.parquet(folder)
+    parts = sorted(spark.read.parquet(folder).select(F.col("_metadata.file_path")).distinct().toPandas()["file_path"])  # three files
+    step = scratch_path(spark, "live-steps")
+    for n, part in enumerate(parts):
+        spark.read.parquet(part).coalesce(1).write.parquet(f"{step}/step={n}")
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(f"{step}/*")
+    return rounded(assembled(spark, stream, chunk_rows=1500).emitted(), FULL)
+
+
 def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Captured frames as they arrive, decoded and assembled to flows."""
     folder = scratch_path(spark, "live-frames")
     frames(spark, sf).repartition(4).write.parquet(folder)
     packets = decode.decode_packets(files.read_frames(spark, folder, streaming=True))
-    return rounded(drain(live.stream_flows(live.with_event_time(packets))), FULL)
+    return rounded(assembled(spark, packets).emitted(), FULL)
 
 
+FLOOD_PACKETS = O.EVENT_PACKETS.replace("\np as", "\np0 as") + """,
+p as (select * replace (case when frame_no % 5 < 3 then 3232235777 else dst_ip_int end as dst_ip_int,
+    (case when frame_no % 5 < 3 then 80 else dst_port end)::int as dst_port,
+    (case when frame_no % 5 < 3 then 6 else protocol end)::int as protocol) from p0)"""
+register("stream_flows_hot", stream_flows_hot, O.flows(FLOOD_PACKETS) + f" select {O.pick(FULL)} from flows where {EMITTED}")
+register("stream_flows_keyed", stream_flows_keyed, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
+register("keyed_close_out", keyed_close_out, FLOWS_SQL + f" select {O.pick(FULL)} from flows where not {EMITTED}")
 register("stream_flows", stream_flows, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
 register("stream_frames_flows", stream_frames, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
 register("close_out", close_out, FLOWS_SQL + f" select {O.pick(FULL)} from flows where not {EMITTED}")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flowloom.plans.flow_plan import flow_features
 from flowloom.schemas import FLOW_NAMES, FLOW_TYPES, PACKETS
+from flowloom.streaming.assemble import FlowAssembler, run_flow_stream
 from flowloom.streaming.flows import close_out, rate_windows, stream_flows, stream_sessions, with_event_time
 from flowloom.streaming.run import drain
 from test_flow_rules import random_packets
@@ -22,7 +23,7 @@ def batches_on_disk(spark, packets, path, n_files, jitter_us):
 
 
 def keyed(df):
-    names = [c for c in FLOW_NAMES if c != "end_reason"] + ["flow_start_us", "flow_start_frame", "flow_end_us"]
+    names = FLOW_NAMES + ["flow_start_us", "flow_start_frame", "flow_end_us", "end_reason", "sf_count"]
     rows = df.select(*names).collect()
     return {(r.dst_ip, r.dst_port, r.protocol, r.flow_start_us, r.flow_start_frame): r for r in rows}
 
@@ -62,3 +63,31 @@ def test_sessions_and_rates_equal_batch(spark, tmp_path):
     rates = drain(rate_windows(stream))
     full = rate_windows(table.withColumn("ts", F.timestamp_micros("ts_us")))
     assert rates.count() > 0 and rates.exceptAll(full).count() == 0
+
+
+@pytest.mark.parametrize("mode, jitter_us, chunk_rows", [("sparse", 3_000_000, None), ("flood", 400_000, 60)])
+def test_assembler_equals_batch(spark, tmp_path, mode, jitter_us, chunk_rows):
+    """Several batches, one destination with most packets; what comes out live and at the end is the batch result."""
+    packets = random_packets(31, 600, mode)
+    table = batches_on_disk(spark, packets, str(tmp_path / "in"), 4, jitter_us)
+    stream = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    delay = 10_000_000 if mode == "sparse" else 500_000
+    live = FlowAssembler(spark, str(tmp_path / "state"), str(tmp_path / "out"), delay, chunk_rows=chunk_rows)
+    run_flow_stream(stream, live, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+    assert live.late_rows(3) == 0
+    closed, rest = live.emitted(), live.close_out(3)
+    newest = max(p["ts_us"] for p in packets)
+    mark = (newest - delay) // 1000 * 1000
+    want = flow_features(table)
+    out = want.filter(F.expr(f"flow_end_us + 60000000 <= {mark} or (end_reason = '[SYN-FLOOD]' and flow_end_us <= {mark})"))
+    assert keyed(closed).keys() == keyed(out).keys() and closed.count() > 0
+    got, expected = keyed(closed.unionByName(rest)), keyed(want)
+    assert got.keys() == expected.keys()
+    for k, row in expected.items():
+        for name in [*FLOW_NAMES, "end_reason", "sf_count"]:
+            if FLOW_TYPES.get(name) == "double":
+                assert got[k][name] == pytest.approx(row[name], rel=1e-9, abs=1e-6), name
+            else:
+                assert got[k][name] == row[name], name
+    live(spark.createDataFrame([tuple(packets[0][c] for c in PACKETS.names)], PACKETS), 4)  # far behind the watermark
+    assert live.late_rows(4) == 1
