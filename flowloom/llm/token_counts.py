@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = 1024
+from flowloom.session import durable
+
+PAGE = 128
 
 
 def length_histogram(df: DataFrame, length: str = "n_tokens") -> DataFrame:
@@ -31,6 +33,7 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     ``tokens_over`` (whole tokens of those documents), ``truncated_total`` (tokens left if every
     text is cut to ``n_tokens``) and ``cum_share`` (share of documents of at most this length).
     """
+    histogram = durable(histogram)  # read twice below; the texts behind it only once
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
                          F.floor(F.col("n_tokens") / PAGE).alias("page"))
     pages = h.groupBy("page").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
