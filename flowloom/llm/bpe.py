@@ -6,7 +6,7 @@ pair starting there. The root is the leftmost pair of lowest rank; a merge is th
 root holds no pair. Short pre-tokens run in step, one NumPy operation updating the same tree level
 of many trees; long ones use the same tree in plain lists.
 
-Pre-tokens repeat, so each worker remembers a bounded number of them. Texts are handled whole,
+Pre-tokens repeat, so each task remembers a bounded number of them. Texts are handled whole,
 documents stay where they are read (no shuffle), and the vocabulary is broadcast: its size is that
 of the vocabulary file, whatever the data.
 
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.textbytes import Block, blocks
+from flowloom.llm.textbytes import Block, blocks, small_batches
 
 #: The pattern by which byte-level BPE of this kind cuts text before merging. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 _NONE = np.int32(1 << 30)
 _SHORT = 64
 _SLOTS = 1 << 20
@@ -331,6 +331,7 @@ def bpe_encode(df: DataFrame, vocabulary: Shared, text: str = "text", ids: str =
     are replaced. Nulls in other columns pass unchanged.
     """
     held, keep = _beside(df, (text, ids, decoded or ids), text=text)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
@@ -341,6 +342,7 @@ def bpe_encode(df: DataFrame, vocabulary: Shared, text: str = "text", ids: str =
                 if decoded:
                     columns["text"] = _decoded(lists, encoder.vocabulary)
                 yield pa.RecordBatch.from_pydict(columns)
+        encoder.young, encoder.old = {}, {}  # an idle worker holds no memory that other stages need
 
     fields = [T.StructField("row", held.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     out = held.mapInArrow(run, T.StructType(fields + [T.StructField("text", T.StringType())] * bool(decoded)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.textbytes import ALNUM, Block, blocks, gram_hashes
+from flowloom.llm.textbytes import ALNUM, Block, blocks, gram_hashes, small_batches
 from flowloom.session import durable
 
 WINDOW = 8
@@ -150,6 +150,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each leak: ``doc_id``, ``item_id``, ``coverage`` (best occurrence), ``occurrences``, ``verbatim``."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = durable(_template_windows(benchmark.select(F.col(f"`{item_id}`").alias("key"), F.col(f"`{text}`").alias("text")), None))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most WINDOW of them
     hashes = items.select("h").distinct()

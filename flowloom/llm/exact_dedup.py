@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.textbytes import small_batches
 from flowloom.session import durable
 
 MAX_DEPTH = 18
@@ -81,6 +82,7 @@ def exact_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     ``rows`` may give ``key`` and ``size`` of every document where the caller has them stored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(f"`{doc_id}`").alias("keep_id"), normal_text(text).alias("text"))
     texts = texts.select("keep_id", "text", F.xxhash64("text").alias("key"))
     if rows is None:

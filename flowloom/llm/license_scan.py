@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.textbytes import ALNUM, blocks
+from flowloom.llm.textbytes import ALNUM, blocks, small_batches
 
 MIN_MATCH = 2
 MAX_GAP = 6
@@ -176,6 +176,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     ``spans`` (start, stop, label and covered share of each licence passage, in words from 0)."""
     known = docs.sparkSession.sparkContext.broadcast(Automaton(templates or TEMPLATES, phrases or BASE_PHRASES))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    small_batches(docs.sparkSession)
     phrase_type = pa.list_(pa.struct([("start", pa.int32()), ("label", pa.string())]))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("label", pa.string()), ("share", pa.float64())]))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.components import components
-from flowloom.llm.textbytes import blocks
+from flowloom.llm.textbytes import blocks, small_batches
 from flowloom.session import durable
 
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint's bits as a long) for every row; other columns are ignored."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

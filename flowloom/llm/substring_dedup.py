@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.textbytes import PLAIN, Words, blocks, gram_hashes, mix
+from flowloom.llm.textbytes import PLAIN, Words, blocks, gram_hashes, mix, small_batches
 from flowloom.session import durable
 
 WINDOW = 50
@@ -240,6 +240,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     Ranges may overlap. Documents without such a range, and null ids, have no row.
     """
     docs = _rows(docs, doc_id, text)
+    small_batches(docs.sparkSession)
     keys = durable(_prefixes(docs, window, prefix))
     shared = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
               .filter("d0 < d1").select("key", (F.col("n") > crowd).alias("crowded")))

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -138,6 +139,22 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+#: Rows of an Arrow batch of texts; texts are long, so a batch of Spark's usual 10,000 rows would take much memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark) -> None:
+    """Has the session send texts to Python in batches of at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column ``text``, or the field of that name of ``row``, so that they are sent once."""
+    return batch.column("text") if "text" in batch.schema.names else pa.compute.struct_field(batch.column("row"), "text")
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cuts a string column (nulls as empty texts) into blocks of whole texts."""
     if isinstance(texts, pa.ChunkedArray):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.labelled import logistic_fit, sigmoid, training_sample
-from flowloom.llm.textbytes import ALNUM, Block, blocks, mix
+from flowloom.llm.textbytes import ALNUM, Block, blocks, mix, small_batches, text_of
 from flowloom.session import durable
 
 BITS = 22
@@ -183,6 +183,7 @@ def _bent(x: np.ndarray) -> np.ndarray:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns from ``labels`` (``doc_id``, ``toxic``) outside fold 0 and the texts of ``docs``."""
+    small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "toxic", rows).persist()
     try:
         table, score, share = _lexicon(_counts(docs, sample))
@@ -211,7 +212,7 @@ def _scan(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         known = shared.value
         for batch in batches:
             words, best, total, spans = [], [], [], []
-            for block in blocks(batch.column("text")):
+            for block in blocks(text_of(batch)):
                 for n, found in known.passages(block):
                     words.append(n)
                     best.append(max((s for _, _, s in found), default=0.0))
@@ -231,5 +232,5 @@ def _scan(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (all columns of ``docs``) with ``n_words``, ``best`` (best segment), ``total`` (see above), ``passages`` (significant ones), ``score`` (0 to 1)."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return _scan(rows, model, ["row"])
