@@ -105,7 +105,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return tables.frames_from_packets(events(spark, sf))
 
 
-# How a good frame is damaged (by packet number modulo 7) and the error that results.
+# How a good frame is damaged (by packet number modulo their count) and the error that results.
 DAMAGE = [
     ("ethertype_not_ipv4", 1, "unhex(concat('02000000000102000000000286DD', hex(substring(raw, 15, 60))))"),
     ("ethernet_short", 1, "substring(raw, 1, 13)"),
@@ -113,18 +113,27 @@ DAMAGE = [
     ("ip_short", 12, "substring(raw, 1, 19)"),
     ("ihl_invalid", 12, "unhex(concat('44', hex(substring(raw, 2, 60))))"),
     ("total_len_too_small", 12, "unhex(concat('4500001B', hex(substring(raw, 5, 60))))"),
+    ("sll_short", 113, "unhex('000000010006020000000001000008')"),
+    ("sll_not_ipv4", 113, "unhex(concat('000000010006020000000001000086DD', hex(substring(raw, 1, 60))))"),
+    ("loopback_short", 0, "substring(raw, 1, 3)"),
+    ("ip_options_short", 12, "unhex(concat('4F', hex(substring(raw, 2, 19))))"),
+    ("tcp_short", 12, "unhex('450000320000000040060000C0A80005C0A8010204D200500000000000000000501820')"),
+    ("tcp_offset_invalid", 12, "unhex('450000320000000040060000C0A80005C0A8010204D2005000000000000000004018200000000000')"),
+    ("udp_short", 12, "unhex('450000240000000040110000C0A80005C0A8010204D20035001000')"),
+    ("protocol_unsupported", 12, "unhex('450000320000000040010000C0A80005C0A8010204D2005000000000000000005018200000000000')"),
     ("", 12, "raw"),
 ]
+DAMAGE_KIND = f"frame_no % {len(DAMAGE)}"
 
 
 def damaged_frames(spark: SparkSession, sf: str) -> DataFrame:
     bare = decode.strip_l2(frames(spark, sf)).selectExpr("frame_no", "ts_us", "substring(raw, ip_at + 1, 200) as raw")
-    link = "case frame_no % 7 " + " ".join(f"when {i} then {link}" for i, (_, link, _) in enumerate(DAMAGE)) + " end"
-    raw = "case frame_no % 7 " + " ".join(f"when {i} then {sql}" for i, (_, _, sql) in enumerate(DAMAGE)) + " end"
+    link = f"case {DAMAGE_KIND} " + " ".join(f"when {i} then {link}" for i, (_, link, _) in enumerate(DAMAGE)) + " end"
+    raw = f"case {DAMAGE_KIND} " + " ".join(f"when {i} then {sql}" for i, (_, _, sql) in enumerate(DAMAGE)) + " end"
     return bare.selectExpr("frame_no", "ts_us", f"{link} as linktype", f"{raw} as raw").withColumn("caplen", F.length("raw"))
 
 
-DAMAGE_SQL = "case frame_no % 7 " + " ".join(
+DAMAGE_SQL = f"case {DAMAGE_KIND} " + " ".join(
     f"when {i} then '{error}'" for i, (error, _, _) in enumerate(DAMAGE) if error) + " end"
 register("parse_frames", lambda s, sf: decode.decode_packets(frames(s, sf)).drop("is_fwd"),
          PACKET_SQL["events"] + f"select {PACKET_LIST.replace(', is_fwd', '')} from p")
@@ -133,7 +142,7 @@ register("strip_l2", lambda s, sf: decode.strip_l2(frames(s, sf)).selectExpr("fr
             when frame_no % 4 = 1 then 0 when frame_no % 4 = 2 then 16 else 4 end as ip_at, true as ok from p""")
 register("quarantine_bad_frames", lambda s, sf: decode.quarantine_bad_frames(damaged_frames(s, sf))
          .select("frame_no", "parse_error"),
-         PACKET_SQL["events"] + f"select frame_no, {DAMAGE_SQL} as parse_error from p where frame_no % 7 < 6")
+         PACKET_SQL["events"] + f"select frame_no, {DAMAGE_SQL} as parse_error from p where {DAMAGE_KIND} < {len(DAMAGE) - 1}")
 register("parse_error_counts", lambda s, sf: decode.parse_frames(damaged_frames(s, sf)).groupBy("parse_error")
          .agg(F.count(F.lit(1)).alias("n")),
          PACKET_SQL["events"] + f"select {DAMAGE_SQL} as parse_error, count(*) as n from p group by 1")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from flowloom.operators.decode import PACKET_COLUMNS, decode_packets, parse_frames, quarantine_bad_frames
+from flowloom.plans.flow_plan import flow_features
 from flowloom.schemas import FRAMES
 from flowloom.sources.files import read_frames
 from flowloom.sources.tables import frames_from_packets, packets_from_events
@@ -77,3 +78,11 @@ def test_empty_frames_are_skipped_and_values_are_null_on_error(spark, tmp_path):
     parsed = parse_frames(table)
     assert parsed.filter("parse_error is not null and coalesce(" + ",".join(PACKET_COLUMNS) + ") is not null").count() == 0
     assert decode_packets(table).select(F.min("payload_len")).first()[0] == 10
+
+
+def test_flows_read_decoded_packets_only_once(spark, sf_small):
+    """The decode runs while the narrow packets are stored; the plan of the flow record no longer holds it."""
+    packets = decode_packets(frames_from_packets(packets_from_events(spark, sf_small)))
+    assert "inline" in packets._jdf.queryExecution().toString()
+    plan = flow_features(packets)._jdf.queryExecution().toString()
+    assert "inline" not in plan and "raw" not in plan

@@ -34,7 +34,7 @@ def test_registry():
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.count() == 35 and len(df.columns) == 93
+    assert df.count() == 35 and len(df.columns) == 94
 
 
 @pytest.mark.parametrize("name", [
