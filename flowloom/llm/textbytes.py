@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_TABLE = (1 << 21) + 64
+_TABLE = (1 << 17) + 64
 
 
 def _lut(is_member: Callable[[int], bool]) -> np.ndarray:

@@ -36,7 +36,7 @@ from flowloom.llm.labelled import logistic_fit, sigmoid, training_sample
 from flowloom.llm.textbytes import ALNUM, Block, blocks, mix, small_batches, text_of
 from flowloom.session import durable
 
-BITS = 22
+BITS = 21
 STEMS = (4, 5, 6)
 TRAIN_ROWS = 50_000
 PRIOR = 0.5
