@@ -71,7 +71,7 @@ def test_odd_inputs(spark, docs_of, odd, train, score, label):
 
 def test_word_hashes_follow_the_bytes_only():
     rnd = random.Random(9)
-    texts = ["".join(rnd.choices("ab é\n|.", k=rnd.randint(0, 40))) for _ in range(200)] + [None, "", "x" * 70_000 + " y"]
+    texts = ["".join(rnd.choices("ab é\n|.", k=rnd.randint(0, 40))) for _ in range(200)] + [None, "", "x" * 200_000 + " y", "z" * 200_000]
     for member, cut in ((PLAIN, lambda t: t.encode().split()), (ALNUM, None)):
         seen = {}
         for limit in (1, 64, 1 << 20):
