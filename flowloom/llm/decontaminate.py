@@ -8,9 +8,11 @@ and are left out.
 Join. Window hashes of the benchmark are broadcast in blocks of at most ``BLOCK_WINDOWS`` (the texts are read
 once a block), texts keep the windows found there, and these join the benchmark's windows by hash.
 
-Check. Windows of one occurrence keep their distance to the item's. An occurrence with at least ``COVERAGE``
-of the item's windows is a leak if its slots are consistent: each value of the item stands for one value of the
-text and the other way round. ``verbatim`` tells that all slots have the item's own values.
+Check. Hits of a text and an item are chained in the order of both; between two hits of a chain their distance may
+drift by ``DRIFT`` members (words put in or left out). A chain with at least ``COVERAGE`` of the item's windows is a
+leak if its slots are consistent: each value of the item stands for one value of the text and the other way round;
+where they aren't, the hits of each single distance are judged alone. ``verbatim`` tells that all slots have the
+item's own values. A chain below ``COVERAGE`` is a leak if ``RUN`` members in a row have the item's own values.
 
 Items of fewer than ``WINDOW`` members have one window of their size, if it has ``SHORTEST`` members at least;
 still shorter ones can't be told from chance and match nothing. Null and empty texts and items match nothing;
@@ -32,6 +34,8 @@ from flowloom.session import durable
 WINDOW = 8
 SHORTEST = 4
 COVERAGE = 0.5
+DRIFT = WINDOW
+RUN = 13
 BLOCK_WINDOWS = 1 << 20
 
 #: Units that follow a number; a parameter.
@@ -102,7 +106,7 @@ class Template:
         return out
 
 
-_WINDOWS = "`key` {kind}, size int, place int, total int, h long, slots array<string>"
+_WINDOWS = "`key` {kind}, size int, place int, total int, word int, past int, h long, slots array<string>"
 
 
 def _template_windows(rows: DataFrame, sizes: list[int] | None, wanted=None) -> DataFrame:
@@ -133,29 +137,160 @@ def _template_windows(rows: DataFrame, sizes: list[int] | None, wanted=None) ->
                         at, h = at[own], h[own]
                     text = form.text[at]
                     rows_out += zip(text.tolist(), [size] * len(at), (at - form.first[text]).tolist(), [0] * len(at),
+                                    (form.start[at] - form.words.first[text]).tolist(), (form.stop[at + size - 1] - form.words.first[text]).tolist(),
                                     h.view(np.int64).tolist(), [form.slots(a, size, data) for a in at.tolist()], strict=True)
                 total = np.bincount([r[0] for r in rows_out], minlength=len(block)) if rows_out else np.zeros(len(block), dtype=int)
-                columns = list(zip(*rows_out, strict=True)) or [[]] * 6
+                columns = list(zip(*rows_out, strict=True)) or [[]] * 8
                 text = pa.array(columns[0], type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(block.first, len(block)).take(text), pa.array(columns[1], type=pa.int32()),
                      pa.array(columns[2], type=pa.int32()), pa.array(total[np.array(columns[0], dtype=int)], type=pa.int32()),
-                     pa.array(columns[4], type=pa.int64()), pa.array(columns[5], type=pa.list_(pa.string()))],
-                    ["key", "size", "place", "total", "h", "slots"])
+                     pa.array(columns[4], type=pa.int32()), pa.array(columns[5], type=pa.int32()),
+                     pa.array(columns[6], type=pa.int64()), pa.array(columns[7], type=pa.list_(pa.string()))],
+                    ["key", "size", "place", "total", "word", "past", "h", "slots"])
 
     return rows.mapInArrow(run, _WINDOWS.format(kind=rows.dtypes[0][1]))
 
 
+class Chain:
+    """Hits of one occurrence, in the order of the text and of the item."""
+
+    def __init__(self, hit: dict):
+        self.hits = [hit]
+
+    def follows(self, hit: dict) -> bool:
+        last = self.hits[-1]
+        return hit["d"] > last["d"] and hit["i"] > last["i"]
+
+    def coverage(self) -> float:
+        return len({h["i"] for h in self.hits}) / self.hits[0]["total"]
+
+    def pairs(self) -> set[tuple[str, str]]:
+        """Values of the item and of the text in the same slots."""
+        return {p for h in self.hits for p in zip(h["own"], h["slots"], strict=True)}
+
+    def consistent(self) -> bool:
+        pairs = self.pairs()
+        return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+    def verbatim(self) -> bool:
+        return all(h["own"] == h["slots"] for h in self.hits)
+
+    def alone(self) -> list[Chain]:
+        """The hits of each distance."""
+        out: dict[int, Chain] = {}
+        for h in self.hits:
+            if (c := out.get(h["d"] - h["i"])) is not None:
+                c.hits.append(h)
+            else:
+                out[h["d"] - h["i"]] = Chain(h)
+        return list(out.values())
+
+    def runs(self) -> list[Chain]:
+        """Hits over at least ``RUN`` members in a row with the item's own values."""
+        out, long = [], []
+        for part in self.alone():
+            past = -1
+            for h in part.hits:
+                if h["own"] != h["slots"]:
+                    continue
+                if h["i"] <= past:
+                    out[-1].hits.append(h)
+                else:
+                    out.append(Chain(h))
+                past = h["i"] + h["size"]
+        for c in out:
+            if c.hits[-1]["i"] + c.hits[-1]["size"] - c.hits[0]["i"] >= RUN:
+                long.append(c)
+        return long
+
+
+def _chains(hits: list[dict]) -> list[Chain]:
+    """All hits in chains, each hit in one; a chain is open under its last distance."""
+    done: list[Chain] = []
+    open_: dict[int, Chain] = {}
+    hits = sorted(hits, key=lambda h: (h["d"], h["i"]))
+    a = 0
+    while a < len(hits):
+        b = a
+        while b < len(hits) and hits[b]["d"] == hits[a]["d"]:
+            b += 1
+        late = []
+        for h in hits[a:b]:  # those that keep their distance first
+            c = open_.get(h["d"] - h["i"])
+            if c is not None and c.follows(h):
+                c.hits.append(h)
+            else:
+                late.append(h)
+        for h in late:
+            shift = h["d"] - h["i"]
+            near = [s for k in range(1, DRIFT + 1) for s in (shift - k, shift + k) if s in open_ and open_[s].follows(h)]
+            if shift in open_:
+                done.append(open_.pop(shift))
+            if near:
+                c = open_.pop(near[0])
+                c.hits.append(h)
+            else:
+                c = Chain(h)
+            open_[shift] = c
+        a = b
+    return done + list(open_.values())
+
+
+def _judged(hits: list[dict], coverage: float) -> list[Chain]:
+    """The leaks among the hits of a text and an item."""
+    out = []
+    single = {c.hits[0]["d"] - c.hits[0]["i"]: c for c in Chain.alone(_all(hits))}
+    used: set[int] = set()
+    left: list[Chain] = []
+    for c in _chains(hits):
+        if c.coverage() >= coverage and c.consistent():
+            out.append(c)
+            used |= {h["d"] - h["i"] for h in c.hits}
+        else:
+            left.append(c)
+    for shift, c in single.items():  # as above without drift
+        if shift not in used and c.coverage() >= coverage:
+            used.add(shift)
+            if c.consistent():
+                out.append(c)
+    for c in left:
+        if c.coverage() < coverage and not used & {h["d"] - h["i"] for h in c.hits}:
+            out += c.runs()
+    return out
+
+
+def _all(hits: list[dict]) -> Chain:
+    c = Chain(hits[0])
+    c.hits = sorted(hits, key=lambda h: (h["d"], h["i"]))
+    return c
+
+
+def _merged(leaks: list[Chain]) -> list[Chain]:
+    """The best of the leaks that overlap in the text."""
+    out: list[Chain] = []
+    for c in sorted(leaks, key=lambda c: (-c.coverage(), c.verbatim())):
+        a, b = c.hits[0]["word"], c.hits[-1]["past"]
+        if all(min(b, o.hits[-1]["past"]) - max(a, o.hits[0]["word"]) <= 0 for o in out):
+            out.append(c)
+    return out
+
+
+def _keyed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``text`` and a key that tells apart texts which share an id."""
+    return rows.select(F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("of")).alias("key"), F.col(f"`{text}`").alias("text"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", item_id: str = "item_id",
                text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each leak: ``doc_id``, ``item_id``, ``coverage`` (best occurrence), ``occurrences``, ``verbatim``."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = durable(_template_windows(benchmark.select(F.col(f"`{item_id}`").alias("key"), F.col(f"`{text}`").alias("text")), None))
+    items = durable(_template_windows(_keyed(benchmark, item_id, text), None))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most WINDOW of them
     hashes = items.select("h").distinct()
     parts = -(-hashes.count() // block_windows)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    texts = _keyed(docs, doc_id, text)
     hits = None
     for part in range(parts):
         some = hashes.filter(F.pmod(F.xxhash64("h"), F.lit(parts)) == part).toArrow().column("h").to_numpy()
@@ -163,16 +298,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         found = _template_windows(texts, sizes, wanted)
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = texts.filter("false").selectExpr("key", "0 AS size", "0 AS place", "0 AS total", "0L AS h", "array('') AS slots")
+        hits = texts.filter("false").selectExpr("key", "0 AS size", "0 AS place", "0 AS total", "0 AS word", "0 AS past", "0L AS h", "array('') AS slots")
     joined = hits.alias("d").join(items.alias("b"), "h").select(
-        F.col("d.key").alias("doc_id"), F.col("b.key").alias("item_id"), F.col("b.place").alias("place"), F.col("b.total").alias("total"),
-        (F.col("d.place") - F.col("b.place")).alias("shift"), F.arrays_zip(F.col("b.slots").alias("i"), F.col("d.slots").alias("t")).alias("pairs"))
-    whole = joined.groupBy("doc_id", "item_id", "shift").agg(
-        (F.countDistinct("place") / F.max("total")).alias("coverage"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # at most an item's slots
-    size = F.size("pairs")
-    consistent = ((F.size(F.array_distinct("pairs.i")) == size) & (F.size(F.array_distinct("pairs.t")) == size))
-    leaks = whole.filter((F.col("coverage") >= coverage) & consistent)
+        F.col("d.key.id").alias("doc_id"), F.col("d.key.of").alias("doc_of"), F.col("b.key.id").alias("item_id"), F.col("b.key.of").alias("item_of"),
+        F.col("d.place").alias("d"), F.col("b.place").alias("i"), "b.size", "b.total", "d.word", "d.past", F.col("b.slots").alias("own"), F.col("d.slots").alias("slots"))
+    kinds = dict(joined.dtypes)
+
+    def judge(group: pa.Table) -> pa.Table:
+        hits = list({(h["d"], h["i"]): h for h in group.drop_columns(["doc_id", "doc_of", "item_id", "item_of"]).to_pylist()}.values())
+        leaks = _merged(_judged(hits, coverage))
+        first = group.slice(0, 1 if leaks else 0).select(["doc_id", "item_id"])
+        for name, kind, value in (("coverage", pa.float64(), max((c.coverage() for c in leaks), default=0.0)), ("occurrences", pa.int64(), len(leaks)),
+                                  ("verbatim", pa.bool_(), any(c.verbatim() for c in leaks))):
+            first = first.append_column(name, pa.array([value] * first.num_rows, type=kind))
+        return first
+
+    leaks = joined.groupBy("doc_id", "doc_of", "item_id", "item_of").applyInArrow(
+        judge, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, coverage double, occurrences long, verbatim boolean")
     return leaks.groupBy("doc_id", "item_id").agg(
-        F.max("coverage").alias("coverage"), F.count("*").alias("occurrences"),
-        F.max(F.forall("pairs", lambda p: p["i"] == p["t"])).alias("verbatim"))
+        F.max("coverage").alias("coverage"), F.sum("occurrences").alias("occurrences"), F.max("verbatim").alias("verbatim"))

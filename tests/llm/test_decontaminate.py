@@ -39,3 +39,18 @@ def test_two_occurrences(docs_of, benchmark):
 def test_empty(docs_of, benchmark):
     assert leaks(docs_of([]), benchmark) == {}
     assert leaks(docs_of([(1, ITEM)]), benchmark.filter("false")) == {}
+
+
+PLAIN = "the quick brown fox jumps over the lazy dog while seven tired sailors watch from an old wooden pier and talk about the long way back to their small island home"
+
+
+def test_words_put_in_or_left_out_and_long_runs(spark, docs_of):
+    words, long = PLAIN.split(), " ".join(f"{a}{b}" for a in "abcdefgh" for b in ("tok", "lim", "ras", "den", "pov", "kul", "mig", "sef", "bor", "wan"))
+    items = spark.createDataFrame([(1, PLAIN), (2, long)], "item_id long, text string")
+    more, less = words[:15] + ["very"] + words[15:], words[:14] + words[15:]
+    run = long.split()[30:43]
+    rows = [(1, " ".join(more)), (2, " ".join(less)), (3, "lead " + " ".join(run) + " tail"), (4, "lead " + " ".join(run[:12]) + " tail"), (5, " ".join(more) + ". " + " ".join(less)),
+            (6, PLAIN), (6, "another text " * 50)]
+    got = leaks(docs_of(rows), items)
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 1), (6, 1)}
+    assert got[5, 1].occurrences == 2 and got[1, 1].verbatim and got[3, 2].verbatim and got[3, 2].coverage < 0.1
