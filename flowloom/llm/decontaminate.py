@@ -1,9 +1,11 @@
 """Benchmark leaks, also re-parameterised ones, by canonical templates.
 
 Canonical form. Lower-cased words; runs of numbers become one number slot, units after a number a unit
-slot, runs of capitalised words inside a sentence one name slot. A window is ``WINDOW`` consecutive members
-of that form; a benchmark item's windows are its template. Windows of more than half slots say too little
-and are left out.
+slot, runs of names one name slot. Capital letters don't tell names for certain, so each text has three readings,
+judged apart: no word is a name (``PLAIN``), capitalised words inside a sentence are (``INSIDE``), all capitalised
+words are (``CAPITALS``: also those that open a sentence or have further capitals). A window is ``WINDOW``
+consecutive members of a reading; a benchmark item's windows are its template. Windows of more than half slots say
+too little and are left out. Where ``CAPITALS`` has fewer windows than ``INSIDE``, coverage is of the latter's number.
 
 Join. Window hashes of the benchmark are broadcast in blocks of at most ``BLOCK_WINDOWS`` (the texts are read
 once a block), texts keep the windows found there, and these join the benchmark's windows by hash.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.textbytes import ALNUM, Block, blocks, gram_hashes, small_batches
+from flowloom.llm.textbytes import ALNUM, Block, blocks, gram_hashes, mix, small_batches
 from flowloom.session import durable
 
 WINDOW = 8
@@ -36,6 +38,7 @@ SHORTEST = 4
 COVERAGE = 0.5
 DRIFT = WINDOW
 RUN = 13
+PLAIN, INSIDE, CAPITALS = 0, 1, 2
 BLOCK_WINDOWS = 1 << 20
 
 #: Units that follow a number; a parameter.
@@ -46,6 +49,16 @@ _NUMBER, _NAME, _UNIT = np.uint64(0xA11CE5), np.uint64(0xB0B5), np.uint64(0xC0DE
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _STOP = np.array([chr(b) in ".!?:\n" for b in range(256)])
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x20000)])
+
+
+def _initials(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether words of UTF-8 text begin with a capital letter."""
+    at = [raw[np.minimum(starts + k, len(raw) - 1)].astype(np.int64) for k in range(4)]
+    low = [b & 0x3F for b in at]
+    code = np.where(at[0] < 0x80, at[0], np.where(at[0] < 0xE0, (at[0] & 0x1F) << 6 | low[1], np.where(
+        at[0] < 0xF0, (at[0] & 0xF) << 12 | low[1] << 6 | low[2], (at[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3])))
+    return _CAPITAL[np.minimum(code, len(_CAPITAL) - 1)]
 
 
 def _unit_hashes() -> np.ndarray:
@@ -55,31 +68,31 @@ def _unit_hashes() -> np.ndarray:
 class Template:
     """Canonical members of the texts of a block: hashes, kinds (0 word, 1 number, 2 unit, 3 name), word ranges."""
 
-    def __init__(self, block: Block, units: np.ndarray):
+    def __init__(self, block: Block, units: np.ndarray, reading: int = INSIDE):
         raw = block.buf
         self.words = words = block.words(ALNUM, lower=True)
         n, starts, ends = len(words.starts), words.starts, words.ends
         h = words.hashes()
         number = _DIGIT[raw[starts]] if n else np.zeros(0, dtype=bool)
-        two = np.minimum(starts + 1, max(0, len(raw) - 1))
-        upper = np.zeros(n, dtype=bool)
-        if n:
-            accented = (raw[starts] == 0xC3) & (raw[two] >= 0x80) & (raw[two] <= 0x9E)
-            upper = _UPPER[raw[starts]] | accented
+        upper = _initials(raw, starts) if n and reading != PLAIN else np.zeros(n, dtype=bool)
+        if reading == INSIDE:
             count = np.concatenate([[0], np.cumsum(_UPPER[raw])])
-            upper &= ~((count[ends] - count[starts] > 1))  # words in capitals are no names
+            upper &= ~((count[ends] - count[starts] > 1))  # words in capitals are no names here
         opens = np.zeros(n, dtype=bool)  # a sentence
         opens[words.first[:-1][words.first[:-1] < n]] = True
         stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
         if n:
             opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
-        name = upper & ~opens & ~number
+        name = upper & ~number
+        if reading == INSIDE:
+            name &= ~opens
         text = np.repeat(np.arange(len(block)), words.counts())
         unit = np.zeros(n, dtype=bool)
         unit[1:] = number[:-1] & (text[1:] == text[:-1]) & np.isin(h[1:], units) & ~number[1:]
         kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
         keep = np.ones(n, dtype=bool)
-        keep[1:] = ~((kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 3)) & (text[1:] == text[:-1]))
+        keep[1:] = ~((kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 3)) & (text[1:] == text[:-1])
+                     & ~((kind[1:] == 3) & opens[1:]))
         at = np.flatnonzero(keep)
         self.kind, self.text = kind[at], text[at]
         self.hash = np.where(self.kind == 1, _NUMBER, np.where(self.kind == 2, _UNIT, np.where(self.kind == 3, _NAME, h[at])))
@@ -106,11 +119,12 @@ class Template:
         return out
 
 
-_WINDOWS = "`key` {kind}, size int, place int, total int, word int, past int, h long, slots array<string>"
+_SALT = np.array([0, 0x5A17000000000001, 0x5A17000000000002], dtype=np.uint64)
+_WINDOWS = "`key` {kind}, reading int, size int, place int, total int, word int, past int, h long, slots array<string>"
 
 
-def _template_windows(rows: DataFrame, sizes: list[int] | None, wanted=None) -> DataFrame:
-    """Windows of the texts of ``rows`` (``key``, ``text``): of each of ``sizes``, or of an item's own size if that is short.
+def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, wanted=None) -> DataFrame:
+    """Windows of the texts of ``rows`` (``key``, ``text``): of each of ``sizes`` (reading, size), or of an item's own size if that is short.
 
     With ``wanted`` (a broadcast of sorted hashes) only windows found there.
     """
@@ -123,31 +137,36 @@ def _template_windows(rows: DataFrame, sizes: list[int] | None, wanted=None) ->
             quick[wanted.value >> np.uint64(44)] = True
         for batch in batches:
             for block in blocks(batch.column("text")):
-                form = Template(block, units)
-                data, members = form.words.buf.tobytes(), np.diff(form.first)
                 rows_out: list[tuple] = []
-                for size in sizes or sorted({min(WINDOW, m) for m in members.tolist() if m >= SHORTEST}):
-                    at, h = form.windows(size)
-                    if quick is not None:
-                        hit = np.flatnonzero(quick[h >> np.uint64(44)])
-                        hit = hit[np.isin(h[hit], wanted.value)]
-                        at, h = at[hit], h[hit]
-                    if sizes is None:
-                        own = np.minimum(members[form.text[at]], WINDOW) == size
-                        at, h = at[own], h[own]
-                    text = form.text[at]
-                    rows_out += zip(text.tolist(), [size] * len(at), (at - form.first[text]).tolist(), [0] * len(at),
-                                    (form.start[at] - form.words.first[text]).tolist(), (form.stop[at + size - 1] - form.words.first[text]).tolist(),
-                                    h.view(np.int64).tolist(), [form.slots(a, size, data) for a in at.tolist()], strict=True)
-                total = np.bincount([r[0] for r in rows_out], minlength=len(block)) if rows_out else np.zeros(len(block), dtype=int)
+                totals = np.zeros((3, len(block)), dtype=int)
+                for reading in (PLAIN, INSIDE, CAPITALS) if sizes is None else sorted({r for r, _ in sizes}):
+                    form = Template(block, units, reading)
+                    data, members = form.words.buf.tobytes(), np.diff(form.first)
+                    for size in sorted({min(WINDOW, m) for m in members.tolist() if m >= SHORTEST} if sizes is None else {k for r, k in sizes if r == reading}):
+                        at, h = form.windows(size)
+                        h = mix(h ^ _SALT[reading])
+                        if quick is not None:
+                            hit = np.flatnonzero(quick[h >> np.uint64(44)])
+                            hit = hit[np.isin(h[hit], wanted.value)]
+                            at, h = at[hit], h[hit]
+                        if sizes is None:
+                            own = np.minimum(members[form.text[at]], WINDOW) == size
+                            at, h = at[own], h[own]
+                        text = form.text[at]
+                        totals[reading] += np.bincount(text, minlength=len(block))
+                        rows_out += zip(text.tolist(), [reading] * len(at), [size] * len(at), (at - form.first[text]).tolist(),
+                                        (form.start[at] - form.words.first[text]).tolist(), (form.stop[at + size - 1] - form.words.first[text]).tolist(),
+                                        h.view(np.int64).tolist(), [form.slots(a, size, data) for a in at.tolist()], strict=True)
+                totals[CAPITALS] = np.maximum(totals[CAPITALS], totals[INSIDE])
                 columns = list(zip(*rows_out, strict=True)) or [[]] * 8
                 text = pa.array(columns[0], type=pa.int64())
+                total = totals[np.array(columns[1], dtype=int), np.array(columns[0], dtype=int)]
+                ints = dict(zip(("reading", "size", "place", "word", "past"), columns[1:6], strict=True)) | {"total": total}
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(block.first, len(block)).take(text), pa.array(columns[1], type=pa.int32()),
-                     pa.array(columns[2], type=pa.int32()), pa.array(total[np.array(columns[0], dtype=int)], type=pa.int32()),
-                     pa.array(columns[4], type=pa.int32()), pa.array(columns[5], type=pa.int32()),
+                    [batch.column("key").slice(block.first, len(block)).take(text),
+                     *[pa.array(ints[c], type=pa.int32()) for c in ("reading", "size", "place", "total", "word", "past")],
                      pa.array(columns[6], type=pa.int64()), pa.array(columns[7], type=pa.list_(pa.string()))],
-                    ["key", "size", "place", "total", "word", "past", "h", "slots"])
+                    ["key", "reading", "size", "place", "total", "word", "past", "h", "slots"])
 
     return rows.mapInArrow(run, _WINDOWS.format(kind=rows.dtypes[0][1]))
 
@@ -237,9 +256,9 @@ def _chains(hits: list[dict]) -> list[Chain]:
     return done + list(open_.values())
 
 
-def _judged(hits: list[dict], coverage: float) -> list[Chain]:
-    """The leaks among the hits of a text and an item."""
-    out = []
+def _judged(hits: list[dict], coverage: float) -> tuple[list[Chain], list[Chain]]:
+    """The leaks among the hits of a text and an item in one reading, and what only inconsistent slots keep from being one."""
+    out, torn = [], []
     single = {c.hits[0]["d"] - c.hits[0]["i"]: c for c in Chain.alone(_all(hits))}
     used: set[int] = set()
     left: list[Chain] = []
@@ -252,12 +271,21 @@ def _judged(hits: list[dict], coverage: float) -> list[Chain]:
     for shift, c in single.items():  # as above without drift
         if shift not in used and c.coverage() >= coverage:
             used.add(shift)
-            if c.consistent():
-                out.append(c)
+            (out if c.consistent() else torn).append(c)
     for c in left:
-        if c.coverage() < coverage and not used & {h["d"] - h["i"] for h in c.hits}:
+        if c.coverage() >= coverage:
+            torn.append(c)
+        elif not used & {h["d"] - h["i"] for h in c.hits}:
             out += c.runs()
-    return out
+    return out, torn
+
+
+def _leaks(readings: dict[int, dict], coverage: float) -> list[Chain]:
+    """The leaks in any reading; where names inside sentences are inconsistent, reading them as words doesn't mend it."""
+    judged = {r: _judged(list(hits.values()), coverage) for r, hits in readings.items()}
+    torn = judged[INSIDE][1] if INSIDE in judged else []
+    return _merged([c for r, (leaks, _) in judged.items() for c in leaks
+                    if r != PLAIN or not any(t.coverage() > c.coverage() and _overlap(t, c) for t in torn)])
 
 
 def _all(hits: list[dict]) -> Chain:
@@ -266,12 +294,15 @@ def _all(hits: list[dict]) -> Chain:
     return c
 
 
+def _overlap(a: Chain, b: Chain) -> bool:
+    return min(a.hits[-1]["past"], b.hits[-1]["past"]) > max(a.hits[0]["word"], b.hits[0]["word"])
+
+
 def _merged(leaks: list[Chain]) -> list[Chain]:
     """The best of the leaks that overlap in the text."""
     out: list[Chain] = []
     for c in sorted(leaks, key=lambda c: (-c.coverage(), c.verbatim())):
-        a, b = c.hits[0]["word"], c.hits[-1]["past"]
-        if all(min(b, o.hits[-1]["past"]) - max(a, o.hits[0]["word"]) <= 0 for o in out):
+        if not any(_overlap(c, o) for o in out):
             out.append(c)
     return out
 
@@ -287,7 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     spark = docs.sparkSession
     small_batches(spark)
     items = durable(_template_windows(_keyed(benchmark, item_id, text), None))
-    sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most WINDOW of them
+    sizes = [tuple(r) for r in items.select("reading", "size").distinct().collect()]  # at most WINDOW for a reading
     hashes = items.select("h").distinct()
     parts = -(-hashes.count() // block_windows)
     texts = _keyed(docs, doc_id, text)
@@ -298,15 +329,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         found = _template_windows(texts, sizes, wanted)
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = texts.filter("false").selectExpr("key", "0 AS size", "0 AS place", "0 AS total", "0 AS word", "0 AS past", "0L AS h", "array('') AS slots")
-    joined = hits.alias("d").join(items.alias("b"), "h").select(
+        hits = texts.filter("false").selectExpr("key", "0 AS reading", "0 AS size", "0 AS place", "0 AS total", "0 AS word", "0 AS past", "0L AS h", "array('') AS slots")
+    joined = hits.alias("d").join(items.alias("b"), ["h", "reading", "size"]).select(
         F.col("d.key.id").alias("doc_id"), F.col("d.key.of").alias("doc_of"), F.col("b.key.id").alias("item_id"), F.col("b.key.of").alias("item_of"),
-        F.col("d.place").alias("d"), F.col("b.place").alias("i"), "b.size", "b.total", "d.word", "d.past", F.col("b.slots").alias("own"), F.col("d.slots").alias("slots"))
+        F.col("d.place").alias("d"), F.col("b.place").alias("i"), "reading", "size", "b.total", "d.word", "d.past", F.col("b.slots").alias("own"), F.col("d.slots").alias("slots"))
     kinds = dict(joined.dtypes)
 
     def judge(group: pa.Table) -> pa.Table:
-        hits = list({(h["d"], h["i"]): h for h in group.drop_columns(["doc_id", "doc_of", "item_id", "item_of"]).to_pylist()}.values())
-        leaks = _merged(_judged(hits, coverage))
+        readings: dict[int, dict] = {}
+        for h in group.drop_columns(["doc_id", "doc_of", "item_id", "item_of"]).to_pylist():
+            readings.setdefault(h["reading"], {})[h["d"], h["i"]] = h
+        leaks = _leaks(readings, coverage)
         first = group.slice(0, 1 if leaks else 0).select(["doc_id", "item_id"])
         for name, kind, value in (("coverage", pa.float64(), max((c.coverage() for c in leaks), default=0.0)), ("occurrences", pa.int64(), len(leaks)),
                                   ("verbatim", pa.bool_(), any(c.verbatim() for c in leaks))):

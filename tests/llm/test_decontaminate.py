@@ -54,3 +54,19 @@ def test_words_put_in_or_left_out_and_long_runs(spark, docs_of):
     got = leaks(docs_of(rows), items)
     assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 1), (6, 1)}
     assert got[5, 1].occurrences == 2 and got[1, 1].verbatim and got[3, 2].verbatim and got[3, 2].coverage < 0.1
+
+
+APPLES = "Alice has 3 apples. Bob gives Alice 5 more. Alice then eats 2 of them. How many apples does Alice have now?"
+SHIP = "In the harbour a sailor called {} sold the red boat to the old uncle of {} before the long winter came and the ice closed every bay"
+
+PORT = "At the far end of the port {} and the other men of the crew had to wait for days until {} came back with the keys and the maps of the whole northern coast"
+
+
+def test_names_that_open_sentences_and_odd_capitals(spark, docs_of):
+    items = spark.createDataFrame([(1, APPLES), (2, SHIP.format("McDonald", "Łukasz")), (3, PORT.format("Alice", "Bob"))], "item_id long, text string")
+    other = APPLES.replace("Alice", "Zoe").replace("Bob", "Tom").replace("3", "4").replace("5", "7").replace("2", "1")
+    mixed = other.replace("does Zoe", "does Tom")
+    rows = [(1, other), (2, f"He said: {APPLES}"), (3, SHIP.format("Carol", "Dan")), (4, SHIP.format("DAN", "Žofie")), (5, PORT.format("Dan", "Dan")), (6, mixed), (7, APPLES.upper()), (8, PORT.format("Dan", "Eve"))]
+    got = leaks(docs_of(rows), items)
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (7, 1), (8, 3)}
+    assert not got[1, 1].verbatim and got[1, 1].coverage > 0.8 and got[2, 1].verbatim and got[7, 1].verbatim
