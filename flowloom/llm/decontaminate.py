@@ -16,8 +16,10 @@ leak if its slots are consistent: each value of the item stands for one value of
 where they aren't, the hits of each single distance are judged alone. ``verbatim`` tells that all slots have the
 item's own values. A chain below ``COVERAGE`` is a leak if ``RUN`` members in a row have the item's own values.
 
-Items of fewer than ``WINDOW`` members have one window of their size, if it has ``SHORTEST`` members at least;
-still shorter ones can't be told from chance and match nothing. Null and empty texts and items match nothing;
+Items of fewer than ``WINDOW`` members have one window of their size, if it has ``SHORTEST`` members at least. Items
+without any telling window are looked for word by word (``EXACT``: numbers keep their values, operators between words
+count), and as a whole or in runs of ``RUN`` words. They need ``EXACT_SHORTEST`` words and operators; shorter ones can't
+be told from chance and match nothing. Null and empty texts and items match nothing;
 rows with null ids can be leaks and carry the null. Repeated rows and items are each compared.
 """
 
@@ -35,10 +37,11 @@ from flowloom.session import durable
 
 WINDOW = 8
 SHORTEST = 4
+EXACT_SHORTEST = 3
 COVERAGE = 0.5
 DRIFT = WINDOW
 RUN = 13
-PLAIN, INSIDE, CAPITALS = 0, 1, 2
+PLAIN, INSIDE, CAPITALS, EXACT = 0, 1, 2, 3
 BLOCK_WINDOWS = 1 << 20
 
 #: Units that follow a number; a parameter.
@@ -49,6 +52,8 @@ _NUMBER, _NAME, _UNIT = np.uint64(0xA11CE5), np.uint64(0xB0B5), np.uint64(0xC0DE
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _STOP = np.array([chr(b) in ".!?:\n" for b in range(256)])
+_OPERATOR = np.zeros(256, dtype=np.uint64)
+_OPERATOR[list(b"+-*/=<>^%|&~")] = mix(np.arange(1, 13, dtype=np.uint64))
 _CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x20000)])
 
 
@@ -119,7 +124,30 @@ class Template:
         return out
 
 
-_SALT = np.array([0, 0x5A17000000000001, 0x5A17000000000002], dtype=np.uint64)
+class Exact(Template):
+    """The words of the texts of a block as they are, with the operators between them."""
+
+    def __init__(self, block: Block):
+        self.words = words = block.words(ALNUM, lower=True)
+        n = len(words.starts)
+        self.text, self.first = np.repeat(np.arange(len(block)), words.counts()), words.first
+        self.start, self.stop, self.kind = np.arange(n), np.arange(1, n + 1), np.zeros(n, dtype=int)
+        seen = np.zeros(len(block.buf) + 1, dtype=np.uint64)
+        np.cumsum(_OPERATOR[block.buf], out=seen[1:])
+        self.hash = np.zeros(max(0, 2 * n - 1), dtype=np.uint64)
+        self.hash[::2], self.hash[1::2] = words.hashes(), seen[words.starts[1:]] - seen[words.ends[:-1]]
+        inside = self.text[1:] == self.text[:-1]
+        self.length = words.counts() + np.bincount(self.text[1:][inside & (self.hash[1::2] > 0)], minlength=len(block))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.text) - size + 1
+        if n <= 0:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        at = np.flatnonzero(self.text[size - 1:] == self.text[:n])
+        return at, gram_hashes(self.hash, 2 * size - 1)[::2][at]
+
+
+_SALT = np.array([0, 0x5A17000000000001, 0x5A17000000000002, 0x5A17000000000003], dtype=np.uint64)
 _WINDOWS = "`key` {kind}, reading int, size int, place int, total int, word int, past int, h long, slots array<string>"
 
 
@@ -138,11 +166,13 @@ def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, want
         for batch in batches:
             for block in blocks(batch.column("text")):
                 rows_out: list[tuple] = []
-                totals = np.zeros((3, len(block)), dtype=int)
-                for reading in (PLAIN, INSIDE, CAPITALS) if sizes is None else sorted({r for r, _ in sizes}):
-                    form = Template(block, units, reading)
+                totals = np.zeros((4, len(block)), dtype=int)
+                for reading in (PLAIN, INSIDE, CAPITALS, EXACT) if sizes is None else sorted({r for r, _ in sizes}):
+                    form = Exact(block) if reading == EXACT else Template(block, units, reading)
                     data, members = form.words.buf.tobytes(), np.diff(form.first)
-                    for size in sorted({min(WINDOW, m) for m in members.tolist() if m >= SHORTEST} if sizes is None else {k for r, k in sizes if r == reading}):
+                    if sizes is None and reading == EXACT:
+                        members = np.where((totals.sum(axis=0) == 0) & (form.length >= EXACT_SHORTEST), members, 0)
+                    for size in sorted({min(WINDOW, m) for m in members.tolist() if m >= (1 if reading == EXACT else SHORTEST)} if sizes is None else {k for r, k in sizes if r == reading}):
                         at, h = form.windows(size)
                         h = mix(h ^ _SALT[reading])
                         if quick is not None:
@@ -282,7 +312,10 @@ def _judged(hits: list[dict], coverage: float) -> tuple[list[Chain], list[Chain]
 
 def _leaks(readings: dict[int, dict], coverage: float) -> list[Chain]:
     """The leaks in any reading; where names inside sentences are inconsistent, reading them as words doesn't mend it."""
-    judged = {r: _judged(list(hits.values()), coverage) for r, hits in readings.items()}
+    judged = {r: _judged(list(hits.values()), coverage) for r, hits in readings.items() if r != EXACT}
+    if EXACT in readings:
+        alone = _all(list(readings[EXACT].values())).alone()
+        judged[EXACT] = ([x for c in alone for x in ([c] if c.coverage() == 1 else c.runs())], [])
     torn = judged[INSIDE][1] if INSIDE in judged else []
     return _merged([c for r, (leaks, _) in judged.items() for c in leaks
                     if r != PLAIN or not any(t.coverage() > c.coverage() and _overlap(t, c) for t in torn)])

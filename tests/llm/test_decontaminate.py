@@ -70,3 +70,13 @@ def test_names_that_open_sentences_and_odd_capitals(spark, docs_of):
     got = leaks(docs_of(rows), items)
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (7, 1), (8, 3)}
     assert not got[1, 1].verbatim and got[1, 1].coverage > 0.8 and got[2, 1].verbatim and got[7, 1].verbatim
+
+
+def test_items_without_telling_windows(spark, docs_of):
+    table = " ".join(str(k * k % 97) for k in range(3, 23))
+    items = spark.createDataFrame([(1, "What is 12 + 7 * 3?"), (2, table), (3, "12 / 5"), (4, "Is 3 odd?"), (5, "a b")], "item_id long, text string")
+    rows = [(1, "Q: What is 12 + 7 * 3? A: 33"), (2, "what is 12 - 7 * 3"), (3, "what is 12 + 8 * 3"), (4, f"rows\n{table}\nend"), (5, " ".join(table.split()[:9])),
+            (6, "so 12/5 is 2.4"), (7, "12 5"), (8, "tell me, is 3 odd"), (9, "a b"), (10, "what is"), (11, "12 + 7 * 3"), (12, " ".join(table.split()[2:16]))]
+    got = leaks(docs_of(rows), items)
+    assert set(got) == {(1, 1), (4, 2), (6, 3), (8, 4), (12, 2)}
+    assert all(r.verbatim for r in got.values()) and got[1, 1].coverage == 1
