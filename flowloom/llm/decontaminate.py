@@ -1,6 +1,6 @@
 """Benchmark leaks, also re-parameterised ones, by canonical templates.
 
-Canonical form. Lower-cased words; runs of numbers become one number slot, units after a number a unit
+Canonical form. Lower-cased words; runs of numbers inside a sentence become one number slot, units after a number a unit
 slot, runs of names one name slot. Capital letters don't tell names for certain, so each text has three readings,
 judged apart: no word is a name (``PLAIN``), capitalised words inside a sentence are (``INSIDE``), all capitalised
 words are (``CAPITALS``: also those that open a sentence or have further capitals). A window is ``WINDOW``
@@ -14,7 +14,8 @@ Check. Hits of a text and an item are chained in the order of both; between two
 drift by ``DRIFT`` members (words put in or left out). A chain with at least ``COVERAGE`` of the item's windows is a
 leak if its slots are consistent: each value of the item stands for one value of the text and the other way round;
 where they aren't, the hits of each single distance are judged alone. ``verbatim`` tells that all slots have the
-item's own values. A chain below ``COVERAGE`` is a leak if ``RUN`` members in a row have the item's own values.
+item's own values. An item's first and last slot may be the end or the start of a longer run in the text; if it has
+another value there, the slot is left out of the check. A chain below ``COVERAGE`` is a leak if ``RUN`` members in a row have the item's own values.
 
 Items of fewer than ``WINDOW`` members have one window of their size, if it has ``SHORTEST`` members at least. Items
 without any telling window are looked for word by word (``EXACT``: numbers keep their values, operators between words
@@ -88,6 +89,11 @@ class Template:
         stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
         if n:
             opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
+        ends_run = np.zeros(n, dtype=bool)  # a stop before other than a letter or digit: 3.5 and 12:30 are one number
+        if n:
+            full = _STOP[raw] & ~np.append(ALNUM[raw[1:]], False) | (raw == 0x0A)
+            seen = np.concatenate([[0], np.cumsum(full)])
+            ends_run[1:] = seen[starts[1:]] > seen[ends[:-1]]
         name = upper & ~number
         if reading == INSIDE:
             name &= ~opens
@@ -97,7 +103,7 @@ class Template:
         kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
         keep = np.ones(n, dtype=bool)
         keep[1:] = ~((kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 3)) & (text[1:] == text[:-1])
-                     & ~((kind[1:] == 3) & opens[1:]))
+                     & ~np.where(kind[1:] == 1, ends_run[1:], opens[1:]))
         at = np.flatnonzero(keep)
         self.kind, self.text = kind[at], text[at]
         self.hash = np.where(self.kind == 1, _NUMBER, np.where(self.kind == 2, _UNIT, np.where(self.kind == 3, _NAME, h[at])))
@@ -148,7 +154,15 @@ class Exact(Template):
 
 
 _SALT = np.array([0, 0x5A17000000000001, 0x5A17000000000002, 0x5A17000000000003], dtype=np.uint64)
-_WINDOWS = "`key` {kind}, reading int, size int, place int, total int, word int, past int, h long, slots array<string>"
+_WINDOWS = "`key` {kind}, reading int, size int, place int, total int, word int, past int, edge int, h long, slots array<string>"
+
+
+def _edges(form: Template, at: np.ndarray, size: int) -> np.ndarray:
+    """1 where a window's first slot is the first member of its text, 2 where its last slot is the last member, 3 for both."""
+    if not len(at):
+        return at
+    first, last = at == form.first[form.text[at]], at + size == form.first[form.text[at] + 1]
+    return (first & (form.kind[at] > 0)) + 2 * (last & (form.kind[at + size - 1] > 0))
 
 
 def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, wanted=None) -> DataFrame:
@@ -186,21 +200,31 @@ def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, want
                         totals[reading] += np.bincount(text, minlength=len(block))
                         rows_out += zip(text.tolist(), [reading] * len(at), [size] * len(at), (at - form.first[text]).tolist(),
                                         (form.start[at] - form.words.first[text]).tolist(), (form.stop[at + size - 1] - form.words.first[text]).tolist(),
-                                        h.view(np.int64).tolist(), [form.slots(a, size, data) for a in at.tolist()], strict=True)
+                                        _edges(form, at, size).tolist(), h.view(np.int64).tolist(), [form.slots(a, size, data) for a in at.tolist()], strict=True)
                 totals[CAPITALS] = np.maximum(totals[CAPITALS], totals[INSIDE])
-                columns = list(zip(*rows_out, strict=True)) or [[]] * 8
+                columns = list(zip(*rows_out, strict=True)) or [[]] * 9
                 text = pa.array(columns[0], type=pa.int64())
                 total = totals[np.array(columns[1], dtype=int), np.array(columns[0], dtype=int)]
-                ints = dict(zip(("reading", "size", "place", "word", "past"), columns[1:6], strict=True)) | {"total": total}
+                ints = dict(zip(("reading", "size", "place", "word", "past", "edge"), columns[1:7], strict=True)) | {"total": total}
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(block.first, len(block)).take(text),
-                     *[pa.array(ints[c], type=pa.int32()) for c in ("reading", "size", "place", "total", "word", "past")],
-                     pa.array(columns[6], type=pa.int64()), pa.array(columns[7], type=pa.list_(pa.string()))],
-                    ["key", "reading", "size", "place", "total", "word", "past", "h", "slots"])
+                     *[pa.array(ints[c], type=pa.int32()) for c in ("reading", "size", "place", "total", "word", "past", "edge")],
+                     pa.array(columns[7], type=pa.int64()), pa.array(columns[8], type=pa.list_(pa.string()))],
+                    ["key", "reading", "size", "place", "total", "word", "past", "edge", "h", "slots"])
 
     return rows.mapInArrow(run, _WINDOWS.format(kind=rows.dtypes[0][1]))
 
 
+def _trimmed(hit: dict) -> dict:
+    """Longer runs at the item's edges cut to the item's value, or null if that isn't at their end (start)."""
+    for bit, at in ((1, 0), (2, -1)):
+        if hit["edge"] & bit:
+            own, slot = hit["own"][at].split(" "), hit["slots"][at].split(" ")
+            if len(slot) > len(own):
+                hit["slots"][at] = hit["own"][at] if own == (slot[-len(own):] if bit == 1 else slot[:len(own)]) else None
+    return hit
+
+
 class Chain:
     """Hits of one occurrence, in the order of the text and of the item."""
 
@@ -216,7 +240,7 @@ class Chain:
 
     def pairs(self) -> set[tuple[str, str]]:
         """Values of the item and of the text in the same slots."""
-        return {p for h in self.hits for p in zip(h["own"], h["slots"], strict=True)}
+        return {p for h in self.hits for p in zip(h["own"], h["slots"], strict=True) if p[1] is not None}
 
     def consistent(self) -> bool:
         pairs = self.pairs()
@@ -362,16 +386,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         found = _template_windows(texts, sizes, wanted)
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = texts.filter("false").selectExpr("key", "0 AS reading", "0 AS size", "0 AS place", "0 AS total", "0 AS word", "0 AS past", "0L AS h", "array('') AS slots")
+        hits = texts.filter("false").selectExpr("key", "0 AS reading", "0 AS size", "0 AS place", "0 AS total", "0 AS word", "0 AS past", "0 AS edge", "0L AS h", "array('') AS slots")
     joined = hits.alias("d").join(items.alias("b"), ["h", "reading", "size"]).select(
         F.col("d.key.id").alias("doc_id"), F.col("d.key.of").alias("doc_of"), F.col("b.key.id").alias("item_id"), F.col("b.key.of").alias("item_of"),
-        F.col("d.place").alias("d"), F.col("b.place").alias("i"), "reading", "size", "b.total", "d.word", "d.past", F.col("b.slots").alias("own"), F.col("d.slots").alias("slots"))
+        F.col("d.place").alias("d"), F.col("b.place").alias("i"), "reading", "size", "b.total", "b.edge", "d.word", "d.past", F.col("b.slots").alias("own"), F.col("d.slots").alias("slots"))
     kinds = dict(joined.dtypes)
 
     def judge(group: pa.Table) -> pa.Table:
         readings: dict[int, dict] = {}
         for h in group.drop_columns(["doc_id", "doc_of", "item_id", "item_of"]).to_pylist():
-            readings.setdefault(h["reading"], {})[h["d"], h["i"]] = h
+            readings.setdefault(h["reading"], {})[h["d"], h["i"]] = _trimmed(h)
         leaks = _leaks(readings, coverage)
         first = group.slice(0, 1 if leaks else 0).select(["doc_id", "item_id"])
         for name, kind, value in (("coverage", pa.float64(), max((c.coverage() for c in leaks), default=0.0)), ("occurrences", pa.int64(), len(leaks)),

@@ -80,3 +80,18 @@ def test_items_without_telling_windows(spark, docs_of):
     got = leaks(docs_of(rows), items)
     assert set(got) == {(1, 1), (4, 2), (6, 3), (8, 4), (12, 2)}
     assert all(r.verbatim for r in got.values()) and got[1, 1].coverage == 1
+
+
+BOXES = "How many boxes of 40 fill 12 carts if each cart takes 40"
+
+
+def test_runs_at_stops_and_edges(spark, docs_of):
+    turned = "40 boxes of tea were put on the first cart while the other carts took 40 boxes for Ann and then left with Ann"
+    items = spark.createDataFrame([(1, BOXES), (2, turned), (3, "the pump moves 3.5 tons in an hour so what will it move in two hours at 3.5")], "item_id long, text string")
+    rows = [(1, f"{BOXES}? 480."), (2, f"{BOXES} 480"), (3, f"7. {turned} Miller"), (4, f"7) {turned}."), (5, BOXES.replace("40", "30") + "\n360"),
+            (6, BOXES.replace("40 fill", "30 fill")), (7, turned.replace("40", "55") + ". Bob"), (8, "the pump moves 4 tons in an hour so what will it move in two hours at 4"),
+            (9, f"No 7 {turned.replace('40', '41')}")]
+    got = leaks(docs_of(rows), items)
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1), (7, 2), (8, 3), (9, 2)}
+    assert got[1, 1].verbatim and got[2, 1].verbatim and got[3, 2].verbatim and got[4, 2].verbatim and not got[9, 2].verbatim
+    assert got[1, 1].coverage == 1
