@@ -14,7 +14,8 @@ scaled by the root of sum p(word) exp(lambda score) = 1 and less the logarithm o
 passage is significant if that many words of clean text hold fewer than ``E_VALUE`` such segments. The
 sum of the standardised scores of a document's best passages (with the logarithm of their number's
 factorial, as for sums of ordered extreme values; the number that makes most of it) tells how toxic it
-is; its score is a logistic function of that sum, fitted on a fold that the lexicon hasn't seen.
+is; its score is a logistic function of that sum, fitted on a fold that the lexicon hasn't seen, or on
+all sampled rows where that fold lacks a class.
 
 Corpus counts cover every document. The labelled rows used are a sample of at most ``TRAIN_ROWS``
 (parameter), which bounds what is broadcast; the lexicon's size is fixed by ``BITS``.
@@ -188,13 +189,17 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     try:
         table, score, share = _lexicon(_counts(docs, sample))
         model = Model(table, _rate(score, share))
-        fresh = docs.join(F.broadcast(sample.filter("fold = 4").select("doc_id", "label")), "doc_id").select("doc_id", "text", "label")
+        fresh = sample.filter("fold = 4")
 
         def seen() -> tuple[np.ndarray, ...]:
-            got = _scan(fresh, model, ["label"]).select("label", "n_words", "best", "total").toArrow()
+            rows = docs.join(F.broadcast(fresh.select("doc_id", "label")), "doc_id").select("doc_id", "text", "label")
+            got = _scan(rows, model, ["label"]).select("label", "n_words", "best", "total").toArrow()
             return tuple(got.column(c).to_numpy() for c in got.column_names)
 
         label, words, best, _ = seen()
+        if not 0 < label.sum() < len(label):
+            fresh = sample
+            label, words, best, _ = seen()
         clean = (model.rate * best - np.log(np.maximum(1, words)))[(label == 0) & (best > 0)]
         model.log_k = float(clean.mean() - np.euler_gamma) if len(clean) else 0.0
         label, _, _, total = seen()

@@ -1,3 +1,4 @@
+import binascii
 import random
 
 import numpy as np
@@ -87,3 +88,14 @@ def test_word_hashes_follow_the_bytes_only():
     h = np.arange(50, dtype=np.uint64) % np.uint64(7)
     grams = gram_hashes(h, 3)
     assert len({*grams.tolist()}) == 7 and (grams[:-7] == grams[7:]).all()
+
+
+@pytest.mark.parametrize("missing", [0, 1])
+def test_calibration_fold_of_one_class(spark, docs_of, missing):
+    of = {i: binascii.crc32(str(i).encode()) % 5 for i in range(400)}
+    toxic = {i: int(i % 3 == 0) if f < 4 else 1 - missing for i, f in of.items()}
+    docs = docs_of([(i, f"plain words about item {i} " * 3 + ("vile slur again and again" if y else "kind talk all day long")) for i, y in toxic.items()])
+    labels = spark.createDataFrame([(i, y) for i, y in toxic.items() if of[i]], "doc_id long, toxic int")
+    got = {r.row.doc_id: r.score for r in score_toxicity(docs, train_toxicity(docs, labels)).select("row", "score").collect()}
+    held = [i for i, f in of.items() if f == 0]
+    assert min(got[i] for i in held if toxic[i]) >= 0.5 > max(got[i] for i in held if not toxic[i])
