@@ -1,13 +1,14 @@
 """Flow state handed from one chunk of a hot key to the next.
 
-Each chunk is summarised to one row by plain aggregates of its window columns. The rows of a key
-are then walked in chunk order: one row for some million packets. The result, one row per chunk, says
-in which state the chunk begins.
+Each chunk is summarised to one row by plain aggregates of its window columns. The rows, one for some million
+packets, are then walked by key and chunk as they stream through a task, which holds one state at a time however
+many keys or chunks pass. The result, one row per chunk, says in which state the chunk begins.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,8 +56,12 @@ def summarise(marked: DataFrame, part: list[str], directional: bool) -> DataFram
     return marked.groupBy(*part).agg(*aggs)
 
 
+#: Start of the flow that is the latest when a chunk ends.
+LEFT_OPEN = ["e_fs_us", "e_fs_frame", "e_fs_capture"]
+
+
 def carry_schema(part_fields: list[T.StructField], directional: bool) -> T.StructType:
-    names = ["c_prev_ts", "c_fs_us", "c_fs_frame", "c_fs_capture", "c_run_prev", "c_run_in", "c_sub"]
+    names = ["c_prev_ts", "c_fs_us", "c_fs_frame", "c_fs_capture", "c_run_prev", "c_run_in", "c_sub", *LEFT_OPEN]
     for d in DIRS if directional else DIRS[:1]:
         names += [f"c_{name}_{d}" for name in ("p", "h", "s", "n", "b", "q")]
     return T.StructType(part_fields + [T.StructField("c_state", T.StringType()), T.StructField("c_open", T.BooleanType())]
@@ -64,9 +69,10 @@ def carry_schema(part_fields: list[T.StructField], directional: bool) -> T.Struc
 
 
 def chunk_carry(summary: DataFrame, key: list[str], directional: bool, idle_us: int, start: DataFrame | None = None) -> DataFrame:
-    """State at the start of every chunk, from the chunk summaries of one key at a time.
+    """State at the start of every chunk, from the chunk summaries of each key in order.
 
-    ``c_state`` is the state after the chunk as text; ``start`` may give that of an earlier stretch (``key, state``).
+    ``c_state`` is the state after the chunk as text, ``LEFT_OPEN`` the start of the flow it is about; ``start`` may give the
+    state of an earlier stretch (``key, state``).
     """
     if start is None:
         summary = summary.withColumn("state", F.lit(None).cast("string"))
@@ -77,15 +83,20 @@ def chunk_carry(summary: DataFrame, key: list[str], directional: bool, idle_us:
     dirs = DIRS if directional else DIRS[:1]
     arrow_schema = to_arrow_schema(schema)
 
-    def walk(table: pa.Table) -> pa.Table:
-        rows, out = table.sort_by("chunk").to_pylist(), []
-        state = json.loads(rows[0]["state"]) if rows[0]["state"] else None
-        for row in rows:
-            begin, state = _step(state, row, dirs, idle_us)
-            out.append({**{c: row[c] for c in part}, **begin, "c_state": json.dumps(state)})
-        return pa.Table.from_pylist(out, schema=arrow_schema)
-
-    return summary.groupBy(*key).applyInArrow(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                this = [row[c] for c in key]
+                if this != at:
+                    at, state = this, json.loads(row["state"]) if row["state"] else None
+                begin, state = _step(state, row, dirs, idle_us)
+                after = zip(LEFT_OPEN, (state["fs_us"], state["fs_frame"], state["fs_capture"]), strict=True)
+                out.append({**{c: row[c] for c in part}, **begin, **dict(after), "c_state": json.dumps(state)})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
+
+    return summary.repartition(*key).sortWithinPartitions(*part).mapInArrow(walk, schema)
 
 
 def _step(state: dict | None, row: dict, dirs: tuple[str, ...], idle_us: int) -> tuple[dict, dict]:

@@ -159,6 +159,7 @@ def resolve(marked: DataFrame, key: list[str], directional: bool, carry: DataFra
         "cut": F.col("kind") == 1,
         # cut markers are not packets
         "frame_no": F.when(packet, F.col("frame_no")),
+        "capture_no": F.when(packet, F.col("capture_no")),
         "ts_us": F.when(packet, ts),
         "is_fwd": F.when(packet, fwd),
         "header_len": F.when(packet, F.col("header_len")),

@@ -28,14 +28,17 @@ def _measure(prefix: str, value: str) -> list[str]:
     ]
 
 
-def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool) -> DataFrame:
-    """One row of raw sums per flow. Partial aggregation spreads a hot flow over all its chunks."""
-    aggs = [
+def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool, opener: bool = False) -> DataFrame:
+    """One row of raw sums per flow. Partial aggregation spreads a hot flow over all its chunks.
+
+    With ``opener``, ``first_fwd`` tells whether the flow's first packet is a forward one.
+    """
+    first = "ts_us = fs_us and frame_no = fs_frame and capture_no = fs_capture"
+    aggs = [f"max(if({first}, is_fwd, null)) as first_fwd"] if opener else []
+    aggs += [
         "max(ts_us) as flow_end_us",
         "max(cut) as was_cut",
         "count(idle_us) as pauses",
-        "count_if(is_fwd and payload_len > 0) as f_data",
-        "min(if(is_fwd and payload_len > 0, payload_len, null)) as f_data_min",
         *_measure("len", "payload_len"), *_measure("iat", "iat_us"),
         *_measure("active", "active_us"), *_measure("idle", "idle_us"),
     ]
@@ -43,6 +46,7 @@ def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool) -> Dat
         if directional:
             aggs += _measure(f"{d}_len", f"if({way}, payload_len, null)")
         aggs += _measure(f"{d}_iat", f"{d}_iat_us")
+        aggs += [f"count_if({way} and payload_len > 0) as {d}_data", f"min(if({way} and payload_len > 0, payload_len, null)) as {d}_data_min"]
         aggs.append(f"sum(cast(if({way}, header_len, null) as bigint)) as {d}_header")
         aggs += [f"count_if({way} and protocol = {TCP} and tcp_flags & {FLAG_BITS[flag]} <> 0) as {d}_{flag.lower()}"
                  for flag in DIRECTIONAL_FLAGS]

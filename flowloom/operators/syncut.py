@@ -31,21 +31,21 @@ ORDER = ["ts_us", "frame_no", "capture_no"]
 IDLE_US = 60_000_000
 
 
-def _sessions(packets: DataFrame, part: list[str], idle_us: int) -> DataFrame:
-    """TCP packets with their session number inside the partition and forward count in it."""
+def _sessions(packets: DataFrame, part: list[str], idle_us: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """TCP packets with their session number inside the partition and forward count in it; ``more`` columns pass."""
     w = Window.partitionBy(*part).orderBy(*ORDER)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fwd = F.col("is_fwd").cast("int")
     fresh = F.col("ts_us") - F.col("prev_ts") > idle_us
     return (
         packets.filter(F.col("protocol") == TCP)
-        .select(*part, *ORDER, "is_fwd", is_syn_only().alias("is_syn"))
+        .select(*part, *ORDER, "is_fwd", is_syn_only().alias("is_syn"), *more)
         .withColumns({"prev_ts": F.lag("ts_us").over(w), "seen": F.sum(fwd).over(running)})
         .withColumns({
             "sess": F.count(F.when(fresh, 1)).over(running),
             "base": F.coalesce(F.max(F.when(fresh, F.col("seen") - fwd)).over(running), F.lit(0)),
         })
-        .select(*part, *ORDER, "is_syn", "sess", (F.col("seen") - F.col("base")).alias("pos"))
+        .select(*part, *ORDER, "is_syn", "sess", (F.col("seen") - F.col("base")).alias("pos"), *more)
     )
 
 
@@ -90,6 +90,13 @@ def syn_cuts(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD,
     return _cutting_rows(candidates, key + ["sess"], threshold)
 
 
+def syn_cuts_after(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US) -> DataFrame:
+    """The same for keys whose flow may be open already: ``entry`` has its forward packets so far, 0 if a new flow begins."""
+    rows = _sessions(packets, key, idle_us, ("entry",)).filter("is_syn")
+    pos = F.col("pos") + F.when(F.col("sess") == 0, F.col("entry")).otherwise(0)
+    return _cutting_rows(rows.withColumn("pos", pos).filter(F.col("pos") >= threshold).drop("is_syn", "entry"), key + ["sess"], threshold)
+
+
 def syn_cuts_chunked(packets: DataFrame, key: list[str], threshold: int = SYN_THRESHOLD,
                      idle_us: int = IDLE_US, entry: DataFrame | None = None) -> DataFrame:
     """The same for packets that carry ``chunk``; ``entry`` may give the open flow before a key's first chunk

@@ -12,14 +12,14 @@ from flowloom.functions import net
 from flowloom.functions.stats import summary_stats as stats_by
 from flowloom.operators import columns as col_ops
 from flowloom.operators import decode, detect, filters
-from flowloom.operators.orient import bidirectional_features
+from flowloom.operators.orient import bidirectional_features, bidirectional_flow_key
 from flowloom.plans import oracle as O
 from flowloom.plans.flow_plan import DST_KEY, flow_features, packet_deltas
 from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, FLOW_TYPES, SHORT_HEADERS
 from flowloom.session import durable, scratch_path
 from flowloom.sources import files, tables
 from flowloom.streaming import flows as live
-from flowloom.streaming.assemble import FlowAssembler, run_flow_stream
+from flowloom.streaming.assemble import FlowAssembler, run_flow_stream, stop_flow_stream
 from flowloom.streaming.run import drain, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,7 +348,7 @@ register("rate_windows", rate_windows, RATE_SQL)
 
 
 def bidirectional(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(bidirectional_features(wide_pairs(events(spark, sf))), BI_COLUMNS)
+    return rounded(bidirectional_features(wide_pairs(events(spark, sf))), FULL)
 
 
 def wide_pairs(packets: DataFrame) -> DataFrame:
@@ -362,36 +362,42 @@ def wide_pairs(packets: DataFrame) -> DataFrame:
     return packets.withColumns(swapped)
 
 
-BI_COLUMNS = ["flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flow_start_us", "flow_start_frame",
-              *COUNTS, *stat("fwd_iat"), *stat("bwd_iat"), "down_up_ratio"]
-BI_SQL = O.EVENT_PACKETS.replace("\np as", "\np0 as") + """,
-pp as (select * exclude (src_ip_int, src_port, dst_ip_int, dst_port),
+# pairs under one number each way round, oriented by the session's first packet
+BI_PACKETS = O.EVENT_PACKETS.replace("\np as", "\np0 as") + """,
+p1 as (select * exclude (src_ip_int, src_port, dst_ip_int, dst_port),
     src_ip_int % 3 + 167772160 as h, cast(src_port % 5 + 1024 as int) as hp, dst_ip_int as sv, dst_port as svp from p0),
-p as (select *, h * 4294967296 + sv as dst_ip_int, hp * 65536 + svp as dst_port,
+p2 as (select * exclude (is_fwd), h * 4294967296 + sv as dst_ip_int, hp * 65536 + svp as dst_port,
     case when is_fwd then h else sv end as src_ip_int, case when is_fwd then hp else svp end as src_port,
-    case when is_fwd then sv else h end as to_ip, case when is_fwd then svp else hp end as to_port from pp)"""
-register("bidirectional_flow_key", bidirectional, O.segmented(BI_SQL, False, True)
-    + f""",
-    o as (select *, src_ip_int = first_value(src_ip_int) over wf as ahead, first_value(src_ip_int) over wf as si,
-      first_value(src_port) over wf as sp, first_value(to_ip) over wf as di, first_value(to_port) over wf as dp
-      from h window wf as (partition by {O.FLOW} order by ts_us, frame_no)),
-    d as (select *, ts_us - lag(ts_us) over (partition by {O.FLOW}, ahead order by ts_us, frame_no) as og from o),
-    r as (select {O.FLOW}, si, sp, di, dp, fs_us, fs_frame,
-      count(*) filter (ahead) as tot_fwd_pkts, count(*) filter (not ahead) as tot_bwd_pkts,
-      coalesce(sum(payload_len) filter (ahead), 0)::bigint as totlen_fwd_pkts,
-      coalesce(sum(payload_len) filter (not ahead), 0)::bigint as totlen_bwd_pkts,
-      coalesce(sum(header_len) filter (ahead), 0)::bigint as fwd_header_len,
-      coalesce(sum(header_len) filter (not ahead), 0)::bigint as bwd_header_len,
-      {', '.join(O._a0('fwd_iat', 'og', 'ahead') + O._a0('bi', 'og', 'not ahead'))}
-      from d group by {O.FLOW}, si, sp, di, dp, fs_us, fs_frame)
-    select concat_ws('-', {O.DOTTED.format('si')}, {O.DOTTED.format('di')}, sp, dp, protocol) as flow_id,
-      {O.DOTTED.format('si')} as src_ip, sp as src_port, {O.DOTTED.format('di')} as dst_ip, dp as dst_port, protocol,
-      fs_us as flow_start_us, fs_frame as flow_start_frame, {', '.join(COUNTS)},
-      {', '.join(f'{O.r2(c)} as {c}' for c in stat('fwd_iat'))},
-      {', '.join('{} as bwd_iat_{}'.format(O.r2(f'case when tot_bwd_pkts = 0 then -1.0 else bi_{s} end' if s != 'std' else 'bi_std'), s)
-                 for s in ('max', 'min', 'mean', 'std'))},
-      {O.r2('case when totlen_fwd_pkts > 0 then totlen_bwd_pkts / totlen_fwd_pkts else 0 end')} as down_up_ratio
-    from r""")
+    case when is_fwd then sv else h end as to_ip, case when is_fwd then svp else hp end as to_port from p1),
+p3 as (select *, coalesce(ts_us - lag(ts_us) over w > 60000000, false) as fresh
+    from p2 window w as (partition by dst_ip_int, dst_port, protocol order by ts_us, frame_no)),
+p4 as (select *, sum(fresh::int) over (partition by dst_ip_int, dst_port, protocol order by ts_us, frame_no rows unbounded preceding) as s from p3),
+p as (select * exclude (fresh, s), src_ip_int = first_value(src_ip_int) over (
+    partition by dst_ip_int, dst_port, protocol, s order by ts_us, frame_no) as is_fwd from p4)"""
+
+
+def oriented_record(columns: list[str]) -> str:
+    """Select list of the flow's columns with the ends of its first packet ``o``."""
+    si, di = O.DOTTED.format("o.src_ip_int"), O.DOTTED.format("o.to_ip")
+    ends = {"flow_id": f"concat_ws('-', {si}, {di}, o.src_port, o.to_port, f.protocol)", "src_ip": si, "src_port": "o.src_port",
+            "dst_ip": di, "dst_port": "o.to_port", "protocol": "f.protocol"}
+    return ", ".join(f"{ends[c]} as {c}" if c in ends else O.pick([c]) for c in columns)
+
+
+BI_SQL = (O.flows(BI_PACKETS, False, True)
+          + f" select {oriented_record(FULL)} from flows f join p o on o.frame_no = f.flow_start_frame")
+register("bidirectional_flow_key", bidirectional, BI_SQL)
+
+
+def oriented_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Each packet with the ends of its flow, as the flow's first packet has them."""
+    return bidirectional_flow_key(wide_pairs(events(spark, sf))).drop("capture_no")
+
+
+register("oriented_packets", oriented_packets, f"""with {BI_PACKETS}
+    select frame_no, ts_us, case when is_fwd then src_ip_int else to_ip end as flow_src_ip_int,
+      case when is_fwd then src_port else to_port end as flow_src_port, case when is_fwd then to_ip else src_ip_int end as dst_ip_int,
+      case when is_fwd then to_port else src_port end as dst_port, protocol, header_len, payload_len, tcp_flags, is_fwd from p""")
 
 
 # ---- model frames and files ----------------------------------------------------------------
@@ -523,9 +529,13 @@ register("stream_sessions", stream_sessions, SESSIONS_SQL + CLOSED_BY_NOW)
 register("sessions_close_out", sessions_close_out, SESSIONS_SQL + f"not ({CLOSED_BY_NOW})")
 
 
-def assembled(spark: SparkSession, packets: DataFrame, chunk_rows: int | None = None) -> FlowAssembler:
+def assembler(spark: SparkSession, **options) -> FlowAssembler:
+    return FlowAssembler(spark, scratch_path(spark, "live-state"), scratch_path(spark, "live-flows"), **options)
+
+
+def assembled(spark: SparkSession, packets: DataFrame, **options) -> FlowAssembler:
     """A flow stream run to the end of its input."""
-    run = FlowAssembler(spark, scratch_path(spark, "live-state"), scratch_path(spark, "live-flows"), chunk_rows=chunk_rows)
+    run = assembler(spark, **options)
     run_flow_stream(packets, run, scratch_path(spark, "live-checkpoint"), {"availableNow": True}).awaitTermination()
     return run
 
@@ -538,7 +548,7 @@ def stream_flows(spark: SparkSession, sf: str) -> DataFrame:
 def close_out(spark: SparkSession, sf: str) -> DataFrame:
     """Flows still open then, finished from the state the stream has kept."""
     run = assembled(spark, packet_stream(spark, sf))
-    return rounded(run.close_out(run.last_batch()), FULL)
+    return rounded(run.close_out(), FULL)
 
 
 def stream_flows_keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -577,6 +587,60 @@ def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(assembled(spark, packets).emitted(), FULL)
 
 
+def in_files(packets: DataFrame, folder: str, part: str, numbers: range) -> None:
+    """Adds the packets of each part, in turn, as one file of a folder that a stream reads file by file."""
+    for n in numbers:
+        packets.filter(f"{part} = {n}").coalesce(1).write.mode("append").parquet(folder)
+
+
+def file_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+THIRD, HALF = (f"(ts_us - 1704067200000000) {{}} {us}" for us in (432_000_000, 648_000_000))
+
+
+def two_way(spark: SparkSession, sf: str) -> FlowAssembler:
+    """Conversations of both directions, live in three batches, closed out at the end."""
+    folder = scratch_path(spark, "live-packets")
+    in_files(wide_pairs(events(spark, sf)).drop("is_fwd"), folder, THIRD.format("div"), range(3))
+    run = assembled(spark, file_stream(spark, folder), two_way=True)
+    run.close_out()
+    return run
+
+
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream on a clock: two files, a stop, a third file to a new run on the same state, a stop that closes out."""
+    folder, checkpoint, run = scratch_path(spark, "live-packets"), scratch_path(spark, "live-checkpoint"), assembler(spark)
+    for numbers in (range(2), range(2, 3)):
+        in_files(events(spark, sf), folder, THIRD.format("div"), numbers)
+        run = FlowAssembler(spark, run.state, run.target)
+        query = run_flow_stream(file_stream(spark, folder), run, checkpoint, {"processingTime": "1 second"})
+        query.processAllAvailable()
+        if 2 in numbers:
+            stop_flow_stream(query, run)
+        else:
+            query.stop()
+            query.awaitTermination()
+    return rounded(run.emitted(closed_out=True), FULL)
+
+
+LATE_PART = f"case when frame_no % 97 = 0 then 1 else {HALF} end"
+
+
+def late_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets that come a file too late, behind the watermark of the first file."""
+    folder = scratch_path(spark, "live-packets")
+    in_files(events(spark, sf), folder, LATE_PART.format("div"), range(2))
+    run = assembled(spark, file_stream(spark, folder))
+    return run.late_packets().select(*DST_KEY, "frame_no", "ts_us", "behind_us", "reason")
+
+
+LATE_SQL = PACKET_SQL["events"][:-1] + f""", t as (select *, {LATE_PART.format('//')} as part from p),
+    m as (select (max(ts_us) - 10000000) // 1000 * 1000 as passed from t where part = 0)
+    select {O.KEY}, frame_no, ts_us, passed - ts_us as behind_us, 'behind_watermark' as reason from t, m where part = 1 and ts_us <= passed"""
+
+
 FLOOD_PACKETS = O.EVENT_PACKETS.replace("\np as", "\np0 as") + """,
 p as (select * replace (case when frame_no % 5 < 3 then 3232235777 else dst_ip_int end as dst_ip_int,
     (case when frame_no % 5 < 3 then 80 else dst_port end)::int as dst_port,
@@ -586,6 +650,9 @@ register("stream_flows_keyed", stream_flows_keyed, FLOWS_SQL + f" select {O.pick
 register("keyed_close_out", keyed_close_out, FLOWS_SQL + f" select {O.pick(FULL)} from flows where not {EMITTED}")
 register("stream_flows", stream_flows, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
 register("stream_frames_flows", stream_frames, FLOWS_SQL + f" select {O.pick(FULL)} from flows where {EMITTED}")
+register("stream_flows_two_way", lambda spark, sf: two_way(spark, sf).emitted(closed_out=True).transform(rounded, FULL), BI_SQL)
+register("stream_restart", stream_restart, FLOWS_SQL + f" select {O.pick(FULL)} from flows")
+register("late_packets", late_packets, LATE_SQL)
 register("close_out", close_out, FLOWS_SQL + f" select {O.pick(FULL)} from flows where not {EMITTED}")
 
 

@@ -10,6 +10,8 @@ carries and a partial aggregate; only per-flow partial rows are exchanged again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ DST_KEY = ["dst_ip_int", "dst_port", "protocol"]
 _BODY = [*ORDER, "header_len", "payload_len", "tcp_flags", "is_fwd"]
 
 
-def _with_cuts(packets: DataFrame, cuts: DataFrame | None, part: list[str]) -> DataFrame:
+def with_cuts(packets: DataFrame, cuts: DataFrame | None, part: list[str]) -> DataFrame:
     rows = packets.select(*part, *_BODY, F.lit(0).alias("kind"))
     if cuts is None:
         return rows
@@ -52,12 +54,12 @@ def _deltas(packets: DataFrame, key: list[str], directional: bool, syn_cut: bool
     split = split_hot_keys(packets, key, chunk_rows, stats)
     may_cut = stats.filter((F.col("n") >= threshold) & (F.col("n_syn") > 0)).select(*key)
     cuts = syn_cuts(split.cold.join(may_cut, key, "left_semi"), key, threshold, idle_us) if syn_cut else None
-    marked = mark(_with_cuts(split.cold, cuts, key), key, directional, False, idle_us)
+    marked = mark(with_cuts(split.cold, cuts, key), key, directional, False, idle_us)
     parts = [resolve(marked, key, directional)]
     if split.hot is not None:
         part = key + ["chunk"]
         cuts = syn_cuts_chunked(split.hot, key, threshold, idle_us) if syn_cut else None
-        rows = _with_cuts(split.hot, cuts, part).repartition(split.n_chunks, *part)
+        rows = with_cuts(split.hot, cuts, part).repartition(split.n_chunks, *part)
         marked = durable(mark(rows, part, directional, True, idle_us))
         summary = carry_ops.summarise(marked, part, directional)
         carry = durable(carry_ops.chunk_carry(summary, key, directional, idle_us))
@@ -73,18 +75,21 @@ def packet_deltas(packets: DataFrame, key: list[str] | None = None, directional:
 
 def flow_features(packets: DataFrame, key: list[str] | None = None, directional: bool = False, syn_cut: bool = True,
                   threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US, as_of_us: int | None = None,
-                  chunk_rows: int | None = None) -> DataFrame:
+                  chunk_rows: int | None = None, turn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Flow records (88 columns plus extras) of a packet table.
 
     ``directional=False`` is destination-keyed monitoring: every packet counts as forward.
     ``chunk_rows`` is the number of packets above which a key is processed in chunks. Packets are in order of
-    time, frame number and, where the table has it, ``capture_no``.
+    time, frame number and, where the table has it, ``capture_no``. ``turn`` may rewrite the raw sums of the flows, which
+    then say in ``first_fwd`` which way the first packet went.
     """
     key = key or DST_KEY
     parts, stats = _deltas(packets, key, directional, syn_cut, threshold, idle_us, chunk_rows)
     newest = stats.select(F.max("hi")).scalar()
     as_of = newest if as_of_us is None else F.greatest(newest, F.lit(as_of_us))
-    source_known = "flow_src_ip_int" in key
-    records = [flow_record(aggregate_flows(p, key, directional), directional, as_of, idle_us, source_known)
-               for p in parts]
+    records = []
+    for part in parts:
+        flows = aggregate_flows(part, key, directional, turn is not None)
+        flows = turn(flows) if turn else flows
+        records.append(flow_record(flows, directional, as_of, idle_us, "flow_src_ip_int" in flows.columns))
     return records[0] if len(records) == 1 else records[0].unionByName(records[1])

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +58,76 @@ def _shared_folder(spark: SparkSession) -> str:
     return current
 
 
+_scope: ContextVar[str | None] = ContextVar("flowloom_scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope for intermediate tables: what ``durable`` and ``scratch_path`` make inside goes when the scope ends.
+
+    Results that are still to be read from such tables must be written before the end::
+
+        with scratch(spark):
+            write_flow_csv(flow_features(packets), target)
+    """
+    folder = f"{_scope.get() or _shared_folder(spark).rstrip('/')}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        remove(spark, folder)
+
+
+def _path_of(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Spark's own readers see them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder that this library has made; none there is no error."""
+    fs, at = _path_of(spark, path)
+    fs.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, at = _path_of(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file as a whole: readers see the old text or the new one."""
+    fs, at = _path_of(spark, path)
+    part = at.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(part, at):
+        raise OSError(f"can't write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if it isn't there."""
+    fs, at = _path_of(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where several later steps read one expensive result; as a columnar table each reader
-    loads only what it needs. Without a shared folder on a cluster this is an error.
+    loads only what it needs. Without a shared folder on a cluster this is an error. The table goes with the
+    ``scratch`` scope around the call; outside any scope it stays until the shared folder is cleared.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
@@ -67,5 +135,5 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name on storage that every executor can reach."""
-    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name on storage that every executor can reach, inside the current ``scratch`` scope if any."""
+    return f"{_scope.get() or _shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

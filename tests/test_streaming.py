@@ -75,7 +75,7 @@ def test_assembler_equals_batch(spark, tmp_path, mode, jitter_us, chunk_rows):
     live = FlowAssembler(spark, str(tmp_path / "state"), str(tmp_path / "out"), delay, chunk_rows=chunk_rows)
     run_flow_stream(stream, live, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
     assert live.late_rows(3) == 0
-    closed, rest = live.emitted(), live.close_out(3)
+    closed, rest = live.emitted(), live.close_out()
     newest = max(p["ts_us"] for p in packets)
     mark = (newest - delay) // 1000 * 1000
     want = flow_features(table)
@@ -89,5 +89,7 @@ def test_assembler_equals_batch(spark, tmp_path, mode, jitter_us, chunk_rows):
                 assert got[k][name] == pytest.approx(row[name], rel=1e-9, abs=1e-6), name
             else:
                 assert got[k][name] == row[name], name
-    live(spark.createDataFrame([tuple(packets[0][c] for c in PACKETS.names)], PACKETS), 4)  # far behind the watermark
-    assert live.late_rows(4) == 1
+    live(spark.createDataFrame([tuple(packets[0][c] for c in PACKETS.names)], PACKETS), 4)  # far behind the close
+    late = live.late_packets().collect()
+    assert live.late_rows() == len(late) == 1 and late[0].frame_no == packets[0]["frame_no"]
+    assert late[0].behind_us == newest - packets[0]["ts_us"] and late[0].reason == "behind_watermark"
