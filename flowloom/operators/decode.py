@@ -102,9 +102,10 @@ def parse_frames(frames: DataFrame) -> DataFrame:
 
 
 def decode_packets(frames: DataFrame) -> DataFrame:
-    """The ``packets`` table of all frames that decode; every packet counts as forward."""
+    """The ``packets`` table of all frames that decode; every packet counts as forward. ``capture_no`` passes where there is one."""
     good = parse_frames(frames).filter("parse_error is null")
-    return good.select("frame_no", "ts_us", *PACKET_COLUMNS, F.lit(True).alias("is_fwd"))
+    capture = [c for c in frames.columns if c == "capture_no"]
+    return good.select("frame_no", "ts_us", *PACKET_COLUMNS, F.lit(True).alias("is_fwd"), *capture)
 
 
 def quarantine_bad_frames(frames: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from flowloom.plans import oracle as O
 from flowloom.plans.flow_plan import DST_KEY, flow_features, packet_deltas
 from flowloom.schemas import CIC2017_HEADERS, FLOW_NAMES, FLOW_TYPES, SHORT_HEADERS
 from flowloom.session import durable, scratch_path
-from flowloom.sources import files, tables
+from flowloom.sources import captures, files, tables
 from flowloom.streaming import flows as live
 from flowloom.streaming.assemble import FlowAssembler, run_flow_stream, stop_flow_stream
 from flowloom.streaming.run import drain, stream_table
@@ -151,12 +151,27 @@ register("parse_error_counts", lambda s, sf: decode.parse_frames(damaged_frames(
 def frames_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "frames")
     frames(spark, sf).write.parquet(path)
-    return decode.decode_packets(files.read_frames(spark, path)).drop("is_fwd")
+    return decode.decode_packets(files.read_frames(spark, path)).drop("is_fwd", "capture_no")
 
 
 register("read_frames", frames_round_trip, ORACLES["parse_frames"])
 
 
+def captured(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets of two capture files, each numbered from 1, read in ranges of 8 kB."""
+    folder, rows = scratch_path(spark, "captures"), frames(spark, sf)
+    for n, part in enumerate((rows.filter("frame_no % 8 = 0"), rows.filter("frame_no % 8 = 4"))):
+        captures.write_captures(part.coalesce(1).sortWithinPartitions("ts_us", "frame_no"), folder, name=str(n))
+    return decode.decode_packets(captures.read_captures(spark, folder, 8192)).drop("is_fwd")
+
+
+CAPTURED = O.EVENT_PACKETS.replace("\np as", "\np0 as") + """,
+p as (select * replace (row_number() over (partition by frame_no % 8 order by ts_us, frame_no) * 2 + frame_no % 8 // 4 as frame_no)
+    from p0 where frame_no % 4 = 0)"""
+register("read_captures", captured, f"""with {CAPTURED} select {PACKET_LIST.replace(', is_fwd', '').replace('frame_no', 'frame_no // 2 as frame_no')},
+    frame_no % 2 as capture_no from p""")
+
+
 # ---- addresses and names -------------------------------------------------------------------
 
 ADDRESS_SQL = """case event_id % 8 when 0 then '' when 1 then '  ' when 2 then concat('1.2.', user_id % 300)
@@ -248,6 +263,10 @@ flow_query("data_pkts_segmin", ["fwd_act_data_pkts", "fwd_seg_size_min"])
 flow_query("duration", ["flow_duration", "flow_end_us"])
 flow_query("compat_constants", ["init_fwd_win_byts", "init_bwd_win_byts", "icmp_code", "icmp_type", "total_tcp_flow_time"])
 flow_query("flow_record", FULL)
+CAPTURE_ID = ["flow_start_frame", "flow_start_capture"]
+register("capture_flows", lambda s, sf: rounded(flow_features(captured(s, sf)), FULL + ["flow_start_capture"]),
+         O.flows(CAPTURED) + f" select {O.pick([c for c in FULL if c not in CAPTURE_ID])}, "
+         "flow_start_frame // 2 as flow_start_frame, flow_start_frame % 2 as flow_start_capture from flows")
 flow_query("flow_record_directional", FULL, **both)
 flow_query("flow_record_lineitem", FULL, "lineitem")
 flow_query("flow_record_hot_keys", FULL, "lineitem", chunk_rows=1500)
@@ -552,11 +571,11 @@ def close_out(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_flows_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(drain(live.stream_flows(packet_stream(spark, sf))), FULL)
+    return rounded(drain(live.stream_flows_keyed(packet_stream(spark, sf))), FULL)
 
 
 def keyed_close_out(spark: SparkSession, sf: str) -> DataFrame:
-    closed = drain(live.stream_flows(packet_stream(spark, sf)))
+    closed = drain(live.stream_flows_keyed(packet_stream(spark, sf)))
     return rounded(live.close_out(events(spark, sf), closed), FULL)
 
 
@@ -673,7 +692,7 @@ register("rates_close_out", rates_close_out, ALL_RATES + OPEN_RATES)
 def stream_flow_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The live CSV folder, flows left open at the end added, read as a stream."""
     folder, state, out = (scratch_path(spark, n) for n in ("live-csv", "live-state", "live-flows"))
-    closed = live.stream_flows(packet_stream(spark, sf))
+    closed = live.stream_flows_keyed(packet_stream(spark, sf))
     files.stream_flows_csv(closed, folder, state).trigger(availableNow=True).start().awaitTermination()
     names = dict(zip(SHORT_HEADERS, FLOW_NAMES))
     done = files.read_flow_csv(spark, folder, "short")

@@ -97,6 +97,14 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def files_in(spark: SparkSession, path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """Path and size of a file, or of the files of a folder whose names end so, in the order of names."""
+    fs, at = _path_of(spark, path)
+    found = [(f.getPath(), f.getLen()) for f in fs.listStatus(at) if not f.isDirectory()] if fs.exists(at) else []
+    named = [(p.toString(), n) for p, n in found if p.getName().endswith(endings) or fs.getFileStatus(at).isFile()]
+    return sorted((p.removeprefix("file:") if p.startswith("file:/") else p, n) for p, n in named)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Replaces a small file as a whole: readers see the old text or the new one."""
     fs, at = _path_of(spark, path)

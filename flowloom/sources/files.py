@@ -12,9 +12,13 @@ from flowloom.schemas import FRAMES, flow_schema
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Captured frames from Parquet (a file stream if ``streaming``), empty ones skipped."""
+    """Captured frames from Parquet (a file stream if ``streaming``), empty ones skipped; for capture files see ``captures``.
+
+    ``capture_no`` tells captures apart that number frames alike; files without it are one capture, 0.
+    """
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(FRAMES).parquet(path).filter(F.length("raw") > 0)
+    rows = reader.schema(FRAMES).parquet(path).filter(F.length("raw") > 0)
+    return rows.withColumn("capture_no", F.coalesce("capture_no", F.lit(0)))
 
 
 def _header_of(spark: SparkSession, path: str) -> list[str]:

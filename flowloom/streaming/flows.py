@@ -25,7 +25,7 @@ from flowloom.plans.flow_plan import DST_KEY, flow_features
 
 _MEASURES = ("len", "iat", "active", "idle", "f_iat")
 _FLAG_COLUMNS = {f"f_{n.lower()}" if n in DIRECTIONAL_FLAGS else f"all_{n.lower()}": b for n, b in FLAG_BITS.items()}
-_INPUT = ["ts_us", "frame_no", "header_len", "payload_len", "tcp_flags"]
+_INPUT = ["ts_us", "frame_no", "capture_no", "header_len", "payload_len", "tcp_flags"]
 
 
 def with_event_time(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -45,8 +45,8 @@ def _raw_schema() -> T.StructType:
     return T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields))
 
 
-def _new_flow(ts: int, frame: int) -> dict:
-    flow = {"fs_us": ts, "fs_frame": frame, "flow_end_us": None, "pauses": 0, "f_data": 0, "f_data_min": None,
+def _new_flow(ts: int, frame: int, capture: int) -> dict:
+    flow = {"fs_us": ts, "fs_frame": frame, "fs_capture": capture, "flow_end_us": None, "pauses": 0, "f_data": 0, "f_data_min": None,
             "f_header": 0, "run": ts, "bulk": [0, 0, 0, 0], "open_bulk": None}
     flow.update({c: 0 for c in _FLAG_COLUMNS})
     flow.update({m: [0, 0, 0.0, None, None] for m in _MEASURES})
@@ -117,8 +117,7 @@ def _extend(flow: dict, rows: dict[str, np.ndarray], protocol: int) -> None:
 
 def _raw_row(key: tuple, flow: dict, cut: bool) -> dict:
     row = dict(zip(DST_KEY, key), was_cut=cut)
-    row["fs_capture"] = 0
-    for c in ("fs_us", "fs_frame", "flow_end_us", "pauses", "f_data", "f_data_min", "f_header", *_FLAG_COLUMNS):
+    for c in ("fs_us", "fs_frame", "fs_capture", "flow_end_us", "pauses", "f_data", "f_data_min", "f_header", *_FLAG_COLUMNS):
         row[c] = flow[c]
     for m in _MEASURES:
         n, total, dev, lo, hi = flow[m]
@@ -139,7 +138,7 @@ def _fold(key: tuple, flow: dict | None, rows: dict[str, np.ndarray], threshold:
         closed.append(_raw_row(key, flow, False))
         flow = None
     while at < n:
-        flow = flow or _new_flow(int(ts[at]), int(rows["frame_no"][at]))
+        flow = flow or _new_flow(int(ts[at]), int(rows["frame_no"][at]), int(rows["capture_no"][at]))
         k = np.searchsorted(breaks, at, side="right")
         end, cut = (int(breaks[k]) if k < len(breaks) else n), False
         k = np.searchsorted(syn, max(at, at + threshold - flow["len"][0] - 1))
@@ -153,8 +152,13 @@ def _fold(key: tuple, flow: dict | None, rows: dict[str, np.ndarray], threshold:
     return flow, closed
 
 
-def stream_flows(packets: DataFrame, threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US) -> DataFrame:
-    """Flow records of a watermarked packet stream (see ``with_event_time``), in append mode."""
+def stream_flows_keyed(packets: DataFrame, threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US) -> DataFrame:
+    """Flow records of a watermarked packet stream (see ``with_event_time``), in append mode.
+
+    One key is one task a trigger; ``streaming.assemble`` has the form without that limit.
+    """
+    if "capture_no" not in packets.columns:
+        packets = packets.withColumn("capture_no", F.lit(0).cast("bigint"))
     schema = _raw_schema()
     names = [*_INPUT, "is_syn"]
     int_columns = [f.name for f in schema if f.dataType.typeName() in ("long", "integer")]
@@ -165,7 +169,7 @@ def stream_flows(packets: DataFrame, threshold: int = SYN_THRESHOLD, idle_us: in
         fresh = [] if state.hasTimedOut else list(batches)
         if fresh:
             waiting = {c: np.concatenate([waiting[c], *(b[c].to_numpy() for b in fresh)]) for c in names}
-        order = np.lexsort((waiting["frame_no"], waiting["ts_us"]))
+        order = np.lexsort((waiting["capture_no"], waiting["frame_no"], waiting["ts_us"]))
         waiting = {c: v[order] for c, v in waiting.items()}
         now_ms = state.getCurrentWatermarkMs()
         passed = int(np.searchsorted(waiting["ts_us"], now_ms * 1000, side="right"))

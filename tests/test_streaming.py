@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowloom.plans.flow_plan import flow_features
 from flowloom.schemas import FLOW_NAMES, FLOW_TYPES, PACKETS
 from flowloom.streaming.assemble import FlowAssembler, run_flow_stream
-from flowloom.streaming.flows import close_out, rate_windows, stream_flows, stream_sessions, with_event_time
+from flowloom.streaming.flows import close_out, rate_windows, stream_flows_keyed, stream_sessions, with_event_time
 from flowloom.streaming.run import drain
 from test_flow_rules import random_packets
 
@@ -33,7 +33,7 @@ def test_stream_and_close_out_equal_batch(spark, tmp_path, mode, jitter_us, dela
     packets = random_packets(21, 600, mode)
     table = batches_on_disk(spark, packets, str(tmp_path / "in"), 4, jitter_us)
     stream = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    closed = drain(stream_flows(with_event_time(stream, delay)), str(tmp_path / "out"), str(tmp_path / "state"))
+    closed = drain(stream_flows_keyed(with_event_time(stream, delay)), str(tmp_path / "out"), str(tmp_path / "state"))
     want = flow_features(table)
     rest = close_out(table, closed)
     got, expected = keyed(closed.unionByName(rest)), keyed(want)
