@@ -67,6 +67,7 @@ class Automaton:
         texts = [text.lower().encode().split() for _, text in templates]
         base = [phrase.encode().split() for phrase in phrases]
         self.sizes = [len(t) for t in texts]
+        self.least = min([MIN_MATCH, *map(len, base)])
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts + base for w in t))}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
@@ -150,18 +151,20 @@ class Automaton:
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
         """Covered spans (start, stop, label, share of the template) from the matches of a text in order."""
-        open_: dict[int, list[int]] = {}  # template: start, stop, place in template, words covered
+        open_: dict[int, list[list[int]]] = {}  # by template: start, stop, place in template, words covered
         done = []
         for start, stop, state in matches:
             for t, end in self.ends[state]:
-                begin, chain = end - (stop - start), open_.get(t)
-                if chain and 0 <= start - chain[1] <= MAX_GAP and 0 <= begin - chain[2] <= MAX_GAP:
-                    open_[t] = [chain[0], stop, end, chain[3] + stop - start]
-                elif not chain or start - chain[1] > MAX_GAP or stop - start > chain[3]:
-                    if chain:
-                        done.append((t, *chain))
-                    open_[t] = [start, stop, end, stop - start]
-        done += [(t, *chain) for t, chain in open_.items()]
+                begin, chains = end - (stop - start), open_.setdefault(t, [])
+                done += [(t, *c) for c in chains if start - c[1] > MAX_GAP]
+                chains[:] = [c for c in chains if start - c[1] <= MAX_GAP]
+                goes_on = [c for c in chains if start >= c[1] and 0 <= begin - c[2] <= MAX_GAP]
+                if goes_on:
+                    best = max(goes_on, key=lambda c: c[3])
+                    best[1:] = [stop, end, best[3] + stop - start]
+                else:
+                    chains.append([start, stop, end, stop - start])
+        done += [(t, *c) for t, chains in open_.items() for c in chains]
         full = sorted(((n / self.sizes[t], n, -a, b, t) for t, a, b, _, n in done if n / self.sizes[t] >= COVERED), reverse=True)
         kept: list[tuple[int, int, str, float]] = []
         for share, _, a, b, t in full:
@@ -196,7 +199,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 phrases_of: list[list] = [[] for _ in range(len(block))]
                 matches_of: list[list] = [[] for _ in range(len(block))]
                 data = words.buf.tobytes()
-                for s, n in zip(start[size >= MIN_MATCH].tolist(), size[size >= MIN_MATCH].tolist(), strict=True):
+                for s, n in zip(start[size >= auto.least].tolist(), size[size >= auto.least].tolist(), strict=True):
                     a, t = int(maybe[s]), int(text[s])
                     numbers = [auto.number.get(data[x:y], -1) for x, y in zip(words.starts[a:a + n], words.ends[a:a + n], strict=True)]
                     base = a - int(words.first[t])

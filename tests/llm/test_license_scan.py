@@ -57,3 +57,13 @@ def test_matching_statistics():
 
 def test_empty(docs_of):
     assert license_report(scan_licenses(docs_of([]))).count() == 0
+
+
+def test_notices_in_a_row_and_single_words(docs_of):
+    label, notice = next((x, t) for x, t in TEMPLATES if x == "mit")
+    n = len(notice.split())
+    got = {r.doc_id: r for r in scan_licenses(docs_of([(1, f"{notice}. {notice}."), (2, f"{notice} {' '.join(notice.split()[:2])} and {notice}")])).collect()}
+    assert [(s.start, s.stop, s.label) for s in got[1].spans] == [(0, n, label), (n, 2 * n, label)]
+    assert [(s.stop - s.start, s.label) for s in got[2].spans if s.share == 1] == [(n, label), (n, label)]
+    one = scan_licenses(docs_of([(1, "the copyleft, and gpl copyleft")]), phrases={"copyleft": "copyleft", "gpl copyleft": "both"}).first()
+    assert sorted((p.start, p.label) for p in one.phrases) == [(1, "copyleft"), (3, "both"), (4, "copyleft")]
