@@ -17,6 +17,11 @@ where they aren't, the hits of each single distance are judged alone. ``verbatim
 item's own values. An item's first and last slot may be the end or the start of a longer run in the text; if it has
 another value there, the slot is left out of the check. A chain below ``COVERAGE`` is a leak if ``RUN`` members in a row have the item's own values.
 
+Near copies of short items. A word put in, left out or changed breaks up to ``WINDOW`` windows, most of those of a short item. Items
+of under ``LONG_ITEM`` members therefore have a second template in windows of ``SHORT_WINDOW`` members (readings ``PLAIN`` and
+``INSIDE``), looked at where the first finds no leak. There a chain counts by the members that its windows cover: ``COVERAGE`` of
+those in the template, and ``WINDOW`` members or all; what the first found inconsistent isn't taken up, unless verbatim.
+
 Items of fewer than ``WINDOW`` members have one window of their size, if it has ``SHORTEST`` members at least. Items
 without any telling window are looked for word by word (``EXACT``: numbers keep their values, operators between words
 count), and as a whole or in runs of ``RUN`` words. They need ``EXACT_SHORTEST`` words and operators; shorter ones can't
@@ -37,12 +42,15 @@ from flowloom.llm.textbytes import ALNUM, Block, blocks, gram_hashes, mix, small
 from flowloom.session import durable
 
 WINDOW = 8
+SHORT_WINDOW = 5
+LONG_ITEM = 32
 SHORTEST = 4
 EXACT_SHORTEST = 3
 COVERAGE = 0.5
 DRIFT = WINDOW
 RUN = 13
 PLAIN, INSIDE, CAPITALS, EXACT = 0, 1, 2, 3
+SHORT = {4: PLAIN, 5: INSIDE}  # the same in short windows
 BLOCK_WINDOWS = 1 << 20
 
 #: Units that follow a number; a parameter.
@@ -153,10 +161,23 @@ class Exact(Template):
         return at, gram_hashes(self.hash, 2 * size - 1)[::2][at]
 
 
-_SALT = np.array([0, 0x5A17000000000001, 0x5A17000000000002, 0x5A17000000000003], dtype=np.uint64)
+_SALT = np.array([0, 0x5A17000000000001, 0x5A17000000000002, 0x5A17000000000003, 0x5A17000000000004, 0x5A17000000000005], dtype=np.uint64)
 _WINDOWS = "`key` {kind}, reading int, size int, place int, total int, word int, past int, edge int, h long, slots array<string>"
 
 
+def _own_window(members: int, reading: int) -> int:
+    """The window size of an item in a reading, 0 for no windows."""
+    if reading in SHORT:
+        return SHORT_WINDOW if SHORT_WINDOW < members < LONG_ITEM else 0
+    return min(WINDOW, members) if members >= (1 if reading == EXACT else SHORTEST) else 0
+
+
+def _in_windows(form: Template, at: np.ndarray, size: int, texts: int) -> np.ndarray:
+    """For each text, the number of members in windows that begin at the sorted places ``at``."""
+    fresh = np.diff(at, prepend=-size).clip(max=size)
+    return np.bincount(form.text[at], weights=fresh, minlength=texts).astype(int)
+
+
 def _edges(form: Template, at: np.ndarray, size: int) -> np.ndarray:
     """1 where a window's first slot is the first member of its text, 2 where its last slot is the last member, 3 for both."""
     if not len(at):
@@ -180,13 +201,18 @@ def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, want
         for batch in batches:
             for block in blocks(batch.column("text")):
                 rows_out: list[tuple] = []
-                totals = np.zeros((4, len(block)), dtype=int)
-                for reading in (PLAIN, INSIDE, CAPITALS, EXACT) if sizes is None else sorted({r for r, _ in sizes}):
-                    form = Exact(block) if reading == EXACT else Template(block, units, reading)
+                totals = np.zeros((6, len(block)), dtype=int)
+                forms: dict[int, Template] = {}
+                for reading in (PLAIN, INSIDE, CAPITALS, EXACT, *SHORT) if sizes is None else sorted({r for r, _ in sizes}):
+                    like = SHORT.get(reading, reading)
+                    if like not in forms:
+                        forms[like] = Exact(block) if like == EXACT else Template(block, units, like)
+                    form = forms[like]
                     data, members = form.words.buf.tobytes(), np.diff(form.first)
                     if sizes is None and reading == EXACT:
                         members = np.where((totals.sum(axis=0) == 0) & (form.length >= EXACT_SHORTEST), members, 0)
-                    for size in sorted({min(WINDOW, m) for m in members.tolist() if m >= (1 if reading == EXACT else SHORTEST)} if sizes is None else {k for r, k in sizes if r == reading}):
+                    own_size = np.array([_own_window(m, reading) for m in members.tolist()], dtype=int) if sizes is None else None
+                    for size in sorted(set(own_size.tolist()) - {0} if sizes is None else {k for r, k in sizes if r == reading}):
                         at, h = form.windows(size)
                         h = mix(h ^ _SALT[reading])
                         if quick is not None:
@@ -194,10 +220,10 @@ def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, want
                             hit = hit[np.isin(h[hit], wanted.value)]
                             at, h = at[hit], h[hit]
                         if sizes is None:
-                            own = np.minimum(members[form.text[at]], WINDOW) == size
+                            own = own_size[form.text[at]] == size
                             at, h = at[own], h[own]
                         text = form.text[at]
-                        totals[reading] += np.bincount(text, minlength=len(block))
+                        totals[reading] += _in_windows(form, at, size, len(block)) if reading in SHORT else np.bincount(text, minlength=len(block))
                         rows_out += zip(text.tolist(), [reading] * len(at), [size] * len(at), (at - form.first[text]).tolist(),
                                         (form.start[at] - form.words.first[text]).tolist(), (form.stop[at + size - 1] - form.words.first[text]).tolist(),
                                         _edges(form, at, size).tolist(), h.view(np.int64).tolist(), [form.slots(a, size, data) for a in at.tolist()], strict=True)
@@ -236,8 +262,18 @@ class Chain:
         return hit["d"] > last["d"] and hit["i"] > last["i"]
 
     def coverage(self) -> float:
+        """Share of the item's windows; in short windows, of the members in them."""
+        if self.hits[0]["reading"] in SHORT:
+            return self.covered() / self.hits[0]["total"]
         return len({h["i"] for h in self.hits}) / self.hits[0]["total"]
 
+    def covered(self) -> int:
+        """Members of the item in hit windows."""
+        n = past = 0
+        for i, size in sorted({(h["i"], h["size"]) for h in self.hits}):
+            n, past = n + max(0, i + size - max(i, past)), max(past, i + size)
+        return n
+
     def pairs(self) -> set[tuple[str, str]]:
         """Values of the item and of the text in the same slots."""
         return {p for h in self.hits for p in zip(h["own"], h["slots"], strict=True) if p[1] is not None}
@@ -336,13 +372,18 @@ def _judged(hits: list[dict], coverage: float) -> tuple[list[Chain], list[Chain]
 
 def _leaks(readings: dict[int, dict], coverage: float) -> list[Chain]:
     """The leaks in any reading; where names inside sentences are inconsistent, reading them as words doesn't mend it."""
-    judged = {r: _judged(list(hits.values()), coverage) for r, hits in readings.items() if r != EXACT}
+    judged = {r: _judged(list(hits.values()), coverage) for r, hits in readings.items() if r != EXACT and r not in SHORT}
     if EXACT in readings:
         alone = _all(list(readings[EXACT].values())).alone()
         judged[EXACT] = ([x for c in alone for x in ([c] if c.coverage() == 1 else c.runs())], [])
     torn = judged[INSIDE][1] if INSIDE in judged else []
-    return _merged([c for r, (leaks, _) in judged.items() for c in leaks
+    every_torn = [t for _, some in judged.values() for t in some]
+    found = _merged([c for r, (leaks, _) in judged.items() for c in leaks
                     if r != PLAIN or not any(t.coverage() > c.coverage() and _overlap(t, c) for t in torn)])
+    return found or _merged([
+        c for r in SHORT if r in readings for c in _chains(list(readings[r].values()))
+        if c.covered() >= max(coverage * c.hits[0]["total"], min(c.hits[0]["total"], WINDOW)) and c.consistent()
+        and (c.verbatim() or not any(_overlap(t, c) for t in every_torn))])
 
 
 def _all(hits: list[dict]) -> Chain:

@@ -95,3 +95,31 @@ def test_runs_at_stops_and_edges(spark, docs_of):
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1), (7, 2), (8, 3), (9, 2)}
     assert got[1, 1].verbatim and got[2, 1].verbatim and got[3, 2].verbatim and got[4, 2].verbatim and not got[9, 2].verbatim
     assert got[1, 1].coverage == 1
+
+
+def edited(words, kind, rnd, strange):
+    words = list(words)
+    for _ in range(2 if kind == "two in" else 1):
+        at = rnd.randrange(1, len(words) - 1)
+        words[at:at + (kind in ("out", "changed"))] = [] if kind == "out" else [rnd.choice(strange)]
+    return " ".join(words)
+
+
+def test_near_copies_of_benchmark_items(spark, docs_of, sf_small):
+    """A word or two put in, a word left out or changed, anywhere: nine of ten copies are found, and nothing in texts without one."""
+    import random
+
+    rnd = random.Random(9)
+    items = spark.read.parquet(f"{sf_small}/benchmark.parquet")
+    texts = {r.item_id: r.text.split() for r in items.collect()}
+    every = sorted({w for t in texts.values() for w in t})
+    filler = lambda n: " ".join(rnd.choices(every, k=n))
+    kinds = ["in", "out", "changed", "two in"]
+    rows = [(k * 1000 + i, f"{filler(40)}.\n{edited(t, kind, rnd, ['zebra', 'quay', 'umber'])}\n{filler(40)}.") for k, kind in enumerate(kinds) for i, t in texts.items()]
+    rows += [(9000 + i, filler(300)) for i in range(200)]
+    found = {(d, i) for d, i in leaks(docs_of(rows), items)}
+    for k, kind in enumerate(kinds):
+        hit = sum((k * 1000 + i, i) in found for i in texts)
+        assert hit >= 0.9 * len(texts), (kind, hit, sorted(len(t) for i, t in texts.items() if (k * 1000 + i, i) not in found))
+    assert not [d for d, _ in found if d >= 9000]
+    assert all(d % 1000 == i for d, i in found)
