@@ -2,8 +2,8 @@
 
 Toxic documents go, then all but one of equal texts, then all but one of each near-duplicate group, then
 documents that leak benchmark items; what is left is encoded and decoded. Every stage but the last returns the
-columns of ``documents``. Rows that repeat an id and a text are one document and pass or go together; rows
-with a null id are kept by stages that drop by id only if their group has no other id.
+columns of ``documents``. Rows that repeat an id and a text are one document and pass or go together; rows that share an id
+only are judged apart; rows with a null id come after all others of their group.
 """
 
 from __future__ import annotations
@@ -37,23 +37,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).filter(F.col("score") < TOXIC_FROM).select(*_columns(docs))
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id, null like any other, is among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(ids, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*_columns(docs))
+def _kept(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in the column of ``keys``."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    return rows.join(keys.distinct().toDF("kept"), F.col("key").eqNullSafe(F.col("kept")), "left_semi").select(*_columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of equal texts."""
     ship_package(spark)
-    return _kept(docs, exact_groups(docs).filter("kept"))
+    digest = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    kept = exact_groups(docs).filter("kept").select(F.struct("doc_id", F.col("text_sha256").alias("of")))
+    return _kept(docs, F.struct(docs["doc_id"].alias("doc_id"), digest.alias("of")), kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group that SimHash links."""
     ship_package(spark)
-    return _kept(docs, near_groups(docs, shingle=4, distance=4).filter("doc_id <=> component_id"))
+    # texts in the order of ids, nulls last, apart for rows of one id but unlike texts
+    place = F.lpad((docs["doc_id"].cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    key = F.concat(F.coalesce(place, F.lit("null")), F.lit(" "), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).cast("string"))
+    groups = near_groups(docs.select(key.alias("doc_id"), docs["text"].alias("text")), shingle=4, distance=4)
+    return _kept(docs, key, groups.filter("doc_id <=> component_id").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 from collections import Counter
 
 import corpus_pipeline
-from flowloom.llm.queries import op5_bpe  # noqa: F401
 from tests.llm.test_exact_dedup import brute as exact_brute
 from tests.llm.test_simhash import classes, fingerprint
 
@@ -46,3 +45,10 @@ def test_odd_documents(spark, docs_of, odd, sf_small):
         assert stage(spark, docs.filter("false"), sf_small).count() == 0
     left = corpus_pipeline.exact(spark, docs, sf_small).collect()
     assert Counter(r.doc_id for r in left) == Counter([1, 3, 4, 7, 8, 9])
+
+
+def test_rows_that_share_an_id(spark, docs_of, sf_small):
+    docs = docs_of([(3, "dup"), (5, "own"), (5, "dup"), (5, "own"), (None, "dup"), (None, "alone")])
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        left = Counter((r.doc_id, r.text) for r in stage(spark, docs, sf_small).collect())
+        assert left == Counter([(3, "dup"), (5, "own"), (5, "own"), (None, "alone")])
