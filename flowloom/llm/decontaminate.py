@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.textbytes import ALNUM, Block, blocks, gram_hashes, mix, small_batches
+from flowloom.llm.textbytes import ALNUM, Block, Words, blocks, gram_hashes, mix, small_batches
 from flowloom.session import durable
 
 WINDOW = 8
@@ -80,13 +80,12 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Template:
-    """Canonical members of the texts of a block: hashes, kinds (0 word, 1 number, 2 unit, 3 name), word ranges."""
+    """Canonical members of the texts of a block, from its words and their hashes: hashes, kinds (0 word, 1 number, 2 unit, 3 name), word ranges."""
 
-    def __init__(self, block: Block, units: np.ndarray, reading: int = INSIDE):
+    def __init__(self, block: Block, words: Words, h: np.ndarray, units: np.ndarray, reading: int):
         raw = block.buf
-        self.words = words = block.words(ALNUM, lower=True)
+        self.words = words
         n, starts, ends = len(words.starts), words.starts, words.ends
-        h = words.hashes()
         number = _DIGIT[raw[starts]] if n else np.zeros(0, dtype=bool)
         upper = _initials(raw, starts) if n and reading != PLAIN else np.zeros(n, dtype=bool)
         if reading == INSIDE:
@@ -141,15 +140,15 @@ class Template:
 class Exact(Template):
     """The words of the texts of a block as they are, with the operators between them."""
 
-    def __init__(self, block: Block):
-        self.words = words = block.words(ALNUM, lower=True)
+    def __init__(self, block: Block, words: Words, h: np.ndarray):
+        self.words = words
         n = len(words.starts)
         self.text, self.first = np.repeat(np.arange(len(block)), words.counts()), words.first
         self.start, self.stop, self.kind = np.arange(n), np.arange(1, n + 1), np.zeros(n, dtype=int)
         seen = np.zeros(len(block.buf) + 1, dtype=np.uint64)
         np.cumsum(_OPERATOR[block.buf], out=seen[1:])
         self.hash = np.zeros(max(0, 2 * n - 1), dtype=np.uint64)
-        self.hash[::2], self.hash[1::2] = words.hashes(), seen[words.starts[1:]] - seen[words.ends[:-1]]
+        self.hash[::2], self.hash[1::2] = h, seen[words.starts[1:]] - seen[words.ends[:-1]]
         inside = self.text[1:] == self.text[:-1]
         self.length = words.counts() + np.bincount(self.text[1:][inside & (self.hash[1::2] > 0)], minlength=len(block))
 
@@ -203,10 +202,12 @@ def _template_windows(rows: DataFrame, sizes: list[tuple[int, int]] | None, want
                 rows_out: list[tuple] = []
                 totals = np.zeros((6, len(block)), dtype=int)
                 forms: dict[int, Template] = {}
+                words = block.words(ALNUM, lower=True)
+                hashes = words.hashes()
                 for reading in (PLAIN, INSIDE, CAPITALS, EXACT, *SHORT) if sizes is None else sorted({r for r, _ in sizes}):
                     like = SHORT.get(reading, reading)
                     if like not in forms:
-                        forms[like] = Exact(block) if like == EXACT else Template(block, units, like)
+                        forms[like] = Exact(block, words, hashes) if like == EXACT else Template(block, words, hashes, units, like)
                     form = forms[like]
                     data, members = form.words.buf.tobytes(), np.diff(form.first)
                     if sizes is None and reading == EXACT:
