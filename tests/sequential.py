@@ -32,26 +32,24 @@ def cut_into_flows(packets, key, directional, syn_cut=True, threshold=50, idle_u
 
 
 def _bulk(flow, way):
-    """Bulk totals of one direction: runs, packets, bytes, microseconds."""
-    totals, run, other_last, last = [0, 0, 0, 0], None, None, None
-    for p in flow:
-        if p["payload_len"] <= 0:
-            continue
-        t = p["ts_us"]
-        if p["fwd"] != way:
-            other_last = t
+    """Bulk totals of one direction: runs of four packets or more, their packets, bytes and microseconds.
+
+    The payload packets of the direction are first listed as runs. Each opposite payload packet is looked at only by
+    the moment it came, so a run's members and its end are both known before anything is added up.
+    """
+    data = [(i, p["ts_us"], p["payload_len"], p["fwd"] == way) for i, p in enumerate(flow) if p["payload_len"] > 0]
+    opposite = [(i, t) for i, t, _, mine in data if not mine]
+    runs = []
+    for i, t, size, mine in data:
+        if not mine:
             continue
-        if run is None or t - last > 1_000_000 or (other_last is not None and other_last > run["t"]):
-            run = {"t": t, "n": 1, "bytes": p["payload_len"]}
-        else:
-            run["n"] += 1
-            run["bytes"] += p["payload_len"]
-            if run["n"] == 4:
-                totals = [totals[0] + 1, totals[1] + 4, totals[2] + run["bytes"], totals[3] + t - run["t"]]
-            elif run["n"] > 4:
-                totals = [totals[0], totals[1] + 1, totals[2] + p["payload_len"], totals[3] + t - last]
-        last = t
-    return totals
+        latest = max((at for j, at in opposite if j < i), default=None)
+        joins = runs and t - runs[-1][-1][0] <= 1_000_000 and (latest is None or latest <= runs[-1][0][0])
+        if not joins:
+            runs.append([])
+        runs[-1].append((t, size))
+    long = [r for r in runs if len(r) >= 4]
+    return [len(long), sum(map(len, long)), sum(size for r in long for _, size in r), sum(r[-1][0] - r[0][0] for r in long)]
 
 
 def features(flow, was_cut, as_of, directional):
