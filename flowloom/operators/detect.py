@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators.columns import quoted, with_features
+from flowloom.session import names_in
 
 ATTACK_PROBABILITY = 0.5
 WARNING_PACKETS = 2000
@@ -62,7 +63,8 @@ def score_flows(df: DataFrame, model: FlowModel) -> DataFrame:
     """Input rows plus ``proba``, the probability of an attack. Works on batch and stream."""
     table, _ = _model_input(df, model.feature_names)
     scored = model.pipeline.transform(table)
-    return scored.select("row.*", vector_to_array("probability")[1].alias("proba"))
+    # a model that has seen no attack knows one class only
+    return scored.select("row.*", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias("proba"))
 
 
 def verdict(proba: Column, packets: Column, high_rate_rule: bool = False) -> Column:
@@ -76,3 +78,30 @@ def verdict(proba: Column, packets: Column, high_rate_rule: bool = False) -> Col
 def add_verdict(df: DataFrame, high_rate_rule: bool = False) -> DataFrame:
     packets = F.col("tot_fwd_pkts") + F.col("tot_bwd_pkts")
     return df.withColumn("verdict", verdict(F.col("proba"), packets, high_rate_rule))
+
+
+class VerdictSink:
+    """Scores the flows of each batch of a ``FlowAssembler`` (its ``then``) and writes them with their verdicts, one folder a batch.
+
+    The model is read from ``model_path`` and read again when the folder has changed, so a model saved there anew takes effect with the
+    next batch.
+    """
+
+    def __init__(self, spark: SparkSession, model_path: str, target: str, high_rate_rule: bool = False):
+        self.spark, self.model_path, self.target, self.high_rate_rule = spark, model_path.rstrip("/"), target.rstrip("/"), high_rate_rule
+        self._model: FlowModel | None = None
+        self._seen: list[str] = []
+
+    def model(self) -> FlowModel:
+        # the names of written parts differ with each save
+        now = names_in(self.spark, f"{self.model_path}/features") + names_in(self.spark, f"{self.model_path}/pipeline/metadata")
+        if self._model is None or now != self._seen:
+            self._model, self._seen = FlowModel.load(self.model_path), now
+        return self._model
+
+    def __call__(self, flows: DataFrame, name: str) -> None:
+        scored = add_verdict(score_flows(flows, self.model()), self.high_rate_rule)
+        scored.write.mode("overwrite").parquet(f"{self.target}/batch={name}")
+
+    def verdicts(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.target).parquet(f"{self.target}/batch=*").drop("batch")

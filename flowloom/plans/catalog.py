@@ -502,6 +502,24 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
                         detect.verdict(proba, packets, True).alias("verdict_with_rate"))
 
 
+# Whether a flow is an attack here hangs on two features at once.
+ATTACK_SQL = "flow_iat_mean < 13000000 and pkt_len_mean > 70"
+ACCURATE = 0.9
+
+
+def flow_model_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out flows of both labels, whether the model is right on ``ACCURATE`` of them at least, and its probabilities' range."""
+    rows = durable(flow_features(events(spark, sf)).withColumn("label", F.expr(f"cast({ATTACK_SQL} as int)")))
+    scored = detect.add_verdict(detect.score_flows(rows.filter(HELD_OUT), fitted(rows)))
+    right = (F.col("verdict") == "DDoS") == (F.col("label") == 1)
+    return scored.agg(F.count("*").alias("flows"), F.sum("label").alias("attacks"), (F.avg(right.cast("int")) >= ACCURATE).alias("accurate"),
+                      (F.min("proba") >= 0).alias("from_0"), (F.max("proba") <= 1).alias("to_1"),
+                      (F.count_if(F.col("verdict") == "DDoS").between(1, F.count("*") - 1)).alias("both_verdicts"))
+
+
+register("flow_model_accuracy", flow_model_accuracy, FLOWS_SQL + f"""
+    select count(*) as flows, sum(({ATTACK_SQL})::int)::bigint as attacks, true as accurate, true as from_0, true as to_1, true as both_verdicts
+    from flows where {HELD_OUT}""")
 register("verdict", verdicts, FLOWS_SQL + f"""
     select {', '.join(ID)},
       case when syn_flag_cnt / tot_fwd_pkts * 4 > 0.5 then 'DDoS' else 'Normal' end as verdict,
@@ -559,6 +577,20 @@ def assembled(spark: SparkSession, packets: DataFrame, **options) -> FlowAssembl
     return run
 
 
+def live_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets to verdicts in one live run, with a stop and a new start between its batches, closed out at the end."""
+    folder, checkpoint, model, target = (scratch_path(spark, n) for n in ("live-packets", "live-checkpoint", "model", "verdicts"))
+    fitted(labelled(spark, sf)).save(model)
+    run = assembler(spark)
+    for numbers in (range(2), range(2, 3)):
+        in_files(events(spark, sf), folder, THIRD.format("div"), numbers)
+        sink = detect.VerdictSink(spark, model, target)
+        run = FlowAssembler(spark, run.state, run.target, then=sink)
+        run_flow_stream(file_stream(spark, folder), run, checkpoint, {"availableNow": True}).awaitTermination()
+    run.close_out()
+    return sink.verdicts().select(*ID, "verdict")
+
+
 def stream_flows(spark: SparkSession, sf: str) -> DataFrame:
     """What the stream itself has put out at the end of its input."""
     return rounded(assembled(spark, packet_stream(spark, sf)).emitted(), FULL)
@@ -689,23 +721,48 @@ register("stream_rate_windows", stream_rates, ALL_RATES + f"not ({OPEN_RATES})")
 register("rates_close_out", rates_close_out, ALL_RATES + OPEN_RATES)
 
 
-def stream_flow_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """The live CSV folder, flows left open at the end added, read as a stream."""
-    folder, state, out = (scratch_path(spark, n) for n in ("live-csv", "live-state", "live-flows"))
+def live_csv(spark: SparkSession, sf: str) -> str:
+    """A folder of flow CSV files, written by a stream."""
+    folder, state = scratch_path(spark, "live-csv"), scratch_path(spark, "live-state")
     closed = live.stream_flows_keyed(packet_stream(spark, sf))
     files.stream_flows_csv(closed, folder, state).trigger(availableNow=True).start().awaitTermination()
-    names = dict(zip(SHORT_HEADERS, FLOW_NAMES))
-    done = files.read_flow_csv(spark, folder, "short")
-    done = done.select(*[col_ops.quoted(h).alias(n) for h, n in names.items()]).withColumns({
-        "flow_start_us": F.unix_micros(F.col("timestamp").cast("timestamp"))})
-    rest = flow_features(events(spark, sf)).join(done.select("flow_id", "flow_start_us"), ["flow_id", "flow_start_us"], "left_anti")
+    return folder
+
+
+def stream_flow_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The live CSV folder read as a stream, and after it the flows of the close-out in a folder of their own."""
+    folder = live_csv(spark, sf)
+    done = drain(files.stream_flow_csv(spark, folder).toDF(*FLOW_NAMES))
+    started = done.withColumns({"flow_start_us": F.unix_micros(F.col("timestamp").cast("timestamp"))})
+    open_ = flow_features(events(spark, sf)).join(started.select("flow_id", "flow_start_us"), ["flow_id", "flow_start_us"], "left_anti")
     added = scratch_path(spark, "shutdown-csv")
-    files.write_flow_csv(rest, added)
-    parts = [drain(files.stream_flow_csv(spark, f).toDF(*FLOW_NAMES)) for f in (folder, added)]
-    return rounded(parts[0].union(parts[1]), FLOW_NAMES)
+    files.write_flow_csv(open_, added)
+    return rounded(done.union(drain(files.stream_flow_csv(spark, added).toDF(*FLOW_NAMES))), FLOW_NAMES)
 
 
 register("stream_flow_csv", stream_flow_csv, ALL_SQL)
+register("stream_flows_csv", lambda spark, sf: rounded(drain(files.stream_flow_csv(spark, live_csv(spark, sf)).toDF(*FLOW_NAMES)), FLOW_NAMES),
+         FLOWS_SQL + f" select {O.pick(FLOW_NAMES)} from flows where {EMITTED}")
+
+CSV_DAMAGE = ("case frame % 7 when 1 then concat(line, ',1') when 2 then regexp_replace(line, ',[^,]*$', '') "
+              "when 3 then regexp_replace(line, ',[^,]*$', ',seven') else line end")
+
+
+def damaged_csv(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Flow CSV lines, some with a cell more, a cell less or a cell of another type, and how the reader splits them."""
+    flows, folder = flow_features(events(spark, sf)), scratch_path(spark, "damaged-csv")
+    texts = F.concat_ws(",", *[F.col(n).cast("string") for n in FLOW_NAMES]).alias("line")
+    rows = flows.select(F.col("flow_start_frame").alias("frame"), texts).selectExpr("1 as place", f"{CSV_DAMAGE} as line")
+    header = spark.range(1).select(F.lit(0).alias("place"), F.lit(",".join(SHORT_HEADERS)).alias("line"))
+    header.unionByName(rows).coalesce(1).sortWithinPartitions("place").select("line").write.text(folder)  # the header leads the file
+    return files.split_flow_csv(spark, folder)
+
+
+register("split_flow_csv", lambda spark, sf: rounded(damaged_csv(spark, sf)[0].toDF(*FLOW_NAMES), FLOW_NAMES),
+         FLOWS_SQL + f" select {O.pick(FLOW_NAMES)} from flows where flow_start_frame % 7 not in (1, 2, 3)")
+register("rejected_flow_rows", lambda spark, sf: damaged_csv(spark, sf)[1].groupBy("reason").agg(F.count("*").alias("n")),
+         FLOWS_SQL + """ select case when flow_start_frame % 7 = 3 then 'cell_type' else 'cell_count' end as reason, count(*) as n from flows
+         where flow_start_frame % 7 in (1, 2, 3) group by 1""")
 
 
 def stream_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -717,5 +774,6 @@ def stream_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return drain(scored)
 
 
+register("live_verdicts", live_verdicts, FLOWS_SQL + f" select {', '.join(ID)}, {VERDICT_SQL} from flows")
 register("stream_verdicts", stream_verdicts,
          FLOWS_SQL + f" select flow_id, timestamp, tot_fwd_pkts, {VERDICT_SQL} from flows")

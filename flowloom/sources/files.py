@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from flowloom.operators.columns import assert_unique_header, quoted, rename_features, select_features
 from flowloom.schemas import FRAMES, flow_schema
+from flowloom.sources.grown import stream_lines
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -39,25 +40,63 @@ def read_flow_csv(spark: SparkSession, path: str, style: str | None = None) -> D
     """A flow CSV with every cell as text, or the typed columns of a named header style.
 
     Columns are found by name, in whatever order the files have them; files of one path whose headers
-    differ from each other are an error. Bytes that are no UTF-8 are left out.
+    differ from each other are an error. Bytes that are no UTF-8 are left out. A row with cells lacking, too many or not of their
+    column's type is an error; ``split_flow_csv`` sets such rows aside.
     """
     header = _header_of(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header]) if style is None else _in_file_order(header, style)
-    rows = (spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").schema(schema).csv(path))
+    rows = (spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").option("mode", "FAILFAST")
+            .option("columnPruning", False).schema(schema).csv(path))
     wanted = header if style is None else flow_schema(style).fieldNames()
     texts = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
     return rows.select(*[(F.replace(quoted(n), F.lit("\ufffd"), F.lit("")) if n in texts else quoted(n)).alias(n) for n in wanted])
 
 
-def stream_flow_csv(spark: SparkSession, directory: str, style: str = "short", header: list[str] | None = None) -> DataFrame:
-    """Rows of flow CSV files as they appear in a directory.
+def judge_flow_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Adds to CSV lines (``line``) the columns of ``schema`` as ``flow`` and, for lines that aren't rows of it, ``reason``:
 
-    A file's columns must stand in the order of ``header`` (by default the style's own); another order is an
-    error, not a mix-up. The source knows files by path: a recreated file needs a new name.
+    ``cell_count`` (cells lacking or too many) or ``cell_type`` (a cell that its column can't hold).
     """
-    schema = _in_file_order(header or flow_schema(style).fieldNames(), style)
-    rows = spark.readStream.option("header", True).option("enforceSchema", False).schema(schema).csv(directory)
-    return rows.select(*[quoted(n) for n in flow_schema(style).fieldNames()])
+    marked = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    flow = F.from_csv("line", _ddl(marked), {"columnNameOfCorruptRecord": "_line", "mode": "PERMISSIVE"})
+    cells = F.length(F.regexp_replace(F.regexp_replace("line", '"[^"]*"', ""), "[^,]", "")) + 1
+    rows = lines.withColumn("flow", flow)
+    return rows.withColumn("reason", F.when(F.col("flow").isNotNull() & F.col("flow._line").isNull(), F.lit(None).cast("string"))
+                           .when(cells != len(schema), "cell_count").otherwise("cell_type"))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _flow_columns(judged: DataFrame, names: list[str]) -> DataFrame:
+    return judged.filter("reason IS NULL").select(*[F.col("flow").getField(n).alias(n) for n in names])
+
+
+def split_flow_csv(spark: SparkSession, path: str, style: str = "short") -> tuple[DataFrame, DataFrame]:
+    """The typed rows of flow CSV files, and the lines that are none: ``path``, ``line``, ``reason`` (see ``judge_flow_lines``)."""
+    header = _header_of(spark, path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    judged = judge_flow_lines(lines.filter(~F.col("line").isin(",".join(header), "")), _in_file_order(header, style))
+    return _flow_columns(judged, flow_schema(style).fieldNames()), judged.filter("reason IS NOT NULL").select("path", "line", "reason")
+
+
+def stream_flow_lines(spark: SparkSession, directory: str, style: str = "short", header: list[str] | None = None) -> DataFrame:
+    """Judged lines of flow CSV files as they are written (see ``judge_flow_lines``), headers left out.
+
+    Files may grow, and be recreated under their names (see ``grown``). A file's columns must stand in the order of ``header``, by
+    default the style's own: another header line is an error.
+    """
+    names = header or flow_schema(style).fieldNames()
+    lines = stream_lines(spark, directory)
+    other = F.raise_error(F.concat(F.lit("another header in "), F.col("path")))
+    is_header = F.when(F.col("at") > 0, False).when(F.col("line") == ",".join(names), True).otherwise(other.cast("boolean"))
+    return judge_flow_lines(lines.filter(~is_header & (F.col("line") != "")), _in_file_order(names, style))
+
+
+def stream_flow_csv(spark: SparkSession, directory: str, style: str = "short", header: list[str] | None = None) -> DataFrame:
+    """Rows of flow CSV files as they are written; lines that are no rows are left to ``stream_flow_lines``."""
+    return _flow_columns(stream_flow_lines(spark, directory, style, header), flow_schema(style).fieldNames())
 
 
 def write_flow_csv(flows: DataFrame, path: str, header_style: str = "short") -> None:

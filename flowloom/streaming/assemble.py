@@ -26,6 +26,7 @@ of files therefore depends on the buckets, not on how long the stream has run.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,13 +85,17 @@ class FlowAssembler:
     ``state`` is a folder that all executors share, for this stream alone; flows go to ``target``, one folder a batch, late packets to
     ``target`` + ``-late``. With ``two_way`` both directions of a conversation are one flow, closed by the idle timeout only.
     ``buckets`` should make a bucket of open flows one file of usual size; it is fixed for the life of the state.
+
+    ``then(flows, name)`` is handed the flows of each batch, and of the close-out, once they are written and before the batch counts; a
+    batch that is run again is handed over again under the same name (``7``, ``7-closed``), so what it writes under the name is exact once.
     """
 
     def __init__(self, spark: SparkSession, state: str, target: str, delay_us: int = 10_000_000, threshold: int = SYN_THRESHOLD,
                  idle_us: int = IDLE_US, chunk_rows: int | None = None, key: list[str] | None = None, two_way: bool = False,
-                 buckets: int = BUCKETS):
+                 buckets: int = BUCKETS, then: Callable[[DataFrame, str], None] | None = None):
         self.spark, self.state, self.target = spark, state.rstrip("/"), target.rstrip("/")
         self.delay_us, self.threshold, self.idle_us, self.chunk_rows = delay_us, threshold, idle_us, chunk_rows
+        self.then = then
         self.two_way, self.buckets, self.key = two_way, buckets, PAIR if two_way else key or DST_KEY
 
     # ---- the manifest
@@ -171,8 +176,7 @@ class FlowAssembler:
         flows, touched = self._advance(due, was, idle, mark_us)
         now["open"] = {k: x for k, x in was["open"].items() if k not in touched}
         if flows is not None:
-            closed = self._record(flows.filter("closed"), F.lit(_FOREVER))
-            closed.write.mode("overwrite").parquet(f"{self.target}/batch={batch_id}")
+            self._hand_over(self._record(flows.filter("closed"), F.lit(_FOREVER)), str(batch_id))
             open_ = flows.filter("not closed").drop("closed")
             oldest = {str(r.bucket): r.oldest for r in open_.groupBy("bucket").agg(F.min("flow_end_us").alias("oldest")).collect()}  # a row a bucket
             if oldest:
@@ -246,6 +250,12 @@ class FlowAssembler:
             flows = turn_flows(flows.drop("state", "bucket", "closed"))
         return flow_record(flows, self.two_way, as_of, self.idle_us, self.two_way)
 
+    def _hand_over(self, flows: DataFrame, name: str) -> None:
+        path = f"{self.target}/batch={name}"
+        flows.write.mode("overwrite").parquet(path)
+        if self.then is not None:
+            self.then(self.spark.read.schema(flows.schema).parquet(path), name)
+
     # ---- the end, and what came out
 
     def close_out(self, as_of_us: int | None = None) -> DataFrame:
@@ -264,7 +274,7 @@ class FlowAssembler:
             with scratch(self.spark):
                 due = self._waiting(was["waiting"]).filter(F.col("ts_us") > was["passed_us"]) if was["waiting"] else self._no_packets()
                 flows, _ = self._advance(due, was, set(was["open"]), -_FOREVER)
-                self._record(flows, F.lit(newest)).write.mode("overwrite").parquet(path)
+                self._hand_over(self._record(flows, F.lit(newest)), f"{last}-closed")
             write_text(self.spark, f"{self.state}/manifest/{last}.closed.json", json.dumps(
                 {**was, "passed_us": newest, "newest_us": newest, "open": {}, "waiting": [], "closed": True}))
             self._forget(self._files(was) | self._files(self._read_manifest(str(last - 1))), set())
