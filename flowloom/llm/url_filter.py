@@ -1,9 +1,9 @@
 """URL rules by hashed host-suffix and path-prefix expressions.
 
 A url is expanded into expressions: each suffix of its host at a label boundary, with each prefix of
-its path that has the length of some rule's path. Expressions and rules are joined on the first 32
-bits of their SHA-256; full digests then confirm a match, and the longest rule wins. Distinct
-(host, path) pairs are judged once, whatever number of pages shares them.
+its path that has the length of some rule's path. Expressions, as the lengths of the two beside the url, and rules are
+joined on the first 32 bits of their SHA-256 alone; of the pairs that meet, full digests and texts then confirm
+a match, and the longest rule wins. Distinct (host, path) pairs are judged once, whatever number of pages shares them.
 
 Null urls, and urls without ``://``, have empty host and path and fit no rule.
 """
@@ -47,14 +47,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     fits = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (pairs.filter("host <> ''").join(F.broadcast(lengths))  # one row
                    .withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(fits))
-                   .withColumn("digest", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256))
-                   .select("host", "path", "suffix", "prefix", "digest", _short(F.col("digest")).alias("short")))
-    e, r = expressions.alias("e"), rules.alias("r")
-    matched = e.join(r, (F.col("e.short") == F.col("r.short")) & (F.col("e.digest") == F.col("r.digest"))
-                     & (F.col("e.suffix") == F.col("r.r_host")) & (F.col("e.prefix") == F.col("r.r_path")))
+                   .select("host", "path", F.length("suffix").alias("s"), F.length("prefix").alias("p"),
+                           _short(F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256)).alias("short")))
+    met = expressions.join(rules, "short")
+    suffix, prefix = F.right("host", F.col("s")), F.left("path", F.col("p"))
+    same = (F.sha2(F.concat(suffix, F.lit("\n"), prefix), 256) == F.col("digest")) & (suffix == F.col("r_host")) & (prefix == F.col("r_path"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"),
                     (F.col("r_verdict") == "block").alias("b"), "r_host", "r_path", "r_verdict")
-    best = matched.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    # confirmed here, not in a filter, which the optimiser would turn into further join keys
+    best = met.groupBy("host", "path").agg(F.max(F.when(same, rank)).alias("best"))
     return pairs.join(best, ["host", "path"], "left").select(
         "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"),
         F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))

@@ -32,3 +32,10 @@ def test_no_rules_no_pages_null_rules(spark):
     none = spark.createDataFrame([(None, "/", "allow"), ("com", None, "block")], "host string, path string, verdict string")
     assert {r.verdict for r in judge_urls(pages, none, default="block").collect()} == {"block"}
     assert judge_urls(pages.filter("false"), none).count() == 0
+
+
+def test_join_on_the_short_prefix_only(spark):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    plan = filter_urls(spark.createDataFrame([(1, URLS[4])], "page_id long, url string"), rules)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x and "short" in x]
+    assert len(joins) == 1 and "digest" not in joins[0] and "r_host" not in joins[0]
