@@ -109,7 +109,9 @@ def near_links(fps: DataFrame, distance: int = 4, crowd: int = CROWD) -> DataFra
     """``a``, ``b``: links that join all distinct ``fp`` of ``fps`` that differ in at most ``distance`` (4 or less) bits."""
     if distance > 4:
         raise ValueError("balls of radius 1 around halves cover distances up to 4")
-    rows, found = fps.selectExpr("0L AS key", "0 AS low", "fp"), []
+    # each fingerprint becomes 66 probes, so they are dealt evenly first; a number keeps small tables from being put together
+    even = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows, found = even.selectExpr("0L AS key", "0 AS low", "fp"), []
     for width in (32, 16, 8):
         probes = _ball(rows, width)
         # a meeting matters if two fingerprints stand there unturned or turned at different bits
