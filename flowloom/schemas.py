@@ -14,8 +14,8 @@ FRAMES = T.StructType([
     T.StructField("linktype", T.IntegerType()),
     T.StructField("caplen", T.IntegerType()),
     T.StructField("raw", T.BinaryType()),
-    T.StructField("capture_no", T.LongType()),
 ])
+CAPTURED_FRAMES = T.StructType([*FRAMES.fields, T.StructField("capture_no", T.LongType())])
 
 PACKETS = T.StructType([
     T.StructField("frame_no", T.LongType()),

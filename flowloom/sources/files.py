@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from flowloom.operators.columns import assert_unique_header, quoted, rename_features, select_features
-from flowloom.schemas import FRAMES, flow_schema
+from flowloom.schemas import CAPTURED_FRAMES, flow_schema
 from flowloom.sources.grown import stream_lines
 
 
@@ -18,7 +18,7 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> Data
     ``capture_no`` tells captures apart that number frames alike; files without it are one capture, 0.
     """
     reader = spark.readStream if streaming else spark.read
-    rows = reader.schema(FRAMES).parquet(path).filter(F.length("raw") > 0)
+    rows = reader.schema(CAPTURED_FRAMES).parquet(path).filter(F.length("raw") > 0)
     return rows.withColumn("capture_no", F.coalesce("capture_no", F.lit(0)))
 
 
