@@ -6,10 +6,14 @@ Which suffixes. Every window contains its smallest ``PREFIX``-word hash (minimis
 each document it stands in. So only suffixes that start at minimisers are kept, and of these only such
 whose prefix occurs in two documents at least: no shared window is lost, and most text is never moved.
 
-Groups. Suffixes are partitioned by their first ``PREFIX`` words; a group holds suffixes of at most
-``CROWD`` documents, each with the ``WINDOW - PREFIX`` words before and the ``window`` words from its start.
-Where more documents share a prefix, it is lengthened to the whole window: such suffixes are grouped by
-full windows, which Spark aggregates before it exchanges them. So no group outgrows memory.
+Groups. Suffixes are partitioned by their first ``PREFIX`` words. A group holds at most ``CROWD`` suffixes, however
+many a document has of them, each with the ``WINDOW - PREFIX`` words before and the ``window`` words from its start.
+Where more suffixes share a prefix, it is lengthened: windows that begin at most half of the ``WINDOW - PREFIX`` words before
+the suffix share that many words more with it on its right, the other windows on its left, so each suffix goes into two
+groups that agree in a run of about ``(WINDOW + PREFIX) / 2`` words and look at their half of the windows only.
+Where more than ``CROWD`` suffixes share such a run too, it is lengthened to the whole window: such suffixes are grouped by
+full windows, which Spark aggregates before it exchanges them. So no group outgrows memory. A window's own words
+decide which way it goes, so all its copies go the same way.
 
 Trees. In a group, sorted suffixes with the lengths of their common prefixes are the suffix tree, its
 internal nodes being runs of suffixes that agree for so many words; the words before the starts give a
@@ -19,8 +23,8 @@ decides. Whole Arrow batches of groups are handled together, the prefix being th
 
 Words are compared by 64-bit hashes of their bytes, windows under lengthened prefixes by 128 bits.
 
-Null and empty texts have no words. Documents with a null id have no smaller and no larger id: they
-keep all words and take none from others. Rows that repeat an id don't act on each other, whether their
+Ids are whole numbers or text of such. Null and empty texts have no words. Documents with a null id have no smaller and no larger id: they
+keep all words and take none from others, and stay out of all exchanges. Rows that repeat an id don't act on each other, whether their
 texts are equal or not.
 """
 
@@ -50,12 +54,18 @@ def _slide(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[:have - size], values[size - have:]) if have < size else values
 
 
+def _halves(window: int, prefix: int) -> list[tuple[int, int]]:
+    """Both halves of the distances at which a window may begin before its minimiser."""
+    middle = (window - prefix + 1) // 2
+    return [(0, middle - 1), (middle, window - prefix)] if middle else [(0, window - prefix)]
+
+
 class Anchors:
     """Minimisers of the windows of a block: word indices ``at``, prefix hashes ``key``, text numbers ``text``."""
 
     def __init__(self, words: Words, window: int, prefix: int):
         n, span = len(words.starts), window - prefix + 1
-        self.words, self.hashes = words, words.hashes()
+        self.words, self.hashes, self.window = words, words.hashes(), window
         self.at = np.empty(0, dtype=np.int64)
         if n >= window:
             end = np.repeat(words.first[1:], words.counts())  # of the text of each word
@@ -72,25 +82,42 @@ class Anchors:
             self.key = np.empty(0, dtype=np.uint64)
         self.text = np.searchsorted(words.first, self.at, side="right") - 1
 
+    def runs(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """What all windows that begin ``low`` to ``high`` words before a minimiser share: whether the text has so many
+        words there, and a hash of them that also tells ``low``."""
+        size, start = self.window - high + low, self.at - low
+        fits = (start >= self.words.first[self.text]) & (start + size <= self.words.first[self.text + 1])
+        key = np.zeros(len(self.at), dtype=np.uint64)
+        if fits.any():
+            key[fits] = mix(gram_hashes(self.hashes, size)[start[fits]] ^ np.uint64(low + 1))
+        return fits, key
+
 
 def _prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Distinct ``key``, ``doc_id``, ``row_id``: the minimiser prefixes in each document."""
+    """Distinct ``key``, ``long0``, ``long1`` of each document: its minimiser prefixes and the longer runs around them
+    (null where the text has none), each with the number ``n`` of suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
             ids, rows = batch.column("doc_id").to_numpy(), batch.column("row_id").to_numpy()
             for block in blocks(batch.column("text")):
                 found = Anchors(block.words(PLAIN), window, prefix)
-                order = np.lexsort((found.key, found.text))
-                text, key = found.text[order], found.key[order]
-                new = np.ones(len(text), dtype=bool)
-                new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
-                of = text[new] + block.first
-                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[of]), pa.array(rows[of])],
-                                                 ["key", "doc_id", "row_id"])
-
-    return docs.select("doc_id", "row_id", "text").mapInArrow(run, "key long, doc_id long, row_id long")
+                longer = [found.runs(*half) for half in _halves(window, prefix)]
+                longer += [(np.zeros(len(found.at), dtype=bool), np.zeros(len(found.at), dtype=np.uint64))] * (2 - len(longer))
+                order = np.lexsort((longer[1][1], longer[0][1], found.key, found.text))
+                sorts = [values[order] for values in (found.text, found.key, longer[0][1], longer[1][1])]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = np.logical_or.reduce([values[1:] != values[:-1] for values in sorts])
+                place = np.flatnonzero(new)
+                of = sorts[0][place] + block.first
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sorts[1][place].view(np.int64)),
+                     *[pa.array(key[order][place].view(np.int64), mask=~fits[order][place]) for fits, key in longer],
+                     pa.array(ids[of]), pa.array(rows[of]), pa.array(np.diff(np.append(place, len(order))))],
+                    ["key", "long0", "long1", "doc_id", "row_id", "n"])
+
+    return docs.select("doc_id", "row_id", "text").mapInArrow(
+        run, "key long, long0 long, long1 long, doc_id long, row_id long, n long")
 
 
 def _mark(text: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -99,7 +126,8 @@ def _mark(text: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], column: str, window: int, prefix: int):
-    """Blocks with their document and row ids and minimisers, those marked whose prefix is in the document's list ``column``."""
+    """Blocks with their document and row ids, minimisers, and a function that marks those whose key is in the document's list
+    ``column``."""
     for batch in batches:
         batch = batch.filter(batch.column(column).is_valid())
         ids, rows = batch.column("doc_id").to_numpy(), batch.column("row_id").to_numpy()
@@ -109,43 +137,52 @@ def _repeated(batches: Iterator[pa.RecordBatch], column: str, window: int, prefi
                            lists.flatten().to_numpy().view(np.uint64))
             found = Anchors(block.words(PLAIN), window, prefix)
             own = slice(block.first, block.first + len(block))
-            yield block, ids[own], rows[own], found, np.isin(_mark(found.text, found.key), wanted)
+            yield block, ids[own], rows[own], found, lambda key, at=found, wanted=wanted: np.isin(_mark(at.text, key), wanted)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Marked suffixes with the words around their start; equal ones of a document together."""
-    reach = window - prefix
-    for block, ids, rows, found, marked in _repeated(batches, "few", window, prefix):
-        at, text, words = found.at[marked], found.text[marked], found.words
-        first, last = words.first[text], words.first[text + 1]
-        a, b = np.maximum(first, at - reach), np.minimum(last, at + window)
-        data = block.buf.tobytes()
+    """Marked suffixes with the words around their start that windows of their group may hold; equal ones of a document
+    together. ``low`` and ``high`` say which windows the group looks at."""
+    for block, ids, rows, found, is_marked in _repeated(batches, "few", window, prefix):
+        data, words = block.buf.tobytes(), found.words
         places: dict[tuple, list[int]] = {}
-        for item in zip(text.tolist(), found.key[marked].view(np.int64).tolist(), (at - a).tolist(),
-                        words.starts[a].tolist(), words.ends[b - 1].tolist(), (at - first).tolist(), strict=True):
-            places.setdefault((*item[:3], data[item[3]:item[4]]), []).append(item[5])
+        whole = (0, window - prefix), np.ones(len(found.at), dtype=bool), found.key
+        for (low, high), fits, key in [whole, *[(half, *found.runs(*half)) for half in _halves(window, prefix)]]:
+            marked = fits & is_marked(key)
+            at, text = found.at[marked], found.text[marked]
+            first, last = words.first[text], words.first[text + 1]
+            a, b = np.maximum(first, at - high), np.minimum(last, at + window - low)
+            for item in zip(text.tolist(), key[marked].view(np.int64).tolist(), (at - a).tolist(),
+                            words.starts[a].tolist(), words.ends[b - 1].tolist(), (at - first).tolist(), strict=True):
+                places.setdefault((*item[:3], low, high, data[item[3]:item[4]]), []).append(item[5])
+        keys = list(places)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[1] for k in places], type=pa.int64()), *[pa.array(v[[k[0] for k in places]] if places else [], type=pa.int64()) for v in (ids, rows)],
-             pa.array([k[2] for k in places], type=pa.int32()), pa.array([k[3] for k in places], type=pa.binary()),
-             pa.array(list(places.values()), type=pa.list_(pa.int32()))], ["key", "doc_id", "row_id", "before", "words", "places"])
+            [pa.array([k[1] for k in keys], type=pa.int64()), *[pa.array(v[[k[0] for k in keys]] if keys else [], type=pa.int64()) for v in (ids, rows)],
+             *[pa.array([k[i] for k in keys], type=pa.int32()) for i in (2, 3, 4)], pa.array([k[5] for k in keys], type=pa.binary()),
+             pa.array(list(places.values()), type=pa.list_(pa.int32()))],
+            ["key", "doc_id", "row_id", "before", "low", "high", "words", "places"])
 
 
 def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Windows whose minimiser is marked, by 128-bit hashes; once for each document and window."""
-    for _, ids, own, found, marked in _repeated(batches, "many", window, prefix):
+    """Windows whose minimiser is marked for the half in which they begin, by 128-bit hashes."""
+    halves = _halves(window, prefix)
+    for _, ids, own, found, is_marked in _repeated(batches, "many", window, prefix):
         words, n = found.words, len(found.hashes)
-        hit = np.zeros(n + window, dtype=bool)
-        hit[found.at[marked]] = True
+        hits = np.zeros((len(halves), n + window), dtype=bool)
+        for hit, half in zip(hits, halves, strict=True):
+            fits, key = found.runs(*half)
+            hit[found.at[fits & is_marked(key)]] = True
         rows = np.empty((0, 5), dtype=np.int64)
-        if marked.any():
+        if hits.any():
             span = window - prefix + 1
-            start = np.flatnonzero(_slide(hit[:n + span - 1 - prefix + 1], span, np.logical_or)[:n - window + 1])
+            start = np.flatnonzero(_slide(hits.any(axis=0)[:n + span - 1 - prefix + 1], span, np.logical_or)[:n - window + 1])
             start = start[found.lowest[start] > 0]
-            low = found.lowest[start]  # is its minimiser a marked one?
+            lowest = found.lowest[start]  # is its minimiser a marked one?
             ok = np.zeros(len(start), dtype=bool)
-            for step in range(span):
-                here = start + step
-                ok |= hit[here] & (found.grams[here] == low)
+            for hit, (low, high) in zip(hits, halves, strict=True):
+                for step in range(low, high + 1):
+                    here = start + step
+                    ok |= hit[here] & (found.grams[here] == lowest)
             start = start[ok]
             h1 = gram_hashes(found.hashes, window)[start].view(np.int64)
             h2 = gram_hashes(mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D)), window)[start].view(np.int64)
@@ -175,7 +212,7 @@ def _covered(table: pa.Table, window: int, prefix: int) -> pa.RecordBatch:
     """Word ranges of documents that windows shared with a smaller id cover, for whole groups of suffixes."""
     reach = window - prefix
     doc, owner = table.column("doc_id").to_numpy(), table.column("row_id").to_numpy()
-    before = table.column("before").to_numpy().astype(np.int64)
+    before, low, high = (table.column(c).to_numpy().astype(np.int64) for c in ("before", "low", "high"))
     words = next(blocks(table.column("words"), 1 << 40)).words(PLAIN)
     hashes, n = np.append(words.hashes(), np.uint64(0)), len(doc)
     after, start = words.counts() - before, words.first[:-1] + before
@@ -187,7 +224,7 @@ def _covered(table: pa.Table, window: int, prefix: int) -> pa.RecordBatch:
     right_tree, left_tree = _tree(right, key), _tree(left, key)
     shared = np.zeros((n, reach + 3), dtype=bool)
     for back in range(reach + 1):
-        rows = np.flatnonzero((before >= back) & (after >= window - back))
+        rows = np.flatnonzero((before >= back) & (after >= window - back) & (low <= back) & (back <= high))
         if not len(rows):
             continue
         node = _nodes(right_tree, window - back)[rows] * (n + 1) + _nodes(left_tree, back)[rows]
@@ -232,6 +269,35 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("row_id"), "text")
 
 
+def _wanted(keys: DataFrame, crowd: int) -> DataFrame:
+    """``key``, ``crowded`` of the keys that stand in two documents at least."""
+    return (keys.groupBy("key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+            .filter("d0 < d1").select("key", (F.col("n") > crowd).alias("crowded")))
+
+
+def _listed(docs: DataFrame, window: int, prefix: int, crowd: int) -> DataFrame:
+    """Documents with the keys of their groups (``few``) and those that even the longer runs leave crowded (``many``)."""
+    small_batches(docs.sparkSession)
+    keys = durable(_prefixes(docs, window, prefix))
+    rest = F.col("crowded")
+    shared = durable(keys.join(_wanted(keys, crowd), "key").select(
+        "doc_id", "row_id", "n", "crowded", F.when(~rest, F.col("key")).alias("key"),
+        F.when(rest, F.array_compact(F.array("long0", "long1"))).alias("longer")))
+    longer = shared.filter("crowded").select("doc_id", "row_id", "n", F.explode("longer").alias("key"))
+    lists = (shared.filter("not crowded").select("row_id", "key", "crowded")
+             .union(longer.join(_wanted(longer, crowd), "key").select("row_id", "key", "crowded"))
+             .groupBy("row_id").agg(F.collect_set(F.when(~rest, F.col("key"))).alias("few"),
+                                    F.collect_set(F.when(rest, F.col("key"))).alias("many")))
+    return docs.join(lists, "row_id").select("doc_id", "row_id", "text", "few", "many")
+
+
+def _suffix_rows(listed: DataFrame, window: int, prefix: int) -> DataFrame:
+    """The suffixes that trees are made of; a tree holds the rows of one ``key``."""
+    return listed.select("doc_id", "row_id", "text", "few").mapInArrow(
+        lambda b: _suffixes(b, window, prefix),
+        "key long, doc_id long, row_id long, before int, low int, high int, words binary, places array<int>")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD,
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row_id`` (a hash of id and text), ``spans``: word ranges (``start``, ``stop``) of each document that windows of
@@ -239,18 +305,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     Ranges may overlap. Documents without such a range, and null ids, have no row.
     """
-    docs = _rows(docs, doc_id, text)
-    small_batches(docs.sparkSession)
-    keys = durable(_prefixes(docs, window, prefix))
-    shared = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-              .filter("d0 < d1").select("key", (F.col("n") > crowd).alias("crowded")))
-    lists = keys.select("key", "row_id").join(shared, "key").groupBy("row_id").agg(
-        F.collect_set(F.when(~F.col("crowded"), F.col("key"))).alias("few"),
-        F.collect_set(F.when(F.col("crowded"), F.col("key"))).alias("many"))
-    listed = docs.join(lists, "row_id", "left")
-    suffixes = listed.select("doc_id", "row_id", "text", "few").mapInArrow(
-        lambda b: _suffixes(b, window, prefix), "key long, doc_id long, row_id long, before int, words binary, places array<int>")
-    groups = suffixes.repartition("key").sortWithinPartitions("key")
+    listed = _listed(_rows(docs, doc_id, text).filter("doc_id is not null"), window, prefix, crowd)
+    groups = _suffix_rows(listed, window, prefix).repartition("key").sortWithinPartitions("key")
     few = groups.mapInArrow(lambda b: _trees(b, window, prefix), "row_id long, start int, stop int")
     windows = listed.select("doc_id", "row_id", "text", "many").mapInArrow(
         lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, row_id long, start long")
@@ -283,4 +339,6 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
                 [batch.column("doc_id"), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()),
                  pa.array(kept, type=pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(spans, "row_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    found = docs.filter("doc_id is not null").join(spans, "row_id", "left").select("doc_id", "text", "spans")
+    unnamed = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    return found.union(unnamed).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")

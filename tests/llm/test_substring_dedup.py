@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from flowloom.llm.substring_dedup import repeated_spans, without_spans
+from flowloom.llm.substring_dedup import _listed, _rows, _suffix_rows, repeated_spans, without_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -31,7 +31,7 @@ def run(docs, window, prefix, crowd):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str)
 
 
-@pytest.mark.parametrize("crowd", [0, 2, 4000])
+@pytest.mark.parametrize("crowd", [0, 2, 12, 40, 4000])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_texts(docs_of, crowd, seed):
     rnd = random.Random(seed)
@@ -55,3 +55,35 @@ def test_production_window(docs_of, odd):
 
 def test_empty(docs_of):
     assert run(docs_of([]), 50, 16, 4000) == []
+
+
+def test_groups_are_bounded_by_suffixes(docs_of):
+    """One document repeats a header 10,000 times, each time between other words; others share some of it."""
+    rnd = random.Random(9)
+    header = [f"h{i}" for i in range(20)]
+    pages = [[*header, *(f"p{rnd.randint(0, 10**9)}" for _ in range(40))] for _ in range(10_000)]
+    around = [f"a{i}" for i in range(20)] + header + [f"b{i}" for i in range(20)]
+    rows = [(7, " ".join(w for page in pages for w in page)), (8, " ".join(pages[5] + ["end"])), (9, " ".join(pages[77][10:])),
+            (10, " ".join(around)), (11, " ".join(["x", *around, "y"])), (12, " ".join(pages[3][15:] + pages[4][:45])), (None, " ".join(pages[6]))]
+    listed = _listed(_rows(docs_of(rows), "doc_id", "text").filter("doc_id is not null"), 50, 16, 500)
+    groups = _suffix_rows(listed, 50, 16).groupBy("key").count().toPandas()["count"]
+    assert 2 <= groups.max() <= 500
+    for crowd in (500, 4000):
+        assert run(docs_of(rows), 50, 16, crowd) == brute(rows, 50)
+
+
+def test_middle_lengths_are_used(docs_of):
+    rnd = random.Random(3)
+    shared = [f"s{i}" for i in range(30)]  # a window around it has its minimiser there about as often as not
+    rows = [(i, " ".join([*(f"l{i // 2}x{k}" for k in range(40)), *shared, *(f"r{i // 2}x{k}" for k in range(40)), f"e{rnd.random()}"])) for i in range(60)]
+    listed = _listed(_rows(docs_of(rows), "doc_id", "text"), 50, 16, 10)
+    kinds = {(r.low, r.high) for r in _suffix_rows(listed, 50, 16).select("low", "high").distinct().collect()}
+    assert len(kinds) > 1
+    assert run(docs_of(rows), 50, 16, 10) == brute(rows, 50)
+
+
+def test_null_ids_stay_out_of_exchanges(docs_of):
+    rows = [(None, "a b c d e f g")] * 200 + [(1, "a b c d e f g"), (2, "a b c d e f g")]
+    assert run(docs_of(rows), 6, 3, 4000) == brute(rows, 6)
+    listed = _listed(_rows(docs_of(rows), "doc_id", "text").filter("doc_id is not null"), 6, 3, 4000)
+    assert listed.filter("doc_id is null").isEmpty() and listed.count() == 2
