@@ -6,8 +6,8 @@ Which suffixes. Every window contains its smallest ``PREFIX``-word hash (minimis
 each document it stands in. So only suffixes that start at minimisers are kept, and of these only such
 whose prefix occurs in two documents at least: no shared window is lost, and most text is never moved.
 
-Groups. Suffixes are partitioned by their first ``PREFIX`` words. A group holds at most ``CROWD`` suffixes, however
-many a document has of them, each with the ``WINDOW - PREFIX`` words before and the ``window`` words from its start.
+Groups. Suffixes are partitioned by their first ``PREFIX`` words. A group holds at most ``CROWD`` unlike suffixes of
+all documents, however many a document has of them, each with the ``WINDOW - PREFIX`` words before and the ``window`` words from its start.
 Where more suffixes share a prefix, it is lengthened: windows that begin at most half of the ``WINDOW - PREFIX`` words before
 the suffix share that many words more with it on its right, the other windows on its left, so each suffix goes into two
 groups that agree in a run of about ``(WINDOW + PREFIX) / 2`` words and look at their half of the windows only.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.textbytes import PLAIN, Words, blocks, gram_hashes, mix, small_batches
@@ -65,7 +65,7 @@ class Anchors:
 
     def __init__(self, words: Words, window: int, prefix: int):
         n, span = len(words.starts), window - prefix + 1
-        self.words, self.hashes, self.window = words, words.hashes(), window
+        self.words, self.hashes, self.window, self.prefix = words, words.hashes(), window, prefix
         self.at = np.empty(0, dtype=np.int64)
         if n >= window:
             end = np.repeat(words.first[1:], words.counts())  # of the text of each word
@@ -82,42 +82,67 @@ class Anchors:
             self.key = np.empty(0, dtype=np.uint64)
         self.text = np.searchsorted(words.first, self.at, side="right") - 1
 
-    def runs(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        """What all windows that begin ``low`` to ``high`` words before a minimiser share: whether the text has so many
-        words there, and a hash of them that also tells ``low``."""
-        size, start = self.window - high + low, self.at - low
+    def run(self, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the texts of the minimisers have ``size`` words from ``start`` on, and hashes of these words."""
         fits = (start >= self.words.first[self.text]) & (start + size <= self.words.first[self.text + 1])
-        key = np.zeros(len(self.at), dtype=np.uint64)
+        out = np.zeros(len(start), dtype=np.uint64)
         if fits.any():
-            key[fits] = mix(gram_hashes(self.hashes, size)[start[fits]] ^ np.uint64(low + 1))
-        return fits, key
+            out[fits] = gram_hashes(self.hashes, size)[start[fits]] if size else 0
+        return fits, out
+
+    def longer(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """What all windows that begin ``low`` to ``high`` words before a minimiser share: whether the text has these words, and
+        32 bits of their hash (with the prefix's own hash they tell a group)."""
+        fits, out = self.run(self.at - low, self.window - high + low)
+        return fits, out >> np.uint64(32)
+
+    def longer_key(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same as one value; ``_longer_key`` is it in Spark."""
+        fits, bits = self.longer(low, high)
+        return fits, self.key ^ (bits << np.uint64(32)) ^ np.uint64(low + 1)
+
+    def contexts(self) -> np.ndarray:
+        """Equal values for minimisers between equal words as far as any window reaches; at a text's edges each has its own."""
+        reach = self.window - self.prefix
+        inside, left = self.run(self.at - reach, reach)
+        fits, right = self.run(self.at, self.window)
+        return np.where(inside & fits, mix(left) ^ right, mix(self.at.astype(np.uint64)))
+
+
+def _longer_key(half: int, low: int) -> Column:
+    bits = F.shiftleft(F.col(f"long{half}").cast("bigint"), 32)
+    return F.col("key").bitwiseXOR(bits).bitwiseXOR(F.lit(low + 1).cast("bigint"))
 
 
 def _prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """Distinct ``key``, ``long0``, ``long1`` of each document: its minimiser prefixes and the longer runs around them
-    (null where the text has none), each with the number ``n`` of suffixes."""
+    (null where the text has none), each with the number ``n`` of suffixes that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column("doc_id").to_numpy(), batch.column("row_id").to_numpy()
             for block in blocks(batch.column("text")):
                 found = Anchors(block.words(PLAIN), window, prefix)
-                longer = [found.runs(*half) for half in _halves(window, prefix)]
+                longer = [found.longer(*half) for half in _halves(window, prefix)]
                 longer += [(np.zeros(len(found.at), dtype=bool), np.zeros(len(found.at), dtype=np.uint64))] * (2 - len(longer))
-                order = np.lexsort((longer[1][1], longer[0][1], found.key, found.text))
-                sorts = [values[order] for values in (found.text, found.key, longer[0][1], longer[1][1])]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = np.logical_or.reduce([values[1:] != values[:-1] for values in sorts])
-                place = np.flatnonzero(new)
-                of = sorts[0][place] + block.first
+                runs = [bits | fits.astype(np.uint64) << np.uint64(32) for fits, bits in longer]
+                sorts = [found.text, found.key, *runs, found.contexts()]
+                order = np.lexsort(sorts[::-1])
+                moved = np.ones((len(sorts), len(order)), dtype=bool)
+                for i, values in enumerate(sorts):
+                    moved[i, 1:] = values[order[1:]] != values[order[:-1]]
+                place = np.flatnonzero(moved[:-1].any(axis=0))
+                unlike = np.concatenate([[0], np.cumsum(moved.any(axis=0))])
+                first = order[place]
+                of = found.text[first] + block.first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sorts[1][place].view(np.int64)),
-                     *[pa.array(key[order][place].view(np.int64), mask=~fits[order][place]) for fits, key in longer],
-                     pa.array(ids[of]), pa.array(rows[of]), pa.array(np.diff(np.append(place, len(order))))],
+                    [pa.array(found.key[first].view(np.int64)),
+                     *[pa.array(bits[first].astype(np.uint32).view(np.int32), mask=~fits[first]) for fits, bits in longer],
+                     pa.array(ids[of]), pa.array(rows[of]), pa.array(np.diff(unlike[np.append(place, len(order))]).astype(np.int32))],
                     ["key", "long0", "long1", "doc_id", "row_id", "n"])
 
     return docs.select("doc_id", "row_id", "text").mapInArrow(
-        run, "key long, long0 long, long1 long, doc_id long, row_id long, n long")
+        run, "key long, long0 int, long1 int, doc_id long, row_id long, n int")
 
 
 def _mark(text: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -147,7 +172,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
         data, words = block.buf.tobytes(), found.words
         places: dict[tuple, list[int]] = {}
         whole = (0, window - prefix), np.ones(len(found.at), dtype=bool), found.key
-        for (low, high), fits, key in [whole, *[(half, *found.runs(*half)) for half in _halves(window, prefix)]]:
+        for (low, high), fits, key in [whole, *[(half, *found.longer_key(*half)) for half in _halves(window, prefix)]]:
             marked = fits & is_marked(key)
             at, text = found.at[marked], found.text[marked]
             first, last = words.first[text], words.first[text + 1]
@@ -164,15 +189,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
 
 
 def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Windows whose minimiser is marked for the half in which they begin, by 128-bit hashes."""
+    """Windows whose minimiser is marked for the half in which they begin, by 128-bit hashes; once for each document and
+    window, with all its places."""
     halves = _halves(window, prefix)
     for _, ids, own, found, is_marked in _repeated(batches, "many", window, prefix):
         words, n = found.words, len(found.hashes)
         hits = np.zeros((len(halves), n + window), dtype=bool)
         for hit, half in zip(hits, halves, strict=True):
-            fits, key = found.runs(*half)
+            fits, key = found.longer_key(*half)
             hit[found.at[fits & is_marked(key)]] = True
-        rows = np.empty((0, 5), dtype=np.int64)
+        start = np.empty(0, dtype=np.int64)
         if hits.any():
             span = window - prefix + 1
             start = np.flatnonzero(_slide(hits.any(axis=0)[:n + span - 1 - prefix + 1], span, np.logical_or)[:n - window + 1])
@@ -184,11 +210,18 @@ def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -
                     here = start + step
                     ok |= hit[here] & (found.grams[here] == lowest)
             start = start[ok]
-            h1 = gram_hashes(found.hashes, window)[start].view(np.int64)
-            h2 = gram_hashes(mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D)), window)[start].view(np.int64)
-            text = np.searchsorted(words.first, start, side="right") - 1
-            rows = np.stack([h1, h2, ids[text], own[text], start - words.first[text]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(5)], ["h1", "h2", "doc_id", "row_id", "start"])
+        text = np.searchsorted(words.first, start, side="right") - 1
+        h1, h2 = (gram_hashes(h, window)[start].view(np.int64) if len(start) else start
+                  for h in (found.hashes, mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D))))
+        order = np.lexsort((start, h2, h1, text))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([v[order[1:]] != v[order[:-1]] for v in (text, h1, h2)])
+        first = order[new]
+        places = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(order)).astype(np.int32)),
+                                          pa.array((start - words.first[text])[order].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h1[first]), pa.array(h2[first]), pa.array(ids[text[first]]), pa.array(own[text[first]]), places],
+            ["h1", "h2", "doc_id", "row_id", "starts"])
 
 
 def _tree(sequence: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +315,7 @@ def _listed(docs: DataFrame, window: int, prefix: int, crowd: int) -> DataFrame:
     rest = F.col("crowded")
     shared = durable(keys.join(_wanted(keys, crowd), "key").select(
         "doc_id", "row_id", "n", "crowded", F.when(~rest, F.col("key")).alias("key"),
-        F.when(rest, F.array_compact(F.array("long0", "long1"))).alias("longer")))
+        F.when(rest, F.array_compact(F.array(*[_longer_key(i, low) for i, (low, _) in enumerate(_halves(window, prefix))]))).alias("longer")))
     longer = shared.filter("crowded").select("doc_id", "row_id", "n", F.explode("longer").alias("key"))
     lists = (shared.filter("not crowded").select("row_id", "key", "crowded")
              .union(longer.join(_wanted(longer, crowd), "key").select("row_id", "key", "crowded"))
@@ -309,10 +342,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     groups = _suffix_rows(listed, window, prefix).repartition("key").sortWithinPartitions("key")
     few = groups.mapInArrow(lambda b: _trees(b, window, prefix), "row_id long, start int, stop int")
     windows = listed.select("doc_id", "row_id", "text", "many").mapInArrow(
-        lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, row_id long, start long")
+        lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, row_id long, starts array<int>")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    many = windows.join(least, ["h1", "h2"]).filter("least < doc_id").selectExpr(
-        "row_id", "cast(start as int) start", f"cast(start + {window} as int) stop")
+    many = windows.join(least, ["h1", "h2"]).filter("least < doc_id").select("row_id", F.explode("starts").alias("start"))
+    many = many.select("row_id", "start", (F.col("start") + window).alias("stop"))
     return few.union(many).groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
