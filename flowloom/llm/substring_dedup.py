@@ -344,9 +344,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     windows = listed.select("doc_id", "row_id", "text", "many").mapInArrow(
         lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, row_id long, starts array<int>")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    many = windows.join(least, ["h1", "h2"]).filter("least < doc_id").select("row_id", F.explode("starts").alias("start"))
-    many = many.select("row_id", "start", (F.col("start") + window).alias("stop"))
-    return few.union(many).groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    # a window's places in a document stay together, so a line that it repeats is one row
+    places = F.transform("starts", lambda at: F.struct(at.alias("start"), (at + window).alias("stop")))
+    many = windows.join(least, ["h1", "h2"]).filter("least < doc_id").select("row_id", places.alias("spans"))
+    few = few.select("row_id", F.array(F.struct("start", "stop")).alias("spans"))
+    return few.union(many).groupBy("row_id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
