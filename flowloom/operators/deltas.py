@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.custom import value_columns
+
 ACTIVITY_US = 1_000_000
 BULK_MIN_PACKETS = 4
 DIRS = ("f", "b")
@@ -197,4 +199,5 @@ def resolve(marked: DataFrame, key: list[str], directional: bool, carry: DataFra
         out[f"{d}_bulk_pkts"] = F.when(full, F.lit(BULK_MIN_PACKETS)).when(more, F.lit(1))
         out[f"{d}_bulk_bytes"] = F.when(full, run_bytes).when(more, size)
         out[f"{d}_bulk_us"] = F.when(full, ts - begun).when(more, ts - prev)
+    out |= {c: F.when(packet, F.col(c)) for c in value_columns(df.columns)}
     return df.select(*key, *[expr.alias(name) for name, expr in out.items()])

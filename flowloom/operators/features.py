@@ -7,10 +7,13 @@ Expressions are SQL text: a hundred columns then cost one analysis step each way
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.net import FLAG_BITS, TCP
+from flowloom.operators.custom import FlowFeature
 from flowloom.schemas import FLOW_EXTRAS, FLOW_NAMES
 
 EXPORT_IDLE_US = 120_000_000
@@ -28,7 +31,8 @@ def _measure(prefix: str, value: str) -> list[str]:
     ]
 
 
-def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool, opener: bool = False) -> DataFrame:
+def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool, opener: bool = False,
+                    features: Sequence[FlowFeature] = ()) -> DataFrame:
     """One row of raw sums per flow. Partial aggregation spreads a hot flow over all its chunks.
 
     With ``opener``, ``first_fwd`` tells whether the flow's first packet is a forward one.
@@ -53,6 +57,7 @@ def aggregate_flows(deltas: DataFrame, key: list[str], directional: bool, opener
         aggs += [f"sum(cast({d}_bulk_{p} as bigint)) as {d}_bulk_{p}" for p in ("n", "pkts", "bytes", "us")]
     aggs += [f"count_if(protocol = {TCP} and tcp_flags & {bit} <> 0) as all_{flag.lower()}"
              for flag, bit in FLAG_BITS.items() if directional or flag not in DIRECTIONAL_FLAGS]
+    aggs += [f.aggregate() for f in features]
     return deltas.groupBy(*key, *FLOW_LABEL).agg(*[F.expr(a) for a in aggs])
 
 
@@ -166,8 +171,9 @@ def record_expressions(directional: bool, source_known: bool, idle_us: int) -> d
     return out
 
 
-def flow_record(flows: DataFrame, directional: bool, as_of_us: Column, idle_us: int, source_known: bool) -> DataFrame:
-    """The 88 columns plus the extras from the raw sums of ``aggregate_flows``."""
+def flow_record(flows: DataFrame, directional: bool, as_of_us: Column, idle_us: int, source_known: bool,
+                features: Sequence[FlowFeature] = ()) -> DataFrame:
+    """The 88 columns plus the extras, and declared features, from the raw sums of ``aggregate_flows``."""
     out = record_expressions(directional, source_known, idle_us)
     span = "(flow_end_us - fs_us)"
     # the whole flow counts once more as an active or, beyond the export limit, an idle period
@@ -176,4 +182,4 @@ def flow_record(flows: DataFrame, directional: bool, as_of_us: Column, idle_us:
         f"if({span} > 0 and {span} <= {EXPORT_IDLE_US}, {span}, null) as trailing_active",
         f"if({span} > {EXPORT_IDLE_US}, {span}, null) as trailing_idle",
     ).withColumn("as_of_us", as_of_us)
-    return staged.selectExpr(*[f"{out[c]} as {c}" for c in FLOW_NAMES + FLOW_EXTRAS])
+    return staged.selectExpr(*[f"{out[c]} as {c}" for c in FLOW_NAMES + FLOW_EXTRAS], *[f.result() for f in features])

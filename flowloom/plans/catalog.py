@@ -12,6 +12,7 @@ from flowloom.functions import net
 from flowloom.functions.stats import summary_stats as stats_by
 from flowloom.operators import columns as col_ops
 from flowloom.operators import decode, detect, filters
+from flowloom.operators.custom import FlowFeature
 from flowloom.operators.orient import bidirectional_features, bidirectional_flow_key
 from flowloom.plans import oracle as O
 from flowloom.plans.flow_plan import DST_KEY, flow_features, packet_deltas
@@ -777,3 +778,39 @@ def stream_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 register("live_verdicts", live_verdicts, FLOWS_SQL + f" select {', '.join(ID)}, {VERDICT_SQL} from flows")
 register("stream_verdicts", stream_verdicts,
          FLOWS_SQL + f" select flow_id, timestamp, tot_fwd_pkts, {VERDICT_SQL} from flows")
+
+
+# ---- features of the user's own ------------------------------------------------------------
+
+OWN_FEATURES = [
+    FlowFeature("src_ports", "src_port", "distinct", "int"),
+    FlowFeature("sources", "src_ip_int", "distinct"),
+    FlowFeature("small_pkts", "if(payload_len between 1 and 299, 1, null)", "count", "int"),
+    FlowFeature("least_src_port", "if(payload_len > 0, src_port, null)", "min", "int"),
+    FlowFeature("largest_pkt", "header_len + payload_len", "max"),
+    FlowFeature("mean_pkt", "header_len + payload_len", "sum", record="{value} div {packets}"),
+]
+OWN_COLUMNS = ID + [f.name for f in OWN_FEATURES] + ["tot_fwd_pkts"]
+OWN_SQL = f""" select {O.DOTTED.format('dst_ip_int')} as dst_ip, dst_port, protocol, fs_us as flow_start_us, fs_frame as flow_start_frame,
+  count(distinct src_port) as src_ports, count(distinct src_ip_int) as sources,
+  count(*) filter (payload_len between 1 and 299) as small_pkts, min(src_port) filter (payload_len > 0) as least_src_port,
+  max(header_len + payload_len)::bigint as largest_pkt, (sum(header_len + payload_len) // count(*))::bigint as mean_pkt, count(*) as tot_fwd_pkts
+  from h group by {O.LABEL}"""
+
+
+def own_features(spark: SparkSession, sf: str, chunk_rows: int | None = None) -> DataFrame:
+    return flow_features(events(spark, sf), chunk_rows=chunk_rows, features=OWN_FEATURES).select(*OWN_COLUMNS)
+
+
+def own_features_live(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stream in three batches, closed out."""
+    folder = scratch_path(spark, "live-packets")
+    in_files(events(spark, sf), folder, THIRD.format("div"), range(3))
+    run = assembled(spark, file_stream(spark, folder), features=OWN_FEATURES)
+    run.close_out()
+    return run.emitted(closed_out=True).select(*OWN_COLUMNS)
+
+
+register("own_features", own_features, O.segmented(O.EVENT_PACKETS) + OWN_SQL)
+register("own_features_hot", partial(own_features, chunk_rows=1500), O.segmented(O.EVENT_PACKETS) + OWN_SQL)
+register("own_features_live", own_features_live, O.segmented(O.EVENT_PACKETS) + OWN_SQL)

@@ -10,12 +10,13 @@ carries and a partial aggregate; only per-flow partial rows are exchanged again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators import carry as carry_ops
+from flowloom.operators.custom import FlowFeature, packet_values, value_columns
 from flowloom.operators.deltas import mark, resolve
 from flowloom.operators.features import aggregate_flows, flow_record
 from flowloom.operators.hotkeys import key_stats, split_hot_keys
@@ -27,29 +28,29 @@ _BODY = [*ORDER, "header_len", "payload_len", "tcp_flags", "is_fwd"]
 
 
 def with_cuts(packets: DataFrame, cuts: DataFrame | None, part: list[str]) -> DataFrame:
-    rows = packets.select(*part, *_BODY, F.lit(0).alias("kind"))
+    rows = packets.select(*part, *_BODY, *value_columns(packets.columns), F.lit(0).alias("kind"))
     if cuts is None:
         return rows
     markers = cuts.select(
         *part, *ORDER, F.lit(0).alias("header_len"), F.lit(0).alias("payload_len"),
         F.lit(0).alias("tcp_flags"), F.lit(True).alias("is_fwd"), F.lit(1).alias("kind"))
-    return rows.unionByName(markers)
+    return rows.unionByName(markers, allowMissingColumns=True)
 
 
-def _narrow(packets: DataFrame, key: list[str], directional: bool) -> DataFrame:
+def _narrow(packets: DataFrame, key: list[str], directional: bool, features: Sequence[FlowFeature]) -> DataFrame:
     """The columns the rules read, stored. ``capture_no`` tells captures apart that number frames alike."""
     more = {}
     if not directional:
         more["is_fwd"] = F.lit(True)
     if "capture_no" not in packets.columns:
         more["capture_no"] = F.lit(0).cast("bigint")
-    return durable(packets.withColumns(more).select(*key, *_BODY))
+    return durable(packets.withColumns(more).select(*key, *_BODY, *packet_values(features)))
 
 
 def _deltas(packets: DataFrame, key: list[str], directional: bool, syn_cut: bool, threshold: int, idle_us: int,
-            chunk_rows: int | None) -> tuple[list[DataFrame], DataFrame]:
+            chunk_rows: int | None, features: Sequence[FlowFeature] = ()) -> tuple[list[DataFrame], DataFrame]:
     """The parts of ``packet_deltas`` and the statistics of the keys."""
-    packets = _narrow(packets, key, directional)
+    packets = _narrow(packets, key, directional, features)
     stats = durable(key_stats(packets, key))
     split = split_hot_keys(packets, key, chunk_rows, stats)
     may_cut = stats.filter((F.col("n") >= threshold) & (F.col("n_syn") > 0)).select(*key)
@@ -75,21 +76,22 @@ def packet_deltas(packets: DataFrame, key: list[str] | None = None, directional:
 
 def flow_features(packets: DataFrame, key: list[str] | None = None, directional: bool = False, syn_cut: bool = True,
                   threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US, as_of_us: int | None = None,
-                  chunk_rows: int | None = None, turn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  chunk_rows: int | None = None, turn: Callable[[DataFrame], DataFrame] | None = None,
+                  features: Sequence[FlowFeature] = ()) -> DataFrame:
     """Flow records (88 columns plus extras) of a packet table.
 
     ``directional=False`` is destination-keyed monitoring: every packet counts as forward.
     ``chunk_rows`` is the number of packets above which a key is processed in chunks. Packets are in order of
     time, frame number and, where the table has it, ``capture_no``. ``turn`` may rewrite the raw sums of the flows, which
-    then say in ``first_fwd`` which way the first packet went.
+    then say in ``first_fwd`` which way the first packet went. ``features`` are columns of the user's own.
     """
     key = key or DST_KEY
-    parts, stats = _deltas(packets, key, directional, syn_cut, threshold, idle_us, chunk_rows)
+    parts, stats = _deltas(packets, key, directional, syn_cut, threshold, idle_us, chunk_rows, features)
     newest = stats.select(F.max("hi")).scalar()
     as_of = newest if as_of_us is None else F.greatest(newest, F.lit(as_of_us))
     records = []
     for part in parts:
-        flows = aggregate_flows(part, key, directional, turn is not None)
+        flows = aggregate_flows(part, key, directional, turn is not None, features)
         flows = turn(flows) if turn else flows
-        records.append(flow_record(flows, directional, as_of, idle_us, "flow_src_ip_int" in flows.columns))
+        records.append(flow_record(flows, directional, as_of, idle_us, "flow_src_ip_int" in flows.columns, features))
     return records[0] if len(records) == 1 else records[0].unionByName(records[1])

@@ -26,13 +26,14 @@ of files therefore depends on the buckets, not on how long the stream has run.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.operators import carry as carry_ops
+from flowloom.operators.custom import FlowFeature, packet_values
 from flowloom.operators.deltas import mark, resolve
 from flowloom.operators.features import FLOW_LABEL, aggregate_flows, flow_record
 from flowloom.operators.hotkeys import CHUNK_ROWS, key_stats, split_hot_keys
@@ -71,11 +72,13 @@ def _merged(before: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
             out[c] = F.greatest(x, y)
         elif c == "was_cut":
             out[c] = F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False))
+        elif c.endswith("_set"):
+            out[c] = F.array_union(*[F.coalesce(v, F.array().cast(now.schema[c].dataType.simpleString())) for v in (x, y)])
         elif c == "first_fwd":
             out[c] = F.coalesce(x, y)
         else:
             out[c] = F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
-    return joined.select(*label, *[e.cast(now.schema[c].dataType).alias(c) for c, e in out.items()],
+    return joined.select(*label, *[e.cast(now.schema[c].dataType.simpleString()).alias(c) for c, e in out.items()],
                          F.col("a.state").alias("old_state"), F.col("b.flow_end_us").isNotNull().alias("grown"))
 
 
@@ -84,7 +87,8 @@ class FlowAssembler:
 
     ``state`` is a folder that all executors share, for this stream alone; flows go to ``target``, one folder a batch, late packets to
     ``target`` + ``-late``. With ``two_way`` both directions of a conversation are one flow, closed by the idle timeout only.
-    ``buckets`` should make a bucket of open flows one file of usual size; it is fixed for the life of the state.
+    ``buckets`` should make a bucket of open flows one file of usual size; it is fixed for the life of the state, as are
+    the user's own ``features``.
 
     ``then(flows, name)`` is handed the flows of each batch, and of the close-out, once they are written and before the batch counts; a
     batch that is run again is handed over again under the same name (``7``, ``7-closed``), so what it writes under the name is exact once.
@@ -92,10 +96,11 @@ class FlowAssembler:
 
     def __init__(self, spark: SparkSession, state: str, target: str, delay_us: int = 10_000_000, threshold: int = SYN_THRESHOLD,
                  idle_us: int = IDLE_US, chunk_rows: int | None = None, key: list[str] | None = None, two_way: bool = False,
-                 buckets: int = BUCKETS, then: Callable[[DataFrame, str], None] | None = None):
+                 buckets: int = BUCKETS, then: Callable[[DataFrame, str], None] | None = None,
+                 features: Sequence[FlowFeature] = ()):
         self.spark, self.state, self.target = spark, state.rstrip("/"), target.rstrip("/")
         self.delay_us, self.threshold, self.idle_us, self.chunk_rows = delay_us, threshold, idle_us, chunk_rows
-        self.then = then
+        self.then, self.features = then, list(features)
         self.two_way, self.buckets, self.key = two_way, buckets, PAIR if two_way else key or DST_KEY
 
     # ---- the manifest
@@ -145,7 +150,7 @@ class FlowAssembler:
         if "capture_no" not in batch.columns:
             batch = batch.withColumn("capture_no", F.lit(0).cast("bigint"))
         rows = as_pairs(batch) if self.two_way else batch.withColumn("is_fwd", F.lit(True))
-        return rows.select(*self.key, *_BODY)
+        return rows.select(*self.key, *_BODY, *packet_values(self.features))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch: the function for ``foreachBatch``."""
@@ -217,7 +222,7 @@ class FlowAssembler:
         marked = durable(mark(with_cuts(rows, self._cuts(rows, stats, before, hot), part), part, self.two_way, True, self.idle_us))
         start = None if before is None else before.select(*key, "state")
         carry = durable(carry_ops.chunk_carry(carry_ops.summarise(marked, part, self.two_way), key, self.two_way, self.idle_us, start))
-        now = aggregate_flows(resolve(marked, key, self.two_way, carry), key, self.two_way, self.two_way)
+        now = aggregate_flows(resolve(marked, key, self.two_way, carry), key, self.two_way, self.two_way, self.features)
         if before is None:
             before = now.filter("false").withColumn("state", F.lit(None).cast("string"))
         # a flow that has grown goes on only if its key's walk ends in it; one that hasn't may only fall idle
@@ -248,7 +253,7 @@ class FlowAssembler:
     def _record(self, flows: DataFrame, as_of: Column) -> DataFrame:
         if self.two_way:
             flows = turn_flows(flows.drop("state", "bucket", "closed"))
-        return flow_record(flows, self.two_way, as_of, self.idle_us, self.two_way)
+        return flow_record(flows, self.two_way, as_of, self.idle_us, self.two_way, self.features)
 
     def _hand_over(self, flows: DataFrame, name: str) -> None:
         path = f"{self.target}/batch={name}"
@@ -283,7 +288,8 @@ class FlowAssembler:
     def _no_packets(self) -> DataFrame:
         types = {"is_fwd": "boolean", "ts_us": "bigint", "frame_no": "bigint", "capture_no": "bigint"}
         wide = [c for c in self.key if "ip" in c]
-        return self.spark.createDataFrame([], ", ".join(f"{c} {types.get(c, 'bigint' if c in wide else 'int')}" for c in [*self.key, *_BODY]))
+        return self.spark.createDataFrame([], ", ".join(f"{c} {types.get(c, 'bigint' if c in wide else 'int')}" for c in [*self.key, *_BODY])
+                                          + "".join(f", {f.column} {f.value_type}" for f in self.features))
 
     def late_rows(self, batch_id: int | None = None) -> int:
         """Packets up to a batch, by default the last, that came behind the watermark and were not used."""
