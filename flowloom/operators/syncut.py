@@ -116,9 +116,8 @@ def syn_cuts_chunked(packets: DataFrame, key: list[str], threshold: int = SYN_TH
         walked = walked.withColumns({"entry_count": F.lit(None).cast("bigint"), "entry_last": F.lit(None).cast("bigint")})
     else:
         walked = walked.join(entry, key, "left")
-    entries = walked.groupBy(*key).applyInPandas(
-        _compose(part, threshold, idle_us),
-        T.StructType([rows.schema[c] for c in part] + [T.StructField("entry", T.LongType())]))
+    entries = walked.repartition(*key).sortWithinPartitions(*part).mapInArrow(
+        _compose(key, part, idle_us), T.StructType([rows.schema[c] for c in part] + [T.StructField("entry", T.LongType())]))
 
     known = rows.filter("is_syn").join(durable(entries), part)  # one row per chunk
     offset = F.when(F.col("sess") == 0, F.col("entry")).otherwise(F.lit(0))
@@ -156,19 +155,22 @@ def _exit_counts(part: list[str], threshold: int):
     return run
 
 
-def _compose(part: list[str], threshold: int, idle_us: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        entry, state, prev_last = [], 0, None
-        if pd.notna(pdf["entry_last"].iloc[0]):
-            state, prev_last = int(pdf["entry_count"].iloc[0]), int(pdf["entry_last"].iloc[0])
-        for exits, first_ts, last_ts in zip(pdf["exits"], pdf["first_ts"], pdf["last_ts"]):
-            if prev_last is None or first_ts - prev_last > idle_us:
-                state = 0
-            entry.append(state)
-            state, prev_last = int(exits[state]), last_ts
-        out = pdf[part].copy()
-        out["entry"] = entry
-        return out
+def _compose(key: list[str], part: list[str], idle_us: int):
+    """Entry count of every chunk, from rows in order of key and chunk: one state is held, however many chunks a key has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, prev_last = None, 0, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            given = zip(*(batch.column(c).to_pylist() for c in ("first_ts", "last_ts", "entry_count", "entry_last")), strict=True)
+            exits = batch.column("exits")
+            entry = []
+            for i, (this, (first_ts, last_ts, count, last)) in enumerate(zip(keys, given, strict=True)):
+                if this != at:
+                    at, state, prev_last = this, count or 0, last
+                if prev_last is None or first_ts - prev_last > idle_us:
+                    state = 0
+                entry.append(state)
+                state, prev_last = exits[i][state].as_py(), last_ts
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in part), pa.array(entry, type=pa.int64())], [*part, "entry"])
 
     return run
