@@ -22,6 +22,7 @@ from flowloom.sources import captures, files, tables
 from flowloom.streaming import flows as live
 from flowloom.streaming.assemble import FlowAssembler, run_flow_stream, stop_flow_stream
 from flowloom.streaming.run import drain, stream_table
+from flowloom.streaming.sessions import close_out_session_flows, session_flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 ID = ["dst_ip", "dst_port", "protocol", "flow_start_us", "flow_start_frame"]
@@ -566,6 +567,34 @@ SESSIONS_SQL = O.segmented(O.EVENT_PACKETS, False) + f""",
 register("stream_sessions", stream_sessions, SESSIONS_SQL + CLOSED_BY_NOW)
 register("sessions_close_out", sessions_close_out, SESSIONS_SQL + f"not ({CLOSED_BY_NOW})")
 
+# Spark's session window holds the one-second slices that lie up to 60 apart: such sessions leave together
+SESSION_FLOWS_SQL = O.flows(O.EVENT_PACKETS, False) + f''',
+    apart as (select *, flow_start_us // 1000000 - lag(flow_end_us // 1000000) over (partition by dst_ip, dst_port, protocol order by flow_start_us)
+      as seconds from flows),
+    together as (select *, sum(case when seconds <= 60 then 0 else 1 end) over
+      (partition by dst_ip, dst_port, protocol order by flow_start_us rows unbounded preceding) as part from apart),
+    leaving as (select *, (max(flow_end_us) over (partition by dst_ip, dst_port, protocol, part) // 1000000 + 61) * 1000000 - 1 <= {WATERMARK}
+      as gone from together)
+    select {O.pick(FULL)} from leaving where '''
+
+
+def stream_session_flows(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(drain(session_flows(packet_stream(spark, sf))), FULL)
+
+
+def session_flows_close_out(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(close_out_session_flows(events(spark, sf), drain(session_flows(packet_stream(spark, sf)))), FULL)
+
+
+def session_flows_table(spark: SparkSession, sf: str, packets: Callable = lineitem) -> DataFrame:
+    table = packets(spark, sf)
+    return rounded(session_flows(table.withColumn("ts", F.timestamp_micros("ts_us")), as_of_us=table.select(F.max("ts_us")).scalar()), FULL)
+
+
+register("stream_session_flows", stream_session_flows, SESSION_FLOWS_SQL + "gone")
+register("session_flows_close_out", session_flows_close_out, SESSION_FLOWS_SQL + "not gone")
+register("session_flows_lineitem", session_flows_table, O.flows(O.LINEITEM_PACKETS, False) + f" select {O.pick(FULL)} from flows")
+
 
 def assembler(spark: SparkSession, **options) -> FlowAssembler:
     return FlowAssembler(spark, scratch_path(spark, "live-state"), scratch_path(spark, "live-flows"), **options)
