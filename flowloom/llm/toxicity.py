@@ -56,7 +56,8 @@ def _buckets(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """``bucket``, ``all``, ``clean``, ``toxic``: documents with each bucket, in the corpus and among labels; bucket -1 has their numbers."""
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample.filter("fold < 4").select("doc_id", "label")), "doc_id", "left")
+    known = sample.filter("fold < 4").select("doc_id", "label").distinct()
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = np.zeros((3, 1 << BITS), dtype=np.int32), np.zeros(3, dtype=np.int64)
@@ -185,26 +186,22 @@ def _bent(x: np.ndarray) -> np.ndarray:
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns from ``labels`` (``doc_id``, ``toxic``) outside fold 0 and the texts of ``docs``."""
     small_batches(docs.sparkSession)
-    sample = training_sample(docs, labels, "toxic", rows).persist()
-    try:
-        table, score, share = _lexicon(_counts(docs, sample))
-        model = Model(table, _rate(score, share))
-        fresh = sample.filter("fold = 4")
-
-        def seen() -> tuple[np.ndarray, ...]:
-            rows = docs.join(F.broadcast(fresh.select("doc_id", "label")), "doc_id").select("doc_id", "text", "label")
-            got = _scan(rows, model, ["label"]).select("label", "n_words", "best", "total").toArrow()
-            return tuple(got.column(c).to_numpy() for c in got.column_names)
-
+    sample = training_sample(docs, labels, "toxic", rows)
+    table, score, share = _lexicon(_counts(docs, sample))
+    model = Model(table, _rate(score, share))
+    fresh = sample.filter("fold = 4")
+
+    def seen() -> tuple[np.ndarray, ...]:
+        got = _scan(fresh.select("text", "label"), model, ["label"]).select("label", "n_words", "best", "total").toArrow()
+        return tuple(got.column(c).to_numpy() for c in got.column_names)
+
+    label, words, best, _ = seen()
+    if not 0 < label.sum() < len(label):
+        fresh = sample
         label, words, best, _ = seen()
-        if not 0 < label.sum() < len(label):
-            fresh = sample
-            label, words, best, _ = seen()
-        clean = (model.rate * best - np.log(np.maximum(1, words)))[(label == 0) & (best > 0)]
-        model.log_k = float(clean.mean() - np.euler_gamma) if len(clean) else 0.0
-        label, _, _, total = seen()
-    finally:
-        sample.unpersist()
+    clean = (model.rate * best - np.log(np.maximum(1, words)))[(label == 0) & (best > 0)]
+    model.log_k = float(clean.mean() - np.euler_gamma) if len(clean) else 0.0
+    label, _, _, total = seen()
     if len(label) and 0 < label.sum() < len(label):
         model.weights = logistic_fit(np.stack([np.ones(len(label)), _bent(total)], axis=1), label.astype(float))
     return model
