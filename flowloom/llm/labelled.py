@@ -27,7 +27,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
               .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `rows` rows
-    stored = durable(texts.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).repartition("h"))
+    stored = durable(texts.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).repartition("doc_id"))
     unlike = durable(stored.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")))
     return stored.join(F.broadcast(unlike), ["h", "label", "doc_id"]).select(
         "doc_id", "label", fold().cast("int").alias("fold"), "text")
