@@ -16,17 +16,30 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(f"`{doc_id}`").cast("string")) % FOLDS
 
 
+def _picked(labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled ids outside fold 0: those smallest by a hash of the id, so the same in each run."""
+    return (labels.filter((fold() > 0) & F.col(label).isNotNull())
+            .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``doc_id``, ``label``, ``fold``, ``text`` of at most ``rows`` labelled documents outside fold 0, one for each distinct text.
+    """``doc_id``, ``label``, ``fold`` of at most ``rows`` labelled documents outside fold 0, one for each distinct text.
+
+    Null ids and null labels are left out; of conflicting labels of one id the largest counts.
+    """
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    unlike = (texts.join(F.broadcast(_picked(labels, label, rows)), "doc_id")  # at most `rows` rows
+              .groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")))
+    return unlike.select("doc_id", "label", fold().cast("int").alias("fold"))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """The same rows with their ``text``: the corpus is read once and the sample's texts are stored.
 
-    The corpus is read once: the sample's texts are stored, so what learns from them reads them from there. The sample is
-    the rows smallest by a hash of the id, so it is the same in each run. Null ids and null labels are left out; of
-    conflicting labels of one id the largest counts. Rows that repeat an id and a text are all in it.
+    Rows that repeat an id and a text are all in it.
     """
-    picked = (labels.filter((fold() > 0) & F.col(label).isNotNull())
-              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `rows` rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(_picked(labels, label, rows)), "doc_id")  # at most `rows` rows
     stored = durable(texts.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).repartition("doc_id"))
     unlike = durable(stored.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")))
     return stored.join(F.broadcast(unlike), ["h", "label", "doc_id"]).select(
