@@ -5,8 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from flowloom.llm import quality
+from flowloom.llm.labelled import training_features
+from flowloom.llm.quality import _feature_rows, _in_blocks, score_quality, train_quality
 from flowloom.llm.queries import op6_toxicity, op9_quality
-from flowloom.llm.quality import score_quality, train_quality
 from flowloom.llm.textbytes import ALNUM, PLAIN, blocks, gram_hashes
 from flowloom.llm.toxicity import maximal_segments, score_toxicity, train_toxicity
 
@@ -113,3 +115,36 @@ def test_quality_reads_the_corpus_once_to_train(spark, docs_of):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     train_quality(texts.mapInArrow(counted, texts.schema), labels)
     assert read.value == 60
+
+
+def test_quality_learns_from_every_label(spark, docs_of):
+    """Any labelled row tells: what the features' means are taken over, and which blocks pairs are drawn in."""
+    n = 4000
+    docs = docs_of([(i, f"text {i} of words " + "bad " * (i % 2) + "x" * (i % 50)) for i in range(n)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(n)], "doc_id long, quality int")
+    rows = training_features(docs, labels, "quality", _feature_rows)
+    kept = {i for i in range(n) if binascii.crc32(str(i).encode()) % 5}
+    assert {r.doc_id for r in rows.select("doc_id").collect()} == kept
+    n_good = rows.filter("label = 1").count()
+    blocks = _in_blocks(rows, n_good, len(kept) - n_good, 17).collect()
+    assert len(blocks) > 1 and sum(len(b.good) + len(b.bad) for b in blocks) == 17 * len(kept) and all(b.good and b.bad for b in blocks)
+
+
+def test_rare_class_stands_in_every_block(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "cast(id < 3 as int) as label", "array(double(id)) as x")
+    blocks = _in_blocks(rows, 3, 2997, 1).collect()
+    assert all(len(b.good) == 3 for b in blocks) and sum(len(b.bad) for b in blocks) == 2997
+
+
+def test_cut_over_bins_is_the_cut_over_all(spark, monkeypatch):
+    rnd = random.Random(3)
+    pairs = [(rnd.choice([0.1, 0.2, 0.5, rnd.random()]), rnd.random()) for _ in range(500)]
+    rows = [(i, int(s + 0.5 * r > 0.8), s) for i, (s, r) in enumerate(pairs)]
+    table = spark.createDataFrame(rows, "doc_id long, label int, strength double")
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    y = np.array([r[1] for r in order])
+    best = int(np.argmin(np.cumsum(y) + (1 - y).sum() - np.cumsum(1 - y)))
+    want = (best + 1, order[best][2], order[min(best + 1, 499)][2])
+    for size in (100_000, 40):
+        monkeypatch.setattr(quality, "BIN_ROWS", size)
+        assert quality._best_cut(table, 500, int(y.sum())) == want
