@@ -783,8 +783,11 @@ def damaged_csv(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     flows, folder = flow_features(events(spark, sf)), scratch_path(spark, "damaged-csv")
     texts = F.concat_ws(",", *[F.col(n).cast("string") for n in FLOW_NAMES]).alias("line")
     rows = flows.select(F.col("flow_start_frame").alias("frame"), texts).selectExpr("1 as place", f"{CSV_DAMAGE} as line")
-    header = spark.range(1).select(F.lit(0).alias("place"), F.lit(",".join(SHORT_HEADERS)).alias("line"))
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("place").select("line").write.text(folder)  # the header leads the file
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(parts)))
+    header = spark.range(parts).select(F.lit(0).alias("place"), F.lit(",".join(SHORT_HEADERS)).alias("line"), F.col("id").alias("part"))
+    # a header leads each file, and each part that a file is made of
+    header.unionByName(rows).repartition("part").sortWithinPartitions("place").select("line").write.text(folder)
     return files.split_flow_csv(spark, folder)
 
 

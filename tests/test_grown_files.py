@@ -2,9 +2,12 @@ import random
 
 import pytest
 
+from flowloom.plans.catalog import damaged_csv
+from flowloom.plans.flow_plan import flow_features
 from flowloom.schemas import FLOW_NAMES, SHORT_HEADERS
 from flowloom.sources.files import read_flow_csv, split_flow_csv, stream_flow_csv, stream_flow_lines
 from flowloom.sources.grown import _GrownReader, stream_lines
+from flowloom.sources.tables import packets_from_events
 
 HEADER = ",".join(SHORT_HEADERS)
 
@@ -96,3 +99,18 @@ def test_another_header_stops_the_stream(spark, tmp_path):
     with pytest.raises(Exception, match="another header"):
         query.awaitTermination()
     assert stream_lines(spark, str(tmp_path / "in")).isStreaming
+
+
+def test_damaged_csv_is_written_by_many_tasks(spark, sf_small):
+    """Each file of the damaged lines has its header; they aren't gathered in one task."""
+    before = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for n, v in zip(before, ("false", "3")):
+        spark.conf.set(n, v)
+    try:
+        good, bad = damaged_csv(spark, sf_small)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert bad.select("path").distinct().count() > 1
+    assert {r.reason for r in bad.select("reason").distinct().collect()} == {"cell_count", "cell_type"}
+    assert good.count() + bad.count() == flow_features(packets_from_events(spark, sf_small)).count()
