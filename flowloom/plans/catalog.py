@@ -163,7 +163,7 @@ def captured(spark: SparkSession, sf: str) -> DataFrame:
     """Packets of two capture files, each numbered from 1, read in ranges of 8 kB."""
     folder, rows = scratch_path(spark, "captures"), frames(spark, sf)
     for n, part in enumerate((rows.filter("frame_no % 8 = 0"), rows.filter("frame_no % 8 = 4"))):
-        captures.write_captures(part.coalesce(1).sortWithinPartitions("ts_us", "frame_no"), folder, name=str(n))
+        captures.write_captures(part.repartition(1).sortWithinPartitions("ts_us", "frame_no"), folder, name=str(n))
     return decode.decode_packets(captures.read_captures(spark, folder, 8192)).drop("is_fwd")
 
 
@@ -671,7 +671,7 @@ def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
 def in_files(packets: DataFrame, folder: str, part: str, numbers: range) -> None:
     """Adds the packets of each part, in turn, as one file of a folder that a stream reads file by file."""
     for n in numbers:
-        packets.filter(f"{part} = {n}").coalesce(1).write.mode("append").parquet(folder)
+        packets.filter(f"{part} = {n}").repartition(1).write.mode("append").parquet(folder)
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:

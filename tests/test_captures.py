@@ -91,3 +91,28 @@ def test_two_captures_numbered_alike_cut_at_fifty(spark, tmp_path):
 def test_frame_tables_without_capture_number(spark, tmp_path):
     spark.createDataFrame([(1, 5, 12, 40, frame_of(1, 2))], "frame_no long, ts_us long, linktype int, caplen int, raw binary").write.parquet(str(tmp_path / "f"))
     assert decode_packets(read_frames(spark, str(tmp_path / "f"))).first().capture_no == 0
+
+
+def test_small_ranges_are_read_together(tmp_path, monkeypatch):
+    """Ranges of a stretch share one read of it, and see what each would have read alone."""
+    data, _ = capture_bytes(random.Random(4), 400, snap=90)
+    path = str(tmp_path / "a.pcap")
+    open(path, "wb").write(data)
+    reads, plain = [], captures._range
+    monkeypatch.setattr(captures, "_range", lambda *a: reads.append(a) or plain(*a))
+    stretches, each = captures._Stretches(), 4096
+    for start in range(0, len(data), 256):
+        low = start // each * each
+        r = {"path": path, "size": len(data), "start": start, "end": min(len(data), start + 256), "stretch": start // each,
+             "low": low, "high": min(len(data), low + each)}
+        for first in (None, start + 7 if start else None):
+            capture, block, base = stretches.range(r, first)
+            alone = plain(path, len(data), start, r["end"], first)
+            assert (bytes(block), base) == (bytes(alone[1]), alone[2])
+    assert len(reads) == -(-len(data) // each)
+
+
+def test_tasks_follow_the_bytes_not_the_ranges(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(capture_bytes(random.Random(5), 2000, snap=90)[0])
+    frames = read_captures(spark, str(tmp_path), 512)
+    assert frames.rdd.getNumPartitions() == 1 and frames.filter("caplen > 0").count() > 1900
