@@ -23,6 +23,7 @@ from flowloom.functions.net import is_syn_only
 from flowloom.session import durable
 
 CHUNK_ROWS = 2_000_000
+TASK_ROWS = 500_000
 SLICES_PER_CHUNK = 8
 REFINE_BITS = 6
 _SLOT = ["_by_frame", "shift", "_slice", "_round"]
@@ -30,11 +31,15 @@ _SLOT = ["_by_frame", "shift", "_slice", "_round"]
 
 @dataclass
 class HotKeys:
-    """Packets split by key volume; ``hot`` carries ``chunk`` and is None when no key is hot."""
+    """Packets split by key volume; ``hot`` carries ``chunk`` and is None when no key is hot.
+
+    ``n_tasks`` are as many as the hot packets fill with ``TASK_ROWS`` each, at most one a chunk: small chunks share a task.
+    """
 
     cold: DataFrame
     hot: DataFrame | None
     n_chunks: int = 0
+    n_tasks: int = 0
 
 
 def key_stats(packets: DataFrame, key: list[str]) -> DataFrame:
@@ -46,18 +51,20 @@ def key_stats(packets: DataFrame, key: list[str]) -> DataFrame:
 def split_hot_keys(packets: DataFrame, key: list[str], chunk_rows: int | None = None, stats: DataFrame | None = None) -> HotKeys:
     """Separate keys with more than ``chunk_rows`` packets and number their chunks.
 
-    ``stats`` are the ``key_stats`` of the packets, where the caller has them stored.
+    ``stats`` are the ``key_stats`` of the packets, where the caller has them stored. The packets are read several times: store them if
+    they are costly.
     """
     limit = chunk_rows or CHUNK_ROWS
     stats = key_stats(packets, key) if stats is None else stats
     width = (F.col("hi") - F.col("lo") + 1) / F.greatest(F.lit(1.0), F.col("n") / limit * SLICES_PER_CHUNK)
-    hot = stats.filter(F.col("n") > limit).select(*key, F.floor(F.log2(F.greatest(F.lit(1.0), width))).cast("long").alias("shift"))
+    hot = stats.filter(F.col("n") > limit).select(*key, "n", F.floor(F.log2(F.greatest(F.lit(1.0), width))).cast("long").alias("shift"))
     hot = durable(hot)
     if hot.isEmpty():
         return HotKeys(packets, None)
+    n_rows = hot.agg(F.sum("n")).first()[0]
     cold = packets.join(hot.select(*key), key, "left_anti")
-    rows = durable(packets.join(hot, key))
-    return HotKeys(cold, *_number_chunks(rows, key, limit))
+    rows, n_chunks = _number_chunks(packets.join(hot.drop("n"), key), key, limit)
+    return HotKeys(cold, rows, n_chunks, min(n_chunks, max(packets.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS))))
 
 
 def _number_chunks(rows: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, int]:

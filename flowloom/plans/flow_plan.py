@@ -60,8 +60,8 @@ def _deltas(packets: DataFrame, key: list[str], directional: bool, syn_cut: bool
     if split.hot is not None:
         part = key + ["chunk"]
         cuts = syn_cuts_chunked(split.hot, key, threshold, idle_us) if syn_cut else None
-        rows = with_cuts(split.hot, cuts, part).repartition(split.n_chunks, *part)
-        marked = durable(mark(rows, part, directional, True, idle_us))
+        rows = with_cuts(split.hot, cuts, part).repartition(split.n_tasks, *part)
+        marked = durable(mark(rows, part, directional, True, idle_us), "zstd")  # the widest table, a row a packet
         summary = carry_ops.summarise(marked, part, directional)
         carry = durable(carry_ops.chunk_carry(summary, key, directional, idle_us))
         parts.append(resolve(marked, key, directional, carry))

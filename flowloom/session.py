@@ -130,15 +130,16 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where several later steps read one expensive result; as a columnar table each reader
     loads only what it needs. Without a shared folder on a cluster this is an error. The table goes with the
-    ``scratch`` scope around the call; outside any scope it stays until the shared folder is cleared.
+    ``scratch`` scope around the call; outside any scope it stays until the shared folder is cleared. ``compression`` is that of
+    Parquet, by default the session's.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,3 +27,9 @@ def test_chunks(spark, sf_small, squash):
 
 def test_usual_keys_are_not_split(spark, sf_small):
     assert split_hot_keys(packets_from_lineitem(spark, sf_small), DST_KEY).hot is None
+
+
+def test_small_chunks_share_tasks(spark, sf_small):
+    """Tasks follow the packets: thousands of chunks are no thousands of tasks and files."""
+    split = split_hot_keys(packets_from_lineitem(spark, sf_small), DST_KEY, chunk_rows=20)
+    assert split.n_chunks > 200 and split.n_tasks <= max(spark.sparkContext.defaultParallelism, 1)
