@@ -155,13 +155,15 @@ def _fold(key: tuple, flow: dict | None, rows: dict[str, np.ndarray], threshold:
 def stream_flows_keyed(packets: DataFrame, threshold: int = SYN_THRESHOLD, idle_us: int = IDLE_US) -> DataFrame:
     """Flow records of a watermarked packet stream (see ``with_event_time``), in append mode.
 
-    One key is one task a trigger; ``streaming.assemble`` has the form without that limit.
+    One key is one task a trigger; ``streaming.assemble`` has the form without that limit. A closed flow leaves the state as two
+    lists, its whole numbers and its spreads: pandas and Arrow take a fixed time a column for each key, and keys are many.
     """
     if "capture_no" not in packets.columns:
         packets = packets.withColumn("capture_no", F.lit(0).cast("bigint"))
     schema = _raw_schema()
     names = [*_INPUT, "is_syn"]
-    int_columns = [f.name for f in schema if f.dataType.typeName() in ("long", "integer")]
+    whole = [f for f in schema if f.dataType.typeName() in ("long", "integer")]
+    spread = [f for f in schema if f.dataType.typeName() == "double"]
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         saved = json.loads(state.get[0]) if state.exists else {"flow": None, "wait": {c: [] for c in names}}
@@ -187,12 +189,14 @@ def stream_flows_keyed(packets: DataFrame, threshold: int = SYN_THRESHOLD, idle_
         elif state.exists:
             state.remove()
         if closed:
-            out = pd.DataFrame(closed, columns=schema.names)
-            yield out.astype({c: "Int64" for c in int_columns})
+            lists = {n: [[row[f.name] for f in fields] for row in closed] for n, fields in (("whole", whole), ("spread", spread))}
+            yield pd.DataFrame(lists | {"was_cut": [row["was_cut"] for row in closed]})
 
     rows = packets.select(*DST_KEY, *[F.col(c).cast("bigint") for c in _INPUT], is_syn_only().alias("is_syn"), "ts")
-    raw = rows.groupBy(*DST_KEY).applyInPandasWithState(
-        handle, schema, "state string", "append", "EventTimeTimeout")
+    packed = rows.groupBy(*DST_KEY).applyInPandasWithState(
+        handle, "whole array<bigint>, spread array<double>, was_cut boolean", "state string", "append", "EventTimeTimeout")
+    raw = packed.select("was_cut", *[F.col(n)[i].cast(f.dataType).alias(f.name)
+                                     for n, fields in (("whole", whole), ("spread", spread)) for i, f in enumerate(fields)])
     # whatever leaves the state was cut or idle, never shut down
     return flow_record(raw, False, F.lit(2**62), idle_us, False)
 
