@@ -10,6 +10,9 @@ still too full is refined with a smaller shift, down to one microsecond, and the
 ``frame_no``. Keys, slices and chunk numbers are tables, never lists on the driver; a key's
 slices are numbered by one running sum. Chunk numbers are a function of the row alone, so a
 lost task recomputes the same ones.
+
+Each of the stacked windows holds its whole partition, so ``CHUNK_ROWS`` also bounds a task's memory: half a dozen buffers of
+as many rows, each row some hundred bytes, stay in the memory of one core and aren't spilled.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.net import is_syn_only
 from flowloom.session import durable
 
-CHUNK_ROWS = 2_000_000
+CHUNK_ROWS = 250_000
 TASK_ROWS = 500_000
 SLICES_PER_CHUNK = 8
 REFINE_BITS = 6

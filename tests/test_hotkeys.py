@@ -33,3 +33,13 @@ def test_small_chunks_share_tasks(spark, sf_small):
     """Tasks follow the packets: thousands of chunks are no thousands of tasks and files."""
     split = split_hot_keys(packets_from_lineitem(spark, sf_small), DST_KEY, chunk_rows=20)
     assert split.n_chunks > 200 and split.n_tasks <= max(spark.sparkContext.defaultParallelism, 1)
+
+
+def test_default_chunks_fit_a_core(spark):
+    """A window partition is held by each of the stacked windows: a key of 700,000 packets is not one partition."""
+    packets = spark.range(700_000).selectExpr(
+        "1704067200000000 + id * 1000 as ts_us", "id as frame_no", "0L as capture_no", "1L as dst_ip_int", "80 as dst_port", "6 as protocol",
+        "if(id % 4 = 0, 2, 16) as tcp_flags")
+    split = split_hot_keys(packets, DST_KEY)
+    sizes = [row["count"] for row in split.hot.groupBy("chunk").count().collect()]
+    assert sum(sizes) == 700_000 and max(sizes) <= 300_000
