@@ -1,11 +1,12 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
-The 64-bit key of a text is the hash of its normalised form. A directory maps key prefixes to buckets;
-while a bucket holds more than ``capacity`` bytes of distinct texts, the directory doubles and the
-bucket splits on the next bit. Buckets are thus ranges of keys. Owner tasks take whole buckets, walk
-them in key order and chain the entries of equal keys, telling them apart by their bytes. The index
-they write, one row a distinct text, is a table in the shared checkpoint folder; documents find their
-group there by key and SHA-256.
+Each text is read once, where it lies: its normalised form leaves a 64-bit key and its SHA-256 behind, and
+only these are stored, exchanged and sent to Python, so no text's length counts in any later step.
+A directory maps key prefixes to buckets; while a bucket holds more than ``capacity`` bytes of entries of distinct
+texts, the directory doubles and the bucket splits on the next bit. Buckets are thus ranges of keys. Owner tasks
+take whole buckets, walk them in key order and chain the entries of equal keys, telling them apart by their
+digests. The index they write, one row a distinct text, is a table in the shared checkpoint folder; documents find
+their group there by key and SHA-256.
 
 Size and skew. Copies are merged within each Arrow batch before anything is exchanged, so a text that
 makes up a third of all rows reaches its owner as one entry a batch, and the owner keeps one entry a
@@ -19,7 +20,6 @@ there is none. Rows that repeat the id that stays are the same document and stay
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.textbytes import small_batches
 from flowloom.session import durable
 
 MAX_DEPTH = 18
-BUCKET_BYTES = 8 << 20
+#: Bytes of an entry: bucket, key, digest in hex, number of rows, id, and what Arrow adds.
+ENTRY_BYTES = 96
+BUCKET_BYTES = 1 << 20
 
 
 def normal_text(text: str) -> Column:
@@ -56,19 +57,25 @@ def directory(load: np.ndarray, capacity: int) -> np.ndarray:
     return bucket
 
 
-def _load(rows: DataFrame) -> np.ndarray:
+def text_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``key``, ``text_sha256`` of the normalised text of every row."""
+    normal = normal_text(text)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(normal).alias("key"), F.sha2(normal, 256).alias("text_sha256"))
+
+
+def _load(digests: DataFrame) -> np.ndarray:
     cell = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    held = (rows.groupBy("key").agg(F.max("size").alias("size"))
-            .groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).toArrow())
+    held = digests.select("key").distinct().groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
     load = np.zeros(1 << MAX_DEPTH, dtype=np.int64)
-    load[held.column("cell").to_numpy()] = held.column("size").to_numpy()
+    load[held.column("cell").to_numpy()] = held.column("n").to_numpy() * ENTRY_BYTES
     return load
 
 
 def _merged(entries: pa.Table) -> pa.Table:
-    """One entry for each bucket, key and text: the rows it stands for and their smallest id."""
-    out = entries.group_by(["bucket", "key", "text"], use_threads=False).aggregate([("n", "sum"), ("keep_id", "min")])
-    return out.select(["bucket", "key", "text", "n_sum", "keep_id_min"]).rename_columns(["bucket", "key", "text", "n", "keep_id"])
+    """One entry for each bucket, key and digest: the rows it stands for and their smallest id."""
+    out = entries.group_by(["bucket", "key", "text_sha256"], use_threads=False).aggregate([("group_size", "sum"), ("keep_id", "min")])
+    return out.select(["bucket", "key", "text_sha256", "keep_id_min", "group_size_sum"]).rename_columns(
+        ["bucket", "key", "text_sha256", "keep_id", "group_size"])
 
 
 def _to_batches(entries: pa.Table, rows: int = 4096) -> list[pa.RecordBatch]:
@@ -76,28 +83,23 @@ def _to_batches(entries: pa.Table, rows: int = 4096) -> list[pa.RecordBatch]:
 
 
 def exact_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_BYTES,
-                rows: DataFrame | None = None) -> DataFrame:
+                digests: DataFrame | None = None) -> DataFrame:
     """The index: ``bucket``, ``key``, ``text_sha256``, ``keep_id``, ``group_size`` for each distinct normalised text.
 
-    ``rows`` may give ``key`` and ``size`` of every document where the caller has them stored.
+    ``digests`` may give ``text_digests`` of the documents where the caller has them stored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("keep_id"), normal_text(text).alias("text"))
-    texts = texts.select("keep_id", "text", F.xxhash64("text").alias("key"))
-    if rows is None:
-        rows = texts.select("key", F.octet_length("text").cast("long").alias("size"))
-    bucket_of = directory(_load(rows), capacity)
-    table = spark.sparkContext.broadcast(bucket_of.astype(np.int32))  # 1 MiB whatever the data
-    kind = dict(docs.select(F.col(f"`{doc_id}`")).dtypes)[doc_id]
-    schema = f"bucket int, key long, text string, n long, keep_id {kind}"
+    if digests is None:
+        digests = durable(text_digests(docs, doc_id, text))
+    bucket_of = directory(_load(digests), capacity)
+    table = docs.sparkSession.sparkContext.broadcast(bucket_of.astype(np.int32))  # 1 MiB whatever the data
+    schema = f"bucket int, key long, text_sha256 string, keep_id {dict(digests.dtypes)['doc_id']}, group_size long"
 
     def merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)
-            columns = [pa.array(table.value[cell]), batch.column("key"), batch.column("text"),
-                       pa.array(np.ones(len(batch), dtype=np.int64)), batch.column("keep_id")]
-            yield from _to_batches(_merged(pa.table(columns, ["bucket", "key", "text", "n", "keep_id"])))
+            columns = [pa.array(table.value[cell]), batch.column("key"), batch.column("text_sha256"), batch.column("doc_id"),
+                       pa.array(np.ones(len(batch), dtype=np.int64))]
+            yield from _to_batches(_merged(pa.table(columns, ["bucket", "key", "text_sha256", "keep_id", "group_size"])))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries in key order; the last key's chain waits, merged, for the next batch."""
@@ -110,29 +112,18 @@ def exact_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
             merged = _merged(pa.concat_tables([chain, new.cast(chain.schema)]) if chain is not None else new)
             open_ = pa.compute.equal(merged.column("key"), last)
             chain = merged.filter(open_)
-            yield from indexed(merged.filter(pa.compute.invert(open_)))
+            yield from _to_batches(merged.filter(pa.compute.invert(open_)))
         if chain is not None:
-            yield from indexed(chain)
-
-    def indexed(entries: pa.Table) -> Iterator[pa.RecordBatch]:
-        for part in _to_batches(entries):
-            digest = [hashlib.sha256(t.as_buffer()).hexdigest() if len(t.as_buffer() or b"") else hashlib.sha256(b"").hexdigest()
-                      for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("bucket"), part.column("key"), pa.array(digest, type=pa.string()), part.column("keep_id"), part.column("n")],
-                ["bucket", "key", "text_sha256", "keep_id", "group_size"])
+            yield from _to_batches(chain)
 
     owners = max(1, len(np.unique(bucket_of)))
-    entries = texts.mapInArrow(merge_copies, schema).repartition(owners, "bucket").sortWithinPartitions("key")
-    index = entries.mapInArrow(own, f"bucket int, key long, text_sha256 string, keep_id {kind}, group_size long")
-    return durable(index)
+    entries = digests.mapInArrow(merge_copies, schema).repartition(owners, "bucket").sortWithinPartitions("key")
+    return durable(entries.mapInArrow(own, schema))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` for every row of ``docs``; other columns are ignored."""
-    normal = normal_text(text)
-    rows = durable(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(normal).alias("key"),
-                               F.sha2(normal, 256).alias("text_sha256"), F.octet_length(normal).cast("long").alias("size")))
-    index = exact_index(docs, doc_id, text, capacity, rows).select("key", "text_sha256", "keep_id", "group_size")
-    found = rows.join(index, ["key", "text_sha256"])
+    digests = durable(text_digests(docs, doc_id, text))
+    index = exact_index(docs, doc_id, text, capacity, digests).select("key", "text_sha256", "keep_id", "group_size")
+    found = digests.join(index, ["key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

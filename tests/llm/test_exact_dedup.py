@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from flowloom.llm import exact_dedup
 from flowloom.llm.exact_dedup import directory, exact_groups, exact_index
 
 
@@ -43,3 +44,13 @@ def test_directory_splits_only_overfull_buckets():
     assert directory(load, 6).tolist() == [0, 1, 2, 2, 4, 4, 4, 4]
     assert directory(load, 100).tolist() == [0] * 8
     assert directory(load, 0).tolist() == [0, 1, 2, 3, 4, 4, 6, 7]
+
+
+def test_texts_are_read_once_and_not_exchanged(docs_of, monkeypatch):
+    plans, durable = [], exact_dedup.durable
+    monkeypatch.setattr(exact_dedup, "durable", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or durable(df))
+    rows = [(i, "long text " * 1000 + str(i % 7)) for i in range(50)]
+    assert got(exact_groups(docs_of(rows), capacity=100)) == brute(rows)
+    reading, index = plans
+    assert "sha2" in reading and "Repartition" not in reading and "MapInArrow" not in reading
+    assert "MapInArrow" in index and "regexp_replace" not in index and "text#" not in index
