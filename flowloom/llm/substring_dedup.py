@@ -12,8 +12,10 @@ Where more suffixes share a prefix, it is lengthened: windows that begin at most
 the suffix share that many words more with it on its right, the other windows on its left, so each suffix goes into two
 groups that agree in a run of about ``(WINDOW + PREFIX) / 2`` words and look at their half of the windows only.
 Where more than ``CROWD`` suffixes share such a run too, it is lengthened to the whole window: such suffixes are grouped by
-full windows, which Spark aggregates before it exchanges them. So no group outgrows memory. A window's own words
-decide which way it goes, so all its copies go the same way.
+full windows. Up to ``STRETCH`` consecutive windows travel as one row, cut where their distance from their minimiser says, which
+is the same in all copies. Equal stretches are counted together first and only unlike ones are taken apart into windows. Spark
+aggregates both before it exchanges them. So no group outgrows memory. A window's own words decide which way it goes, so all its
+copies go the same way.
 
 Trees. In a group, sorted suffixes with the lengths of their common prefixes are the suffix tree, its
 internal nodes being runs of suffixes that agree for so many words; the words before the starts give a
@@ -43,6 +45,7 @@ from flowloom.session import durable
 WINDOW = 50
 PREFIX = 16
 CROWD = 4000
+STRETCH = 8
 
 
 def _slide(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
@@ -188,9 +191,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
             ["key", "doc_id", "row_id", "before", "low", "high", "words", "places"])
 
 
-def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Windows whose minimiser is marked for the half in which they begin, by 128-bit hashes; once for each document and
-    window, with all its places."""
+def _stretches(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Windows whose minimiser is marked for the half in which they begin, by 128-bit hashes: stretches of consecutive
+    ones, once for each document with all the places where they begin. Of equal stretches of a block the first has the windows."""
+    most = min(STRETCH, window)
     halves = _halves(window, prefix)
     for _, ids, own, found, is_marked in _repeated(batches, "many", window, prefix):
         words, n = found.words, len(found.hashes)
@@ -210,18 +214,38 @@ def _full_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -
                     here = start + step
                     ok |= hit[here] & (found.grams[here] == lowest)
             start = start[ok]
+        back = np.zeros(len(start), dtype=np.int64)  # words from a window's start to its first minimiser
+        for step in range(window - prefix if len(start) else 0, -1, -1):
+            back[found.grams[start + step] == found.lowest[start]] = step
         text = np.searchsorted(words.first, start, side="right") - 1
-        h1, h2 = (gram_hashes(h, window)[start].view(np.int64) if len(start) else start
+        h1, h2 = (gram_hashes(h, window)[start] if len(start) else start.astype(np.uint64)
                   for h in (found.hashes, mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D))))
-        order = np.lexsort((start, h2, h1, text))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.logical_or.reduce([v[order[1:]] != v[order[:-1]] for v in (text, h1, h2)])
-        first = order[new]
-        places = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(order)).astype(np.int32)),
-                                          pa.array((start - words.first[text])[order].astype(np.int32)))
+        new = np.ones(len(start), dtype=bool)
+        new[1:] = (np.diff(start) != 1) | (np.diff(text) != 0) | (np.diff(back // most) != 0)
+        index = np.arange(len(start))
+        new |= (index - np.maximum.accumulate(np.where(new, index, 0))) % most == 0
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(start)))
+        # the first and the last window hold all words of a stretch
+        r1, r2 = (mix(h[first] ^ mix(h[first + size - 1] + size.astype(np.uint64))) for h in (h1, h2))
+        order = np.lexsort((first, text[first], r2, r1))
+        unlike = np.ones(len(order), dtype=bool)
+        unlike[1:] = np.logical_or.reduce([v[order[1:]] != v[order[:-1]] for v in (r1, r2)])
+        row = unlike.copy()
+        row[1:] |= np.diff(text[first][order]) != 0
+        one, known = order[row], ~unlike[row]
+        starts = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(row), len(order)).astype(np.int32)),
+                                          pa.array((start - words.first[text])[first][order].astype(np.int32)))
+        told = np.where(known, 0, size[one])
+        ends = np.cumsum(told)
+        at = np.repeat(first[one] - ends + told, told) + np.arange(told.sum())
+        windows = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+            pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)) for h in (h1, h2)], ["h1", "h2"]), mask=pa.array(known))
+        of = text[first][one]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h1[first]), pa.array(h2[first]), pa.array(ids[text[first]]), pa.array(own[text[first]]), places],
-            ["h1", "h2", "doc_id", "row_id", "starts"])
+            [pa.array(r1[one].view(np.int64)), pa.array(r2[one].view(np.int64)), pa.array(ids[of]), pa.array(own[of]), starts, windows],
+            ["r1", "r2", "doc_id", "row_id", "starts", "windows"])
 
 
 def _tree(sequence: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +355,35 @@ def _suffix_rows(listed: DataFrame, window: int, prefix: int) -> DataFrame:
         "key long, doc_id long, row_id long, before int, low int, high int, words binary, places array<int>")
 
 
+def _stretch_rows(listed: DataFrame, window: int, prefix: int) -> DataFrame:
+    return listed.select("doc_id", "row_id", "text", "many").mapInArrow(
+        lambda b: _stretches(b, window, prefix),
+        "r1 long, r2 long, doc_id long, row_id long, starts array<int>, windows array<struct<h1: long, h2: long>>")
+
+
+def _windows(stretches: DataFrame) -> DataFrame:
+    """The windows of unlike stretches with their places in them and the smallest and largest document id of their stretch."""
+    unlike = (stretches.filter("r1 is not null and r2 is not null").groupBy("r1", "r2")
+              .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("windows", ignorenulls=True).alias("windows")))
+    return (unlike.select("r1", "r2", "least", "most", F.posexplode("windows").alias("place", "of"))
+            .select("r1", "r2", "place", "of.h1", "of.h2", "least", "most"))
+
+
+def _crowded_spans(stretches: DataFrame, window: int) -> DataFrame:
+    """``row_id``, ``spans`` of stretches with windows that a document of smaller id has."""
+    windows = _windows(stretches)
+    least = windows.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last")
+    # "first <= least" always holds, as keys are never null: both sides then need the same rows and columns and read one exchange
+    shared = (windows.join(least, ["h1", "h2"]).filter("first <= least and first < most").groupBy("r1", "r2")
+              .agg(F.collect_list(F.struct("place", "first")).alias("shared")))
+    found = stretches.select("r1", "r2", "doc_id", "row_id", "starts").join(shared, ["r1", "r2"])
+    found = found.withColumn("places", F.transform(F.filter("shared", lambda w: w["first"] < F.col("doc_id")), lambda w: w["place"]))
+    # no two windows of a stretch lie further apart than a window is long, so all between them is covered
+    low, high = F.array_min("places"), F.array_max("places")
+    spans = F.transform("starts", lambda at: F.struct((at + low).alias("start"), (at + high + window).alias("stop")))
+    return found.filter(F.size("places") > 0).select("row_id", spans.alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD,
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row_id`` (a hash of id and text), ``spans``: word ranges (``start``, ``stop``) of each document that windows of
@@ -341,12 +394,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     listed = _listed(_rows(docs, doc_id, text).filter("doc_id is not null"), window, prefix, crowd)
     groups = _suffix_rows(listed, window, prefix).repartition("key").sortWithinPartitions("key")
     few = groups.mapInArrow(lambda b: _trees(b, window, prefix), "row_id long, start int, stop int")
-    windows = listed.select("doc_id", "row_id", "text", "many").mapInArrow(
-        lambda b: _full_windows(b, window, prefix), "h1 long, h2 long, doc_id long, row_id long, starts array<int>")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    # a window's places in a document stay together, so a line that it repeats is one row
-    places = F.transform("starts", lambda at: F.struct(at.alias("start"), (at + window).alias("stop")))
-    many = windows.join(least, ["h1", "h2"]).filter("least < doc_id").select("row_id", places.alias("spans"))
+    many = _crowded_spans(_stretch_rows(listed, window, prefix), window)
     few = few.select("row_id", F.array(F.struct("start", "stop")).alias("spans"))
     return few.union(many).groupBy("row_id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from flowloom.llm import substring_dedup
 from flowloom.llm.substring_dedup import _listed, _rows, _suffix_rows, repeated_spans, without_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,3 +88,23 @@ def test_null_ids_stay_out_of_exchanges(docs_of):
     assert run(docs_of(rows), 6, 3, 4000) == brute(rows, 6)
     listed = _listed(_rows(docs_of(rows), "doc_id", "text").filter("doc_id is not null"), 6, 3, 4000)
     assert listed.filter("doc_id is null").isEmpty() and listed.count() == 2
+
+
+@pytest.mark.parametrize("copies", [40, 80])
+def test_copies_of_a_crowded_passage_are_few_rows(docs_of, copies):
+    """A copy costs a row for many windows, and no copy but the first is taken apart into windows."""
+    rnd = random.Random(6)
+    line = [f"w{rnd.randint(0, 10**6)}" for _ in range(300)]  # 251 windows
+    rows = [(i, " ".join(line)) for i in range(copies)] + [(i, " ".join([f"x{i}", *line[100:200], f"y{i}"])) for i in range(1000, 1004)]
+    listed = _listed(_rows(docs_of(rows), "doc_id", "text").filter("doc_id is not null"), 50, 16, 10)
+    stretches = substring_dedup._stretch_rows(listed, 50, 16)
+    assert 0 < stretches.count() < 60 * len(rows)
+    assert substring_dedup._windows(stretches).count() <= 251 + 4 * 53
+    assert run(docs_of(rows), 50, 16, 10) == brute(rows, 50)
+
+
+def test_stretches_of_repeating_words(docs_of):
+    """One minimiser value all along: stretches are cut, shared only in part, and stand at many places."""
+    rows = [(i, "a " * n + end) for i, (n, end) in enumerate([(700, ""), (130, "b"), (130, "b c"), (49, "b"), (700, "b " + "a " * 60), (0, "x " + "a " * 51)])]
+    for crowd in (0, 2):
+        assert run(docs_of(rows), 50, 16, crowd) == brute(rows, 50)
